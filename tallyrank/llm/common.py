@@ -42,10 +42,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*cols: Column) -> Column:
+    """Identifies a row by its values, nulls included; repeated rows share a key."""
+    return F.sha2(F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("~")) for c in cols)), 256)
+
+
+def span_list(kind: str, rank: int, spans: Column) -> Column:
+    """Spans with the name and rank of their kind, in the order that sorting by start then rank gives."""
+    return F.transform(
+        spans,
+        lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")),
+    )
+
+
+KINDS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def spans_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 def spans_between(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a Java pattern as structs (start, end, value).
 
@@ -69,7 +91,6 @@ def spans_between(text: Column, pattern: str) -> Column:
                 ).alias("out"),
             )
             zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-            zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPANS).alias("out"))
             zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
             return F.aggregate(zipped, zero, step)["out"]
 
@@ -78,4 +99,3 @@ def spans_between(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
-SPANS = "array<struct<start:int,end:int,value:string>>"

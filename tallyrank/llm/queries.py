@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import pii, quality_rules, secrets
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -44,5 +52,65 @@ FROM f
 """
 
 
+def _sql_spans(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
+    """Spans of one kind as rows (doc_id, rank, kind, s, e, v)."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(v) AS e, v FROM (
+    SELECT doc_id, hits[i] AS v,
+           list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS s
+    FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{quoted}', 0) AS hits, string_split_regex(t, '{quoted}') AS gaps FROM d)))
+  WHERE {keep}"""
+
+
+_VALUE = "length(regexp_extract(v, '" + secrets.ASSIGN.replace("'", "''") + "', 1)) >= 6"
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_sql_spans("assign", 0, secrets.ASSIGN, _VALUE)}
+  UNION ALL {_sql_spans("access", 1, r"AKIA[A-Z0-9]+", "length(v) >= 20")}
+  UNION ALL {_sql_spans("hex", 2, "[0-9a-f]+", "length(v) >= 24")}),
+k AS ({_sql_spans("secret", 3, secrets.SECRET, "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')")}
+  UNION ALL {_sql_spans("endpoint", 4, secrets.ENDPOINT)}),
+a AS (
+  SELECT * FROM b UNION ALL
+  SELECT * FROM k WHERE EXISTS (
+    SELECT 1 FROM b WHERE b.doc_id = k.doc_id AND abs(b.s - k.s) <= {secrets.SCOPE}
+      AND (b.kind = 'access' OR k.kind = 'endpoint' AND b.kind = 'assign')))
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+       count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank), '') AS spans
+FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+_LUHN = """(list_sum(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {x}[length({x}) + 1 - i]::INT
+  ELSE 2 * {x}[length({x}) + 1 - i]::INT - CASE WHEN {x}[length({x}) + 1 - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)""".replace("{x}", "regexp_replace(v, '[^0-9]', '', 'g')")
+_DIGITS = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
+_MOD97 = """(list_reduce(list_prepend(0, list_transform(string_split(replace(v, ' ', '')[5:] || v[1:4], ''),
+  lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1)"""
+_TRUST = "CASE kind " + " ".join(f"WHEN '{k}' THEN {t}" for k, (t, _) in pii.TRUST.items()) + " END"
+_NEAR = "CASE kind " + " ".join(f"WHEN '{k}' THEN regexp_matches(around, '(?i)(?:{w})')" for k, (_, w) in pii.TRUST.items()) + " END"
+#: The guarded patterns find what the plain ones do; here the plain ones stand.
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({_sql_spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")}
+  UNION ALL {_sql_spans("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast('0' || right(ltrim(x, '0'), 3) AS INT), 0) <= 255))")}
+  UNION ALL {_sql_spans("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"{_DIGITS} BETWEEN 16 AND 19 AND {_LUHN}")}
+  UNION ALL {_sql_spans("phone", 3, pii.PHONE, f"{_DIGITS} BETWEEN 8 AND 15")}
+  UNION ALL {_sql_spans("iban", 4, r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", _MOD97)}
+  UNION ALL {_sql_spans("shortcard", 5, r"[0-9](?:[\x20-]?[0-9])+", f"{_DIGITS} BETWEEN 13 AND 15 AND {_LUHN}")}),
+c AS (SELECT k.*, t[greatest(1, s + 1 - {pii.CONTEXT}):s] || ' ' || t[e + 1:e + {pii.CONTEXT}] AS around FROM k JOIN d USING (doc_id)),
+a AS (SELECT * FROM (SELECT *, least(1.0, {_TRUST} + CASE WHEN {_NEAR} THEN {pii.BONUS} ELSE 0 END) AS score FROM c) WHERE rank < 4 OR score >= {pii.THRESHOLD})
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY rank, s) FILTER (WHERE rank < 4), '')) AS base_sha256,
+       coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY rank, s), '') AS spans,
+       coalesce(string_agg(printf('%.2f', score::DOUBLE), ',' ORDER BY rank, s), '') AS scores
+FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op9_secret_scan": OP9_SQL, "op10_pii": OP10_SQL}
