@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_rules, secrets
+from . import line_dedup, pii, quality_rules, secrets, warc
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -112,5 +120,19 @@ FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
 """
 
 
+_BASE32 = " || ".join(
+    f"""array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || h[{1 + 5 * i}:{5 + 5 * i}])::INT >> s) & 31) + 1, 1)), '')"""
+    for i in range(8)
+)
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op9_secret_scan": OP9_SQL, "op10_pii": OP10_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op8_warc": OP8_SQL, "op9_secret_scan": OP9_SQL, "op10_pii": OP10_SQL}
