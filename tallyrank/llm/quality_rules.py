@@ -100,7 +100,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("too_few_words", lambda t, w: F.size(w) < 20),
         Rule("repeated_windows", lambda t, w: 100 * n_repeat_words(w) > 30 * F.size(w)),
-        Rule("symbol_heavy", lambda t, w: n_symbols(t) * 2 > F.size(w)),
+        Rule("symbol_heavy", lambda t, w: n_symbols(t) * 4 > F.size(w)),
         Rule("duplicate_lines", lambda t, w: let(lines_with_words(t), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
         Rule("shouting", lambda t, w: 2 * F.regexp_count(t, F.lit(r"![\x20\x09-\x0D]|!$|!!")) > F.size(w)),
         Rule("word_length", lambda t, w: let(word_chars(w), lambda c: (c < 2 * F.size(w)) | (c > 20 * F.size(w)))),
@@ -169,7 +169,7 @@ def report(df: DataFrame) -> DataFrame:
     known = {  # the same rules over the figures at hand, so that nothing is computed twice
         "too_few_words": lambda t, w: F.col("n_words") < 20,
         "repeated_windows": lambda t, w: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
-        "symbol_heavy": lambda t, w: F.col("n_symbols") * 2 > F.col("n_words"),
+        "symbol_heavy": lambda t, w: F.col("n_symbols") * 4 > F.col("n_words"),
     }
     rules = [Rule(r.name, known.get(r.name, r.rejects)) for r in rules]
     return figures.select(

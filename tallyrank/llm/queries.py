@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pii, quality_rules, secrets, warc
+from . import line_dedup, pii, quality_rules, secrets, token_store, warc
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file on this machine; pass another path to the operators where it differs."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.report(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -53,7 +64,7 @@ f AS (
   FROM d LEFT JOIN c USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 2 * n_symbols > n_words
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 4 * n_symbols > n_words
             OR 2 * (len(ln) - len(list_distinct(ln))) > len(ln) OR 2 * bangs > n_words
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM f
