@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor loses nothing.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
