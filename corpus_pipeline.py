@@ -1,12 +1,62 @@
-"""From raw documents to sampled token ids: five stages over the corpus operators."""
+"""From raw documents to sampled token ids: five stages over the corpus operators.
+
+Each stage takes all rows its predecessor kept. Stages but the last return the columns of
+``documents``; the last returns, per document, its ids and its sampled segmentations.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyrank.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_sampling
+from tallyrank.llm.common import scratch, table
+from tallyrank.llm.queries import tokenizer_file
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every rule accepts."""
+    return quality_rules.keep_good(docs)
+
+
+def apply_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the multi-line chunks that an earlier document holds; n_chars follows the text."""
+    done = line_dedup.clean(docs)
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+
+
+def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return minhash.keep_one(docs, k=5, percent=80)
+
+
+def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its edit budget."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def apply_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (16-bit little-endian) and samples of each document."""
+    done = sentencepiece_sampling.encode_and_sample(docs, tokenizer_file("piece_bpe_32k.model"))
+    return done.select("doc_id", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), "ids", "samples")
+
+
+STAGES = [
+    ("quality rules", apply_quality_rules),
+    ("line dedup", apply_line_dedup),
+    ("MinHash near-dedup", apply_near_dedup),
+    ("benchmark decontamination", apply_decontamination),
+    ("SentencePiece encoding", apply_encoding),
+]
 
-STAGES: list = []
+#: SQL has no edit-distance search and no piece lattice; tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, name.replace(" ", "-").lower())
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

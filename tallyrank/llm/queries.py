@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_classifier, decontaminate, line_dedup, minhash, pii, quality_rules, secrets, token_store, warc
+from . import compression_classifier, decontaminate, line_dedup, minhash, pii, quality_rules, secrets, sentencepiece_sampling, token_store, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
