@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import chunks, mix
+from .shingles import _power_tables, chunks, mix
 
 ALPHA = 0.5
 SAMPLES = 3
@@ -58,6 +58,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def _unit_of(x: int) -> float:
+    """``_unit`` of one Python integer."""
+    m = (1 << 64) - 1
+    x &= m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return ((x ^ x >> 31) >> 12) * 2.0**-52 + 2.0**-53
+
+
+#: Bits of a hash that index the table which says whether it may be a piece (1) or the beginning of one (2).
+_FILTER_BITS = 20
+
+
 class _Memo(dict):
     def __init__(self, make, most):
         super().__init__()
@@ -92,7 +105,10 @@ class Coder:
             raise ValueError("a piece crosses words, so texts can't be split into chunks")
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
         spelled = {i: names[i].replace(MARK, " ").encode() for i in self.plain} | {i: bytes([b]) for b, i in self.byte_ids.items()}
-        self.spelled = [spelled.get(i, b"") for i in range(n)]
+        spelled = [spelled.get(i, b"") for i in range(n)]
+        self.spelled_size = np.array([len(x) for x in spelled])
+        self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
+        self.spelled_data = np.frombuffer(b"".join(spelled), np.uint8)
         self.pieces = {names[i]: i for i in self.plain}
         self.rank = {i: -m.get_score(i) for i in self.plain}
         self.memo = _Memo(self._chunk, MEMO)
@@ -111,96 +127,175 @@ class Coder:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.split(text)))
 
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; the library is asked for those not remembered, all at once."""
+        out = [self.memo.get(c) for c in chunks]
+        new = [i for i, x in enumerate(out) if x is None]
+        marked = [i for i in new if chunks[i][0] == MARK and len(chunks[i]) > 1]
+        for i, ids in zip(marked, self.model.encode([chunks[i][1:].replace(MARK, " ") for i in marked]) if marked else [], strict=True):
+            out[i] = np.array(ids, "<u2").tobytes()
+        for i in new:
+            if out[i] is None:
+                out[i] = self._chunk(chunks[i])
+            if len(self.memo) < MEMO:
+                self.memo[chunks[i]] = out[i]
+        return out
+
     def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u2").tolist()))
-        return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, many: list[bytes]) -> list[str]:
+        ids = np.frombuffer(b"".join(many), "<u2")
+        size = self.spelled_size[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.spelled_data[np.repeat(self.spelled_at[ids] - (ends - size), size) + np.arange(total)].tobytes()
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) // 2 for x in many])])].tolist()
+        return [data[a + (data[a : a + 1] == b" " and b > a) : b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 class Lattices:
     """The lattices of a list of chunks, summed forward, with tables for drawing backward.
 
     Nodes are the places between characters; each chunk has one more than it has characters.
-    Edges into a node stand together, likeliest first, with running sums of their
-    probabilities given the node.
+    Edges into a node stand together, longest piece first, with running sums of their
+    probabilities given the node. The path of first edges, ``main``, is mostly the likeliest.
     """
 
     def __init__(self, sampler: Sampler, words: list[str]):
         text = "".join(words)
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        size = np.array([len(w) for w in words])
-        stop = np.cumsum(size)  # in characters
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.cumsum(size)
         chunk = np.repeat(np.arange(len(words)), size)
         room = stop[chunk] - np.arange(len(code))  # characters left in the chunk
-        node = np.arange(len(code)) + chunk  # a chunk's nodes are its characters' places plus one
         self.first, self.last = stop - size + np.arange(len(words)), stop + np.arange(len(words))
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(code), _R)]))
-        down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(code), _RINV)]))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(code + _A) * up[:-1])])
-        begin, length, piece, weight = [], [], [], []
-        single = np.zeros(len(code), bool)
-        for n, (hashes, ids, logs) in sampler.by_length.items():
-            at = np.flatnonzero(room >= n)
+        up, down = _power_tables(len(code) + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(code + _A) * up[: len(code)])])
+        found, at = [], np.arange(len(code))
+        for n in range(1, sampler.longest + 1):
+            if n > 1:
+                at = at[room[at] >= n]
             if not len(at):
-                continue
+                break
             h = (total[at + n] - total[at]) * down[at]
-            slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[slot] == h
-            at, slot = at[hit], slot[hit]
-            if n == 1:
-                single[at] = True
-            begin.append(at)
-            length.append(np.full(len(at), n))
-            piece.append(ids[slot])
-            weight.append(logs[slot])
-        spare = np.flatnonzero(~single)  # characters without a piece are spelled in bytes: pseudo ids from 1 << 16 on
-        begin.append(spare)
-        length.append(np.ones(len(spare), np.int64))
-        piece.append((code[spare].astype(np.int64) + (1 << 16)))
-        weight.append(sampler.byte_log * np.array([len(chr(c).encode("utf-8", "surrogatepass")) for c in code[spare].tolist()], float))
-        begin, length, piece, weight = (np.concatenate(x) for x in (begin, length, piece, weight))
-        tail = node[begin]
-        head = tail + length
-        step = head - self.first[chunk[begin]]  # place of the head within its chunk
-        order = np.lexsort((head, step))
-        tail, head, piece, weight, step = (x[order] for x in (tail, head, piece, weight, step))
-        alpha = np.zeros(len(code) + len(words))
-        cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])) if len(step) else np.zeros(0, int)
-        for a, b in zip(cuts, [*cuts[1:], len(step)], strict=True):
-            value, to = alpha[tail[a:b]] + weight[a:b], head[a:b]
-            runs = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            most = np.maximum.reduceat(value, runs)
-            scaled = np.exp(value - np.repeat(most, np.diff([*runs, b - a])))
-            alpha[to[runs]] = most + np.log(np.add.reduceat(scaled, runs))
-        log_q = alpha[tail] + weight - alpha[head]
-        order = np.lexsort((-log_q, head))
-        self.tail, self.head, self.piece, self.log_q = tail[order], head[order], piece[order], log_q[order]
-        self.at = np.searchsorted(self.head, np.arange(len(alpha) + 1))
+            kind = sampler.filter[h >> np.uint64(64 - _FILTER_BITS)]
+            maybe = np.flatnonzero(kind & 1)
+            hashes, ids, logs = sampler.by_length.get(n, (np.zeros(1, np.uint64), None, None))
+            slot = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+            hit = hashes[slot] == h[maybe]
+            begin, slot = at[maybe[hit]], slot[hit]
+            if n == 1:  # characters without a piece are spelled in bytes: pseudo ids from 1 << 16 on
+                piece, weight = np.empty(len(code), np.int64), np.empty(len(code))
+                spare = np.ones(len(code), bool)
+                spare[begin] = False
+                piece[begin], weight[begin] = ids[slot], logs[slot]
+                odd = code[spare].astype(np.int64)
+                piece[spare] = odd + (1 << 16)
+                weight[spare] = sampler.byte_log * (1 + (odd > 0x7F) + (odd > 0x7FF) + (odd > 0xFFFF))
+                found.append((at, n, piece, weight))
+            elif len(begin):
+                found.append((begin, n, ids[slot], logs[slot]))
+            at = at[kind >= 2]  # some piece goes on from here
+        found.reverse()
+        begin = np.concatenate([f[0] for f in found])
+        tail = begin + chunk[begin]
+        head = tail + np.repeat([f[1] for f in found], [len(f[0]) for f in found])
+        piece, weight = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
+        order = np.argsort(head, kind="stable")  # merges one run a length
+        self.tail, self.piece, head, weight = tail[order], piece[order], head[order], weight[order]
+        nodes = len(code) + len(words)
+        fan = np.bincount(head, minlength=nodes)
+        self.at = np.concatenate([[0], np.cumsum(fan)])
+        local = np.arange(nodes) - np.repeat(self.first, size + 1)
+        by_place = np.argsort(local.astype(np.uint16) if len(size) and size.max() < 1 << 16 else local, kind="stable")
+        cuts = np.cumsum(np.bincount(local))
+        alpha = np.zeros(nodes)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            to = by_place[a:b]
+            n = fan[to]
+            ends = np.cumsum(n)
+            edges = np.repeat(self.at[to] - (ends - n), n) + np.arange(ends[-1])
+            value = alpha[self.tail[edges]] + weight[edges]
+            most = np.maximum.reduceat(value, ends - n)
+            alpha[to] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, n)), ends - n))
+        self.log_q = alpha[self.tail] + weight - alpha[head]
         q = np.exp(self.log_q)
         run = np.cumsum(q)
-        before = np.concatenate([[0.0], run])[self.at[self.head]]
-        self.upto = run - before  # running sum within the node
-        self.key = self.head + np.minimum(self.upto, 1.0)
-
-    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge into each node, by probability."""
-        edge = self.at[node]
-        other = np.flatnonzero(u >= self.upto[edge])
-        if len(other):
-            far = np.searchsorted(self.key, node[other] + u[other], side="right")
-            edge[other] = np.minimum(far, self.at[node[other] + 1] - 1)
-        return edge
-
-    def draw_other(self, word: int, taken: list[list[int]], u) -> list[int]:
-        """A path of a chunk, last edge first, that is none of ``taken``; ``u(step)`` gives the randomness."""
-        node, path, step = int(self.last[word]), [], 0
-        while node != self.first[word]:
-            edges = np.arange(self.at[node], self.at[node + 1])
-            weight = np.exp(self.log_q[edges])
+        self.upto = run - np.concatenate([[0.0], run])[self.at[head]]  # running sum within the node
+        self.key = head + np.minimum(self.upto, 1.0)
+        # the main path of each chunk and, at each of its nodes, the probability of following it to the start
+        step, self.main_log = self.last.copy(), np.zeros(len(words))
+        self.follow = np.ones(nodes)
+        trail, active = [], np.arange(len(words))
+        while len(active):
+            edge = self.at[step[active]]
+            trail.append((active, step[active], edge))
+            self.main_log[active] += self.log_q[edge]
+            step[active] = self.tail[edge]
+            active = active[step[active] != self.first[active]]
+        self.main_count = np.zeros(len(words), np.int64)
+        for who, node, edge in reversed(trail):
+            self.follow[node] = np.exp(self.log_q[edge]) * self.follow[self.tail[edge]]
+            self.main_count[who] += 1
+        self.main_end = np.cumsum(self.main_count)
+        self.main_piece = np.zeros(int(self.main_end[-1]), np.int64)
+        self.main_edge = np.zeros_like(self.main_piece)
+        for t, (who, _, edge) in enumerate(trail):
+            self.main_piece[self.main_end[who] - 1 - t] = self.piece[edge]
+            self.main_edge[self.main_end[who] - 1 - t] = edge
+
+    def draw(self, word: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """A path for each of ``word``, from randomness hashed from ``base``.
+
+        Returns which follow the main path, and for the others (index, edge) step by step
+        from the end. Those first decide against the main path as a whole; then each step
+        draws given that the path so far may not become the main one.
+        """
+        main = _unit(base) < np.exp(self.main_log[word])
+        active = np.flatnonzero(~main)
+        here, goal, base = self.last[word[active]], self.first[word[active]], base[active]
+        bound, steps, t = np.ones(len(active), bool), [], 1
+        while len(active):
+            u = _unit(base + np.uint64(t) * _C)
+            edge = self.at[here]
+            q = self.upto[edge]
+            rest = 1 - self.follow[here]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                keep = np.where(bound, np.where(rest > 0, q * (1 - self.follow[self.tail[edge]]) / rest, 1.0), q)
+            off = np.flatnonzero(u >= keep)
+            if len(off):
+                spread = q[off] + (u[off] - keep[off]) / (1 - keep[off]) * (1 - q[off])
+                far = np.searchsorted(self.key, here[off] + np.minimum(spread, 1 - 1e-12), side="right")
+                low, high = self.at[here[off]], self.at[here[off] + 1] - 1
+                edge[off] = np.clip(far, np.minimum(low + 1, high), high)
+                bound[off] = False
+            steps.append((active, edge))
+            here = self.tail[edge]
+            on = here != goal
+            active, here, goal, base, bound = active[on], here[on], goal[on], base[on], bound[on]
+            t += 1
+        return main, steps
+
+    def paths(self, word: np.ndarray, base: np.ndarray) -> list[list[int]]:
+        """The same draws as edge lists, last edge first."""
+        main, steps = self.draw(word, base)
+        out = [self.main_edge[self.main_end[w] - self.main_count[w] : self.main_end[w]][::-1].tolist() if m else [] for w, m in zip(word.tolist(), main, strict=True)]
+        for who, edges in steps:
+            for i, e in zip(who.tolist(), edges.tolist(), strict=True):
+                out[i].append(e)
+        return out
+
+    def draw_other(self, word: int, taken: list[list[int]], base: int) -> list[int]:
+        """A path of a chunk, last edge first, that is none of ``taken``."""
+        node, goal, path, step = int(self.last[word]), int(self.first[word]), [], 0
+        while node != goal:
+            a, b = int(self.at[node]), int(self.at[node + 1])
+            weight = np.exp(self.log_q[a:b])
             for t in taken:
-                weight[t[step] - edges[0]] -= np.exp(self.log_q[t[step:]].sum())
-            weight = np.maximum(weight, 0)
-            total = np.cumsum(weight)
-            pick = int(edges[min(np.searchsorted(total, u(step) * total[-1], side="right"), len(edges) - 1)])
+                weight[t[step] - a] -= np.exp(self.log_q[t[step:]].sum())
+            total = np.cumsum(np.maximum(weight, 0))
+            pick = a + min(int(np.searchsorted(total, _unit_of(base + (step + 1) * int(_A)) * total[-1], side="right")), b - a - 1)
             taken = [t for t in taken if t[step] == pick]
             path.append(pick)
             node, step = int(self.tail[pick]), step + 1
@@ -222,6 +317,11 @@ class Sampler:
             hashes = np.array([self._hash(names[k]) for k in mine], np.uint64)
             order = np.argsort(hashes)
             self.by_length[n] = hashes[order], ids[mine][order], log[mine][order]
+        self.longest = max(self.by_length)
+        self.filter = np.zeros(1 << _FILTER_BITS, np.uint8)
+        for bit, known in ((1, set(names)), (2, {x[:n] for x in names for n in range(1, len(x))})):
+            slots = np.array([self._hash(x) for x in known], np.uint64) >> np.uint64(64 - _FILTER_BITS)
+            self.filter[slots] |= bit
 
     @staticmethod
     def _hash(piece: str) -> np.uint64:
@@ -231,16 +331,18 @@ class Sampler:
 
     def sample(self, texts: list[list[str]], seeds: np.ndarray, k: int) -> list[list[tuple[bytes, float, float]]]:
         """For each chunked text up to k (ids, log-probability, inclusion score), best perturbed value first."""
-        out: list[list] = [[] for _ in texts]
-        full = [i for i, t in enumerate(texts) if t]
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = [(b"", 0.0, 1.0)]
+        number = _Numbers()
+        kinds = [np.fromiter(map(number.__getitem__, t), np.int64, len(t)) for t in texts]
+        return self.sample_kinds(list(number), kinds, seeds, k)
+
+    def sample_kinds(self, words: list[str], texts: list[np.ndarray], seeds: np.ndarray, k: int) -> list[list[tuple[bytes, float, float]]]:
+        """``sample`` of texts given as numbers of their chunks in ``words``."""
+        out: list[list] = [[] if len(t) else [(b"", 0.0, 1.0)] for t in texts]
+        full = [i for i, t in enumerate(texts) if len(t)]
         if not full:
             return out
-        number = _Numbers()
-        kind = np.concatenate([np.fromiter(map(number.__getitem__, texts[i]), np.int64, len(texts[i])) for i in full])
-        lat = Lattices(self, list(number))
+        kind = np.concatenate([texts[i] for i in full])
+        lat = Lattices(self, words)
         length = np.array([len(texts[i]) for i in full])
         stop = np.cumsum(length)
         begin = stop - length
@@ -302,45 +404,49 @@ class Sampler:
         taken: dict[int, list] = {}
         fixed: dict[int, list[int]] = {}  # paths drawn at a parting, which no stream repeats
         if s:
-            place = np.arange(n)
+            place, where = np.arange(n), np.flatnonzero(alive)
             for p, d in enumerate(drawn):
                 mine = ((parent == p) & alive)[doc] & (place < at[doc])
                 stream[mine] = d["stream"][mine]
-            for j in np.flatnonzero(alive).tolist():
+            here = at[where]
+            from_stream = np.array([drawn[parent[j]]["stream"][at[j]] for j in where.tolist()], np.int64)
+            paths = lat.paths(kind[here], noise[here] + from_stream.astype(np.uint64) * _B)
+            for j, path in zip(where.tolist(), paths, strict=True):
                 d, a = drawn[parent[j]], int(at[j])
-                for x, path in d["fixed_by"].get(j, {}).items():
+                for x, own in d["fixed_by"].get(j, {}).items():
                     if x < a:
-                        fixed[x] = path
+                        fixed[x] = own
                 # paths of this chunk that earlier samples of the region have; more than one if it parts where its parent did
                 old = list(d["taken"].get(j, [])) if a == d["at"][j] and d["parent"][j] >= 0 else []
-                old.append(d["fixed"][a] if a in d["fixed"] else self._path(lat, kind[a], noise[a], int(d["stream"][a])))
+                old.append(d["fixed"].get(a, path))
                 taken[j] = old
-                base = seed[j] + np.uint64(s) * _C + np.uint64(a) * _B
-                word = int(kind[a])
-                fixed[a] = lat.draw_other(word, old, lambda t, base=base: float(_unit(np.array([base + np.uint64(t + 1) * _A]))[0]))
+                fixed[a] = lat.draw_other(int(kind[a]), old, int(seed[j]) + s * int(_C) + a * int(_B))
         live = alive[doc]
         free = live.copy()
         if fixed:
             free[list(fixed)] = False
-        active = np.flatnonzero(free)
-        node, goal = lat.last[kind], lat.first[kind]
-        here, base = node[active], noise[active] + stream[active].astype(np.uint64) * _B
-        count, log_p, steps, t = np.zeros(n, np.int64), np.zeros(n), [], 0
-        while len(active):
-            edge = lat.draw(here, _unit(base + np.uint64(t) * _C))
-            steps.append((active, lat.piece[edge]))
-            count[active] += 1
-            log_p[active] += lat.log_q[edge]
-            here = lat.tail[edge]
-            on = here != goal[active]
-            active, here, base = active[on], here[on], base[on]
-            t += 1
+        free = np.flatnonzero(free)
+        word = kind[free]
+        main, steps = lat.draw(word, noise[free] + stream[free].astype(np.uint64) * _B)
+        count, log_p = np.zeros(n, np.int64), np.zeros(n)
+        count[free[main]], log_p[free[main]] = lat.main_count[word[main]], lat.main_log[word[main]]
+        for who, edge in steps:
+            count[free[who]] += 1
+            log_p[free[who]] += lat.log_q[edge]
         for x, path in fixed.items():
             count[x], log_p[x] = len(path), lat.log_q[path].sum()
         ends = np.cumsum(count)
-        pieces = np.zeros(int(ends[-1]) if n else 0, np.int64)
-        for t, (which, piece) in enumerate(steps):
-            pieces[ends[which] - 1 - t] = piece
+        pieces = np.zeros(int(ends[-1]), np.int64)
+        whole = free[main]
+        many = count[whole]
+        if len(whole):
+            reach = np.cumsum(many)
+            run = np.arange(reach[-1])
+            source = np.repeat(lat.main_end[word[main]] - many - (reach - many), many) + run
+            target = np.repeat(ends[whole] - many - (reach - many), many) + run
+            pieces[target] = lat.main_piece[source]
+        for t, (who, edge) in enumerate(steps):
+            pieces[ends[free[who]] - 1 - t] = lat.piece[edge]
         for x, path in fixed.items():
             pieces[ends[x] - len(path) : ends[x]] = lat.piece[path][::-1]
         # regions that part from this sample at a chunk; none before the place where it parted itself
@@ -364,15 +470,6 @@ class Sampler:
             "count": count, "pieces": pieces, "regions": regions, "log_p": np.add.reduceat(log_p, begin),
         }
 
-    def _path(self, lat: Lattices, word: int, noise: np.uint64, stream: int) -> list[int]:
-        """The path that a stream draws for one chunk, last edge first."""
-        node, path, base = int(lat.last[word]), [], noise + np.uint64(stream) * _B
-        while node != lat.first[word]:
-            edge = int(lat.draw(np.array([node]), _unit(np.array([base + np.uint64(len(path)) * _C])))[0])
-            path.append(edge)
-            node = int(lat.tail[edge])
-        return path
-
 
 _loaded: dict[tuple[str, float], tuple[Coder, Sampler]] = {}
 
@@ -402,12 +499,14 @@ def encode_and_sample(df: DataFrame, model: str, k: int = SAMPLES, alpha: float
         for batch in batches:
             texts, seeds = batch["__text"].tolist(), np.array([seed_of(x) for x in batch["__key"]], np.uint64)
             for a, b in chunks(texts, TOGETHER):
-                split = [coder.split(t) for t in texts[a:b]]
-                ids = [b"".join(map(coder.memo.__getitem__, s)) for s in split]
+                number = _Numbers()
+                kinds = [np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in map(coder.split, texts[a:b])]
+                known = coder.chunk_ids(list(number))
+                ids = [b"".join(map(known.__getitem__, x.tolist())) for x in kinds]
                 with np.errstate(over="ignore"):  # hashing wraps
-                    found = sampler.sample(split, seeds[a:b], k)
+                    found = sampler.sample_kinds(list(number), kinds, seeds[a:b], k)
                 out = batch.iloc[a:b][[f"k{i}" for i in range(len(keep))]].copy()
-                out["ids"], out["decoded"] = ids, [coder.decode(x) for x in ids]
+                out["ids"], out["decoded"] = ids, coder.decode_all(ids)
                 out["samples"] = [[{"ids": i, "log_prob": p, "inclusion": q} for i, p, q in s] for s in found]
                 yield out
 
