@@ -1 +1,165 @@
+"""Queries on detectors and label-free criteria over the embeddings: class 0 is the anomaly, four fifths of the rest train."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.metrics import roc_auc
+from ..functions.ranks import hash_unit
+from ..operators import detectors as det
+from .tables import r, rounded, table
+
 QUERIES: dict = {}
+DIMS = 8
+
+
+def vectors(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    v = F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double"))
+    return e.select(F.col("vec_id").alias("id"), ((F.col("label") != 0) & (F.col("vec_id") % 5 != 0)).alias("train"), v.alias("v"), F.col("label"))
+
+
+def points(spark, d) -> DataFrame:
+    return det.long_form(vectors(spark, d))
+
+
+VEC = "vec AS (SELECT vec_id AS id, label, label <> 0 AND vec_id % 5 <> 0 AS train, embedding[1:8] AS v FROM embeddings)"
+PTS = f"{VEC}, pts AS (SELECT id, label, train, unnest(range(0, 8)) AS dim, unnest(v)::DOUBLE AS x FROM vec)"
+STATS = "st AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi, count(*) AS m, quantile_cont(x, [0.01, 0.99, 0.000625, 0.999375]) AS q FROM pts WHERE train GROUP BY dim)"
+
+
+def _hist(bins: int) -> str:
+    return f"""bn AS (SELECT p.*, m, greatest(0, least({bins - 1}, floor((x - lo) / (hi - lo) * {bins})::INT)) AS bin, lo, hi FROM pts p JOIN st USING (dim) WHERE hi > lo),
+dn AS (SELECT dim, bin, count(*) / (any_value(m) * any_value(hi - lo) / {bins}) AS density FROM bn WHERE train GROUP BY ALL),
+hd AS (SELECT bn.*, coalesce(density, 0) AS density FROM bn LEFT JOIN dn USING (dim, bin))"""
+
+
+TAILS = """tr AS (SELECT dim, x FROM pts WHERE train), sk AS (SELECT dim, sign(sum(power(x - mu, 3))) AS skew FROM tr JOIN st USING (dim) GROUP BY dim),
+tl AS (SELECT p.id, p.dim, p.x, skew, greatest((SELECT count(*) FROM tr WHERE tr.dim = p.dim AND tr.x <= p.x) / m, 0.5 / m) AS l,
+  greatest((SELECT count(*) FROM tr WHERE tr.dim = p.dim AND tr.x >= p.x) / m, 0.5 / m) AS r FROM pts p JOIN st USING (dim) JOIN sk USING (dim))"""
+NEAR = """nd AS (SELECT a.id, b.id AS other, sqrt(list_sum(list_transform(range(1, 9), lambda i: power(a.v[i]::DOUBLE - b.v[i]::DOUBLE, 2)))) AS distance FROM vec a JOIN vec b ON b.train AND a.id <> b.id),
+nk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS k FROM nd)"""
+S = {
+    "maxz": f"WITH {PTS}, {STATS} SELECT id, max(abs((x - mu) / (sd + 1e-9))) AS score FROM pts JOIN st USING (dim) GROUP BY id",
+    "centroid": f"WITH {PTS}, {STATS} SELECT id, sqrt(sum(power(x - mu, 2))) AS score FROM pts JOIN st USING (dim) GROUP BY id",
+    "hbos": f"WITH {PTS}, {STATS}, {_hist(20)} SELECT id, sum(-log2(density + 1e-9)) AS score FROM hd GROUP BY id",
+    "ecod": f"WITH {PTS}, {STATS}, {TAILS} SELECT id, greatest(sum(-ln(l)), sum(-ln(r)), sum(CASE WHEN skew < 0 THEN -ln(l) ELSE -ln(r) END)) AS score FROM tl GROUP BY id",
+    "copod": f"WITH {PTS}, {STATS}, {TAILS} SELECT id, sum(greatest(CASE WHEN skew < 0 THEN -ln(l) WHEN skew > 0 THEN -ln(r) ELSE -ln(l) - ln(r) END, (-ln(l) - ln(r)) / 2)) AS score FROM tl GROUP BY id",
+    "severity": f"WITH {PTS}, {STATS}, {TAILS}, {_hist(30)} SELECT hd.id, max(greatest(-ln(least(1, 2 * least(l, r))), -ln(density + 1e-9))) AS score FROM hd JOIN tl ON tl.id = hd.id AND tl.dim = hd.dim GROUP BY hd.id",
+    "knn": f"WITH {VEC}, {NEAR} SELECT id, distance AS score FROM nk WHERE k = 5",
+    "knn_mean": f"WITH {VEC}, {NEAR} SELECT id, avg(distance) AS score FROM nk WHERE k <= 10 GROUP BY id",
+    "lof": f"""WITH {VEC}, {NEAR}, kd AS (SELECT id AS other, distance AS kd FROM nk WHERE k = 10),
+      ld AS (SELECT id, 1 / (avg(greatest(distance, kd)) + 1e-10) AS lrd FROM nk JOIN kd USING (other) WHERE k <= 10 GROUP BY id)
+      SELECT nk.id, avg(o.lrd / s.lrd) AS score FROM nk JOIN ld o ON o.id = nk.other JOIN ld s ON s.id = nk.id WHERE k <= 10 GROUP BY nk.id""",
+}
+LONG = {"maxz": det.max_z, "centroid": det.centroid_distance, "hbos": det.hbos, "ecod": det.ecod, "copod": det.copod, "severity": det.severity}
+WIDE = {"knn": det.knn, "knn_mean": det.knn_mean, "lof": det.lof}
+PANEL = ["maxz", "centroid", "hbos", "ecod", "severity"]
+
+
+def scores(spark, d, names=PANEL) -> DataFrame:
+    """(detector, id, score) of several detectors."""
+    p = points(spark, d)
+    return reduce(DataFrame.union, [LONG[n](p).select(F.lit(n).alias("detector"), "id", F.round("score", 9).alias("score")) for n in names])
+
+
+SCORES = "sc AS (" + " UNION ALL ".join(f"SELECT '{n}' AS detector, id, round(score, 9) AS score FROM ({S[n]})" for n in PANEL) + ")"
+
+
+def query(name: str, sql: str | None):
+    def keep(f):
+        QUERIES[name] = (lambda spark, d: rounded(f(spark, d), 6), sql.replace(", 9) + 0.0", ", 6) + 0.0") if sql else None)
+        return f
+
+    return keep
+
+
+for _n in LONG:
+    query(f"detect_{_n}", f"SELECT id, {r('score')} FROM ({S[_n]})")(lambda spark, d, n=_n: LONG[n](points(spark, d)))
+for _n in WIDE:
+    query(f"detect_{_n}", f"SELECT id, {r('score')} FROM ({S[_n]})")(lambda spark, d, n=_n: WIDE[n](vectors(spark, d)))
+
+query("standardise", f"WITH {PTS}, {STATS} SELECT id, dim, {r('(x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END', 'x')} FROM pts JOIN st USING (dim)")(lambda spark, d: det.standardised(points(spark, d)).select("id", F.col("dim").cast("long").alias("dim"), "x"))
+query(
+    "or_rules",
+    f"""WITH {PTS}, {STATS} SELECT id, max((x < lo OR x > hi)::INT) AS beyond_range, max((x < q[1] OR x > q[2])::INT) AS beyond_quantiles, max((x < q[3] OR x > q[4])::INT) AS beyond_bonferroni
+FROM pts JOIN st USING (dim) GROUP BY id""",
+)(lambda spark, d: det.outside_rules(points(spark, d)))
+query("nearest_neighbours", f"WITH {VEC}, {NEAR} SELECT id, other, {r('distance')}, k AS rank FROM nk WHERE k <= 3")(lambda spark, d: det.nearest(vectors(spark, d), 3))
+query(
+    "detector_leaderboard",
+    f"""WITH {SCORES}, k AS (SELECT sc.*, label = 0 AS y, rank() OVER (PARTITION BY detector ORDER BY score) + (count(*) OVER (PARTITION BY detector, score) - 1) / 2 AS rk
+  FROM sc JOIN embeddings ON vec_id = id WHERE label = 0 OR vec_id % 5 = 0)
+SELECT detector, {r("(sum(rk) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2) / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y))", "auc")} FROM k GROUP BY detector""",
+)(lambda spark, d: roc_auc(scores(spark, d).join(vectors(spark, d).where("not train").select("id", (F.col("label") == 0).cast("int").alias("y")), "id"), ["detector"], "score", "y"))
+
+RK = f"{SCORES}, rk AS (SELECT detector, id, rank() OVER (PARTITION BY detector ORDER BY score DESC) + (count(*) OVER (PARTITION BY detector, score) - 1) / 2 AS r FROM sc)"
+query("model_centrality", f"WITH {RK}, pr AS (SELECT a.detector AS a, b.detector AS b, corr(a.r, b.r) AS rho FROM rk a JOIN rk b ON a.id = b.id AND a.detector <> b.detector GROUP BY ALL) SELECT a AS detector, {r('avg(rho)', 'centrality')} FROM pr GROUP BY a")(lambda spark, d: det.centrality(scores(spark, d)))
+query("rank_agreement", f"WITH {RK} SELECT a.detector AS a, b.detector AS b, {r('corr(a.r, b.r)', 'rho')} FROM rk a JOIN rk b ON a.id = b.id AND a.detector <> b.detector GROUP BY ALL")(lambda spark, d: det.rank_agreement(scores(spark, d)))
+query("consensus_udr", f"WITH {RK}, m AS (SELECT id, avg(r) AS m FROM rk GROUP BY id) SELECT detector, {r('corr(r, m)', 'consensus')} FROM rk JOIN m USING (id) GROUP BY detector")(lambda spark, d: det.consensus(scores(spark, d)))
+query(
+    "consensus_z",
+    f"""WITH {SCORES}, z AS (SELECT *, (score - avg(score) OVER p) / (stddev_pop(score) OVER p + 1e-12) AS z FROM sc WINDOW p AS (PARTITION BY detector)),
+m AS (SELECT id, avg(z) AS m FROM z GROUP BY id), k AS (SELECT detector, rank() OVER (PARTITION BY detector ORDER BY score DESC) + (count(*) OVER (PARTITION BY detector, score) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY detector ORDER BY m DESC) + (count(*) OVER (PARTITION BY detector, m) - 1) / 2 AS b FROM sc JOIN m USING (id))
+SELECT detector, {r("corr(a, b)", "consensus")} FROM k GROUP BY detector""",
+)(lambda spark, d: det.z_consensus(scores(spark, d)))
+query("hits_authority", None)(lambda spark, d: det.hits_authority(scores(spark, d)))
+
+UNIFORM = 2000
+
+
+def curves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Normality (minus the distance to the centroid, in two dims) of rows and of points spread over their box by hash."""
+    p = points(spark, d).where("dim < 2")
+    box = p.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg(F.when(F.col("train"), F.col("x"))).alias("mu"))
+    u = spark.range(UNIFORM).join(F.broadcast(box))
+    x = F.col("lo") + hash_unit(F.lit(3), "id", "dim") * (F.col("hi") - F.col("lo"))
+    u = u.select("id", (x - F.col("mu")).alias("e"))
+    own = p.join(box, "dim").select("id", (F.col("x") - F.col("mu")).alias("e"))
+    return tuple(t.groupBy("id").agg(F.round(-F.sqrt(F.sum(F.col("e") * F.col("e"))), 9).alias("score")) for t in (own, u))
+
+
+CURVES = f"""{PTS}, bx AS (SELECT dim, min(x) AS lo, max(x) AS hi, avg(x) FILTER (WHERE train) AS mu FROM pts WHERE dim < 2 GROUP BY dim),
+own AS (SELECT id, round(-sqrt(sum(power(x - mu, 2))), 9) AS score FROM pts JOIN bx USING (dim) GROUP BY id),
+un AS (SELECT id, round(-sqrt(sum(power(lo + ('0x' || md5(concat_ws(':', 3, id, dim))[1:8])::BIGINT / 4294967296.0::DOUBLE * (hi - lo) - mu, 2))), 9) AS score FROM (SELECT unnest(range(0, {UNIFORM})) AS id), bx GROUP BY id)"""
+query(
+    "em_curve",
+    f"""WITH {CURVES}, b AS (SELECT min(score) AS lo, max(score) AS hi FROM (SELECT score FROM own UNION ALL SELECT score FROM un)),
+t AS (SELECT i, lo, hi FROM b, (SELECT unnest(range(0, 100)) AS i)),
+c AS (SELECT i, (SELECT count(*) FROM own WHERE ceil(round((score - lo) / (hi - lo) * 99, 9)) <= i) / (SELECT count(*) FROM own) AS mass,
+  (SELECT count(*) FROM un WHERE ceil(round((score - lo) / (hi - lo) * 99, 9)) <= i) / (SELECT count(*) FROM un) AS vol FROM t)
+SELECT {r("lam")}, {r("max(mass - lam * vol)", "em")} FROM c, (SELECT unnest(range(0, 11)) / 10 AS lam) GROUP BY lam""",
+)(lambda spark, d: det.em_curve(*curves(spark, d)))
+query(
+    "mv_curve",
+    f"""WITH {CURVES}, q AS (SELECT a AS alpha, (SELECT quantile_cont(score, 0.1) FROM own) AS q1, (SELECT quantile_cont(score, 0.05) FROM own) AS q2, (SELECT quantile_cont(score, 0.01) FROM own) AS q3 FROM (SELECT unnest([0.9, 0.95, 0.99])::DOUBLE AS a)),
+w AS (SELECT alpha, CASE alpha WHEN 0.9 THEN q1 WHEN 0.95 THEN q2 ELSE q3 END AS threshold FROM q)
+SELECT alpha, {r("threshold")}, {r("avg((score >= threshold)::INT)", "volume")} FROM w, un GROUP BY alpha, threshold""",
+)(lambda spark, d: det.mv_curve(*curves(spark, d), [0.9, 0.95, 0.99]))
+query(
+    "guarded_scores",
+    f"""WITH {SCORES}, g AS (SELECT *, CASE WHEN detector = 'hbos' THEN 1.0::DOUBLE WHEN detector = 'ecod' AND id = 3 THEN 'NaN'::DOUBLE ELSE score END AS s FROM sc)
+SELECT detector, id, {r("CASE WHEN max((NOT isfinite(s))::INT) OVER p = 0 AND stddev_pop(CASE WHEN isfinite(s) THEN s END) OVER p >= 1e-12 THEN s END", "score")} FROM g WINDOW p AS (PARTITION BY detector)""",
+)(
+    lambda spark, d: det.guarded(
+        scores(spark, d).withColumn("score", F.when(F.col("detector") == "hbos", 1.0).when((F.col("detector") == "ecod") & (F.col("id") == 3), float("nan")).otherwise(F.col("score"))), ["detector"]
+    )
+)
+query(
+    "cluster_composite",
+    f"""WITH {PTS}, ce AS (SELECT label AS c, dim, avg(x) AS m FROM pts GROUP BY ALL), gp AS (SELECT a.c AS a, b.c AS b, sqrt(sum(power(a.m - b.m, 2))) AS g FROM ce a JOIN ce b ON a.dim = b.dim AND a.c <> b.c GROUP BY ALL),
+fr AS (SELECT a AS c, avg(g) AS far FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY g, b) AS k FROM gp) WHERE k <= 3 GROUP BY a),
+sp AS (SELECT label AS c, id, sqrt(sum(power(x - m, 2))) AS e FROM pts JOIN ce ON c = label AND ce.dim = pts.dim GROUP BY ALL),
+pc AS (SELECT c, count(*) AS size, avg(e) AS den, any_value(far) AS far FROM sp JOIN fr USING (c) GROUP BY c), sm AS (SELECT *, 1 - size / sum(size) OVER () AS sma FROM pc),
+nm AS (SELECT c, size, (sma - min(sma) OVER ()) / (max(sma) OVER () - min(sma) OVER ()) AS s, (far - min(far) OVER ()) / (max(far) OVER () - min(far) OVER ()) AS f, (den - min(den) OVER ()) / (max(den) OVER () - min(den) OVER ()) AS e FROM sm)
+SELECT c AS cluster, size, {r("s", "size_component")}, {r("f", "far_component")}, {r("e", "density_component")}, {r("(s + f + e) / 3", "composite")} FROM nm""",
+)(lambda spark, d: det.cluster_composite(points(spark, d).join(vectors(spark, d).select("id", F.col("label").alias("cluster")), "id")))
+for _n, _f in {
+    "pca_score": det.pca_score, "linear_residual": det.linear_residual, "iforest": det.isolation_forest, "loda": det.loda, "cblof": det.cblof, "pca_embed": lambda v: det.pca_embed(v, 4),
+    "pca_whitened": lambda v: det.pca_embed(v, 8, 0.95, True), "kmeans": lambda v: det.clusters(v, 8)[0],
+}.items():
+    query(f"detect_{_n}" if _n in ("pca_score", "linear_residual", "iforest", "loda", "cblof") else _n, None)(lambda spark, d, f=_f: f(vectors(spark, d)))
