@@ -20,7 +20,7 @@ def pair():
 
 def segmentations(coder, sampler, word):
     """All paths of one chunk with their unnormalised log weights, by plain recursion."""
-    logs = {int(i): float(w) for _, ids, ws in sampler.by_length.values() for i, w in zip(ids, ws, strict=True)}
+    logs = {int(i): float(w) for i, w in zip(sampler.ids, sampler.logs, strict=True)}
     if not word:
         return [((), 0.0)]
     out = []
