@@ -103,6 +103,7 @@ def default_rules() -> list[Rule]:
         Rule("symbol_heavy", lambda t, w: n_symbols(t) * 4 > F.size(w)),
         Rule("duplicate_lines", lambda t, w: let(lines_with_words(t), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
         Rule("shouting", lambda t, w: 2 * F.regexp_count(t, F.lit(r"![\x20\x09-\x0D]|!$|!!")) > F.size(w)),
+        Rule("stutter", lambda t, w: 10 * F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) > 3 * F.size(w)),
         Rule("word_length", lambda t, w: let(word_chars(w), lambda c: (c < 2 * F.size(w)) | (c > 20 * F.size(w)))),
     ]
 
@@ -128,6 +129,12 @@ def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", sample_row
     return sorted(found, key=lambda x: (-(x[2] / max(x[1], 1e-6)), x[1], x[0].name))
 
 
+def verdict(text: Column, rules: list[Rule]) -> Column:
+    """``cascade`` with the words bound within the expression: as a column they would be inlined
+    into a filter by the optimizer, and computed again for each word."""
+    return let(words_of(text), lambda words: cascade(text, words, rules))
+
+
 def cascade(text: Column, words: Column, rules: list[Rule]) -> Column:
     """Name of the first rule that rejects, or null. CASE evaluates only as far as it must."""
     chain = None
@@ -140,14 +147,13 @@ def cascade(text: Column, words: Column, rules: list[Rule]) -> Column:
 def apply_rules(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``df`` with ``first_rule`` (null when kept) appended, replacing a column of that name."""
     ordered = [r for r, _, _ in order_rules(df, rules or default_rules(), text, sample_rows)]
-    return df.withColumn("__words", words_of(F.col(text))).withColumn("first_rule", cascade(F.col(text), F.col("__words"), ordered)).drop("__words")
+    return df.withColumn("first_rule", verdict(F.col(text), ordered))
 
 
 def keep_good(df: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """The rows of ``df`` that pass every rule, with the columns of ``df``."""
     ordered = [r for r, _, _ in order_rules(df, rules or default_rules(), text)]
-    verdict = cascade(F.col(text), F.col("__words"), ordered)
-    return df.withColumn("__words", words_of(F.col(text))).where(verdict.isNull()).drop("__words")
+    return df.where(verdict(F.col(text), ordered).isNull())
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -76,12 +76,13 @@ f AS (
   SELECT d.doc_id, t, ln, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-         len(regexp_extract_all(t, '![\x20\x09-\x0D]|!\z|!!')) AS bangs
+         len(regexp_extract_all(t, '![\x20\x09-\x0D]|!\z|!!')) AS bangs,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS same
   FROM d LEFT JOIN c USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 4 * n_symbols > n_words
-            OR 2 * (len(ln) - len(list_distinct(ln))) > len(ln) OR 2 * bangs > n_words
+            OR 2 * (len(ln) - len(list_distinct(ln))) > len(ln) OR 2 * bangs > n_words OR 10 * same > 3 * n_words
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM f
 """
