@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,11 +193,12 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
         def run(batches, held=held):
             matcher = None
-            for batch in batches:
+            for batch in batches:  # Arrow batches, so that no other column is converted
                 matcher = matcher or Matcher(held.value)
-                yield batch[[not matcher.matches(normal(t)) for t in batch[text]]]
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                yield batch.filter(pa.array([not matcher.matches(normal(t)) for t in texts], pa.bool_()))
 
-        out = out.mapInPandas(run, schema)
+        out = out.mapInArrow(run, schema)
     return out
 
 

@@ -79,9 +79,9 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
             s = np.sort(rolled[a : b - k + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            x = np.uint64(b - a)
-            for h in hashes[a:b]:
-                x = x * _R + h
+            x = b - a
+            for h in hashes[a:b].tolist():
+                x = (x * int(_R) + h) % 2**64
             out.append(mix(np.array([x], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
