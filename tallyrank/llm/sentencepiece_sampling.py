@@ -30,7 +30,9 @@ is a key of its own; an empty table gives an empty result; other columns pass th
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,7 +135,7 @@ class Coder:
         new = [i for i, x in enumerate(out) if x is None]
         marked = [i for i in new if chunks[i][0] == MARK and len(chunks[i]) > 1]
         for i, ids in zip(marked, self.model.encode([chunks[i][1:].replace(MARK, " ") for i in marked]) if marked else [], strict=True):
-            out[i] = np.array(ids, "<u2").tobytes()
+            out[i] = array("H", ids).tobytes()  # of the machine's byte order, little-endian where Spark runs
         for i in new:
             if out[i] is None:
                 out[i] = self._chunk(chunks[i])
@@ -181,21 +183,20 @@ class Lattices:
             h = (total[at + n] - total[at]) * down[at]
             kind = sampler.filter[h >> np.uint64(64 - _FILTER_BITS)]
             maybe = np.flatnonzero(kind & 1)
-            hashes, ids, logs = sampler.by_length.get(n, (np.zeros(1, np.uint64), None, None))
-            slot = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-            hit = hashes[slot] == h[maybe]
+            slot = sampler.find(h[maybe])
+            hit = slot >= 0
             begin, slot = at[maybe[hit]], slot[hit]
             if n == 1:  # characters without a piece are spelled in bytes: pseudo ids from 1 << 16 on
                 piece, weight = np.empty(len(code), np.int64), np.empty(len(code))
                 spare = np.ones(len(code), bool)
                 spare[begin] = False
-                piece[begin], weight[begin] = ids[slot], logs[slot]
+                piece[begin], weight[begin] = sampler.ids[slot], sampler.logs[slot]
                 odd = code[spare].astype(np.int64)
                 piece[spare] = odd + (1 << 16)
                 weight[spare] = sampler.byte_log * (1 + (odd > 0x7F) + (odd > 0x7FF) + (odd > 0xFFFF))
                 found.append((at, n, piece, weight))
             elif len(begin):
-                found.append((begin, n, ids[slot], logs[slot]))
+                found.append((begin, n, sampler.ids[slot], sampler.logs[slot]))
             at = at[kind >= 2]  # some piece goes on from here
         found.reverse()
         begin = np.concatenate([f[0] for f in found])
@@ -220,7 +221,7 @@ class Lattices:
             most = np.maximum.reduceat(value, ends - n)
             alpha[to] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, n)), ends - n))
         self.log_q = alpha[self.tail] + weight - alpha[head]
-        q = np.exp(self.log_q)
+        self.q = q = np.exp(self.log_q)
         run = np.cumsum(q)
         self.upto = run - np.concatenate([[0.0], run])[self.at[head]]  # running sum within the node
         self.key = head + np.minimum(self.upto, 1.0)
@@ -291,9 +292,9 @@ class Lattices:
         node, goal, path, step = int(self.last[word]), int(self.first[word]), [], 0
         while node != goal:
             a, b = int(self.at[node]), int(self.at[node + 1])
-            weight = np.exp(self.log_q[a:b])
+            weight = self.q[a:b].copy()
             for t in taken:
-                weight[t[step] - a] -= np.exp(self.log_q[t[step:]].sum())
+                weight[t[step] - a] -= math.prod(self.q[t[step:]].tolist())
             total = np.cumsum(np.maximum(weight, 0))
             pick = a + min(int(np.searchsorted(total, _unit_of(base + (step + 1) * int(_A)) * total[-1], side="right")), b - a - 1)
             taken = [t for t in taken if t[step] == pick]
@@ -311,18 +312,35 @@ class Sampler:
         log = alpha * (-np.log(rank + 3.0) - self.floor)
         self.byte_log = float(log.min()) if len(log) else -10.0
         names = [coder.model.id_to_piece(int(i)) for i in ids]
-        self.by_length = {}
-        for n in sorted({len(x) for x in names}):
-            mine = [k for k, x in enumerate(names) if len(x) == n]
-            hashes = np.array([self._hash(names[k]) for k in mine], np.uint64)
-            order = np.argsort(hashes)
-            self.by_length[n] = hashes[order], ids[mine][order], log[mine][order]
-        self.longest = max(self.by_length)
+        self.ids, self.logs, self.longest = ids, log, max(map(len, names))
+        self.hashes = np.array([self._hash(x) for x in names], np.uint64)
+        # two tables by different bits of the hash; a piece that lost its slot in the first has one in the second
+        self.shifts = [(np.uint64(64 - _FILTER_BITS), np.uint64((1 << _FILTER_BITS) - 1)), (np.uint64(20), np.uint64((1 << _FILTER_BITS) - 1))]
+        self.tables = [np.full(1 << _FILTER_BITS, -1, np.int32) for _ in self.shifts]
+        left = np.arange(len(names))
+        for (shift, mask), slots in zip(self.shifts, self.tables, strict=True):
+            where = (self.hashes[left] >> shift & mask).astype(np.int64)
+            slots[where] = left
+            left = left[slots[where] != left]
+        self.rest = np.sort(left)  # of pieces without a slot, commonly none
         self.filter = np.zeros(1 << _FILTER_BITS, np.uint8)
         for bit, known in ((1, set(names)), (2, {x[:n] for x in names for n in range(1, len(x))})):
             slots = np.array([self._hash(x) for x in known], np.uint64) >> np.uint64(64 - _FILTER_BITS)
             self.filter[slots] |= bit
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of the piece of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        open_ = np.arange(len(h))
+        for (shift, mask), slots in zip(self.shifts, self.tables, strict=True):
+            slot = slots[(h[open_] >> shift & mask).astype(np.int64)]
+            good = (slot >= 0) & (self.hashes[slot] == h[open_])
+            out[open_[good]] = slot[good]
+            open_ = open_[~good]
+        for i in self.rest:
+            out[open_[h[open_] == self.hashes[i]]] = i
+        return out
+
     @staticmethod
     def _hash(piece: str) -> np.uint64:
         code = np.array([ord(c) for c in piece], np.uint64)
