@@ -111,7 +111,8 @@ def test_constant_dim_and_outlier(spark):
     p = detectors.long_form(v)
     for f, data in [(detectors.max_z, p), (detectors.ecod, p), (detectors.severity, p), (detectors.centroid_distance, p), (detectors.knn, v), (detectors.lof, v), (detectors.pca_score, v), (detectors.isolation_forest, v), (detectors.linear_residual, v)]:
         scores = {r["id"]: r["score"] for r in f(data).collect()}
-        assert len(scores) == 61 and max(scores, key=lambda i: scores[i]) == 99, f.__name__
+        # trees cut within the training range, so the outlier may share the score of a corner
+        assert len(scores) == 61 and scores[99] >= max(scores.values()) - 1e-12, f.__name__
 
 
 def test_histograms_clamp_and_mark_rare_bins(spark):
