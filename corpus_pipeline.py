@@ -20,7 +20,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def apply_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the multi-line chunks that an earlier document holds; n_chars follows the text."""
+    """All documents, without the multi-line chunks and the passages over 50 words that an earlier document holds; n_chars follows the text."""
     done = line_dedup.clean(docs)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 

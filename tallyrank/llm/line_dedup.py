@@ -1,20 +1,29 @@
-"""Line dedup by content-defined chunks of lines (DataFrame functions only).
+"""Line dedup by content-defined chunks of lines and by windows of over 50 words (DataFrame functions only).
 
 A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes ends a
 chunk where it falls on a multiple of ``DIVISOR``, so boundaries follow the content and
 a passage moved up or down is cut the same way from its second line on. Chunks of two or
-more lines are counted over all documents. Of each repeated chunk the occurrence in the
-smallest doc_id (there the first) stays; the others go once their bytes equal those of
-the one that stays.
+more lines are spans that may go.
 
-Only hashes are aggregated. Texts are shuffled twice by document, never by chunk, and
-chunk texts only for chunks whose hash repeats; a chunk that a third of the documents
-hold is one row on the other side of a join that adaptive execution can split.
+So that no passage of more than ``MIN_WORDS`` words stays in part, the shortest run of lines
+over that many words from each line on, and that up to each line, are spans as well (a long
+line alone is one). Of a passage repeated over that many words, each line with words lies in
+such a span that is repeated whole: in the one that ends with it, or, near the passage's
+begin, in the one that starts the passage.
+
+Spans are counted over all documents. Of each repeated span the occurrence in the smallest
+doc_id (there the first) stays; the others go once their SHA-256 equals that of the one that
+stays, unless they overlap it. A line goes only for an equal one further ahead in the order of
+documents and lines, so each line stays somewhere.
+
+Only hashes are aggregated. Texts are shuffled twice by document, never by span, and only
+digests of spans are stored; a span that a third of the documents hold is one row on the
+other side of a join that adaptive execution can split.
 
 Defined results: a null text has no lines and stays null; rows with equal doc_id and text
-are one document (both keep its chunks, both lose the same ones); a null doc_id ranks
-after all others; a text may become empty, its row stays; an empty table gives an empty
-result; other columns pass through.
+are one document (both keep its spans, both lose the same ones); rows with equal doc_id and
+other text are ordered by a hash; a null doc_id ranks after all others; a text may become
+empty, its row stays; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +36,10 @@ from .common import WORD_CHAR, let, stored
 WINDOW = 2
 DIVISOR = 2
 MIN_LINES = 2
+#: Passages of more words than this go whole.
+MIN_WORDS = 50
+_BASE = 1024
+_FULL = (MIN_WORDS + 1) * _BASE
 _LAST = 2**63 - 1
 
 
@@ -61,40 +74,79 @@ def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(_LAST))).withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
 
 
-def repeated_chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(__id, __row, ks): per document the chunk numbers (from 0) that go, bytes compared."""
+def windows_of(lines: Column) -> Column:
+    """array<struct<first,n,hash>> of a text's shortest runs of lines over ``MIN_WORDS`` words, from each line on and up to each.
+
+    Lines without words begin and end no run and are left out first, so a run has at most
+    ``MIN_WORDS`` + 1 lines to add up. ``hash`` leaves them out too; digests decide.
+    """
+
+    def sums(words):
+        """Per row words * _BASE + rows of the shortest run from there on, below _FULL if there is none."""
+        add = lambda a, w: F.when(a < _FULL, a + w * _BASE + 1).otherwise(a)
+        one = lambda i: F.aggregate(F.slice(words, i, MIN_WORDS + 1), F.lit(0).cast("long"), add)
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), one)
+
+    def build(full):
+        words, hashes = F.transform(full, lambda x: x["words"]), F.transform(full, lambda x: x["hash"])
+        # a run is its first row * _BASE + its rows
+        ahead = F.transform(let(words, sums), lambda a, i: F.when(a >= _FULL, (i + 1) * _BASE + a % _BASE))
+        back = F.transform(let(F.reverse(words), sums), lambda a, i: F.when(a >= _FULL, (F.size(full) - i - a % _BASE + 1) * _BASE + a % _BASE))
+
+        def spans(hashes):
+            def one(c):
+                row, rows = (c / _BASE).cast("int"), (c % _BASE).cast("int")
+                first = F.get(full, row - 1)["at"]
+                n = F.get(full, row + rows - 2)["at"] - first + 1
+                return F.named_struct(F.lit("first"), first, F.lit("n"), n, F.lit("hash"), F.xxhash64(F.slice(hashes, row, rows)))
+
+            return F.transform(F.array_compact(F.array_union(ahead, back)), one)
+
+        return let(hashes, spans)
+
+    row = lambda x, i: F.struct((i + 1).alias("at"), F.regexp_count(x, F.lit(WORD_CHAR + "+")).cast("long").alias("words"), F.xxhash64(x).alias("hash"))
+    return let(F.filter(F.transform(lines, row), lambda x: x["words"] > 0), build)
+
+
+def spans_of(text: Column) -> Column:
+    """Chunks of at least ``MIN_LINES`` lines and windows of a text."""
+    return let(lines_of(text), lambda x: F.concat(F.filter(chunks_of(x), lambda c: c["n"] >= MIN_LINES), windows_of(x)))
+
+
+def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(__id, __row, spans): per document the spans (first line from 1, lines) that go, digests compared."""
     docs = _keyed(df.select(F.col(key), F.col(text)), text, key).select("__id", "__row", F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    cut = docs.select("__id", "__row", F.posexplode(chunks_of(lines_of(F.col("__text")))).alias("k", "c"))
-    occ = stored(cut.where(F.col("c.n") >= MIN_LINES).select("__id", "__row", "k", F.col("c.hash").alias("hash")), "chunk-hashes")
-    repeated = occ.groupBy("hash").agg(F.count("*").alias("n"), F.min("__id").alias("keep_id")).where("n > 1").select("hash", "keep_id")
-    repeated = stored(repeated, "chunk-repeats")
+    occ = docs.select("__id", "__row", F.explode(spans_of(F.col("__text"))).alias("c"))
+    occ = stored(occ.select("__id", "__row", "c.first", "c.n", "c.hash"), "span-hashes")
+    repeated = stored(occ.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "span-repeats")
     hits = occ.join(repeated.hint("shuffle_hash"), "hash")
-    per_doc = hits.groupBy("__id", "__row").agg(F.collect_list(F.struct("k", "hash", (F.col("__id") == F.col("keep_id")).alias("own"))).alias("hits"))
+    per_doc = hits.groupBy("__id", "__row").agg(F.collect_set(F.struct("first", "n")).alias("hits"))
     lines = docs.join(per_doc.hint("shuffle_hash"), ["__id", "__row"]).select("__id", "__row", "hits", lines_of(F.col("__text")).alias("lines"))
-    texts = lines.select("__id", "__row", "lines", chunks_of(F.col("lines")).alias("chunks"), F.explode("hits").alias("h"))
-    texts = texts.select("__id", "__row", "h.k", "h.hash", "h.own", chunk_text(F.col("lines"), F.get(F.col("chunks"), F.col("h.k"))).alias("body"))
-    texts = stored(texts.where(F.col("body").rlike(WORD_CHAR)), "chunk-texts")
-    # the smallest document may hold a chunk several times, or in several rows: its first stays
-    own = texts.where("own").groupBy("hash").agg(F.min("k").alias("keep_k"), F.min_by("body", "k").alias("keep_body"))
-    own = stored(own, "chunk-keepers")
-    gone = texts.join(own.hint("shuffle_hash"), "hash").where((F.col("body") == F.col("keep_body")) & ~(F.col("own") & (F.col("k") == F.col("keep_k"))))
-    return gone.groupBy("__id", "__row").agg(F.collect_set("k").alias("ks"))
+    texts = lines.select("__id", "__row", "lines", F.explode("hits").alias("h"))
+    texts = texts.select("__id", "__row", "h.first", "h.n", chunk_text(F.col("lines"), F.col("h")).alias("body")).where(F.col("body").rlike(WORD_CHAR))
+    texts = stored(texts.select("__id", "__row", "first", "n", F.unhex(F.sha2("body", 256)).alias("digest")), "span-digests")
+    own = texts.groupBy("digest").agg(F.min(F.struct("__id", "__row", "first")).alias("keep"), F.count("*").alias("c")).where("c > 1").select("digest", "keep")
+    own = stored(own, "span-keepers")
+    same = (F.col("__id") == F.col("keep.__id")) & (F.col("__row") == F.col("keep.__row"))
+    gone = texts.join(own.hint("shuffle_hash"), "digest").where(~(same & (F.col("first") < F.col("keep.first") + F.col("n"))))
+    return gone.groupBy("__id", "__row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with repeated chunks cut from ``text``, plus ``removed_lines`` (long)."""
-    gone = repeated_chunks(df, text, key)
+    """``df`` with repeated spans cut from ``text``, plus ``removed_lines`` (long)."""
+    gone = repeated_spans(df, text, key)
     joined = _keyed(df, text, key).join(gone.hint("shuffle_hash"), ["__id", "__row"], "left")
 
     def rebuild(lines):
-        def without(chunks):
-            kept = F.filter(chunks, lambda c, k: ~F.array_contains("ks", k))
-            body = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(lines, c["first"], c["n"]))), "\n")
-            return F.struct(body.alias("text"), (F.size(lines) - F.aggregate(kept, F.lit(0), lambda a, c: a + c["n"])).cast("long").alias("removed"))
+        gone_lines = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
+
+        def without(kept):
+            body = F.array_join(F.transform(kept, lambda i: F.get(lines, i - 1)), "\n")
+            return F.struct(body.alias("text"), (F.size(lines) - F.size(kept)).cast("long").alias("removed"))
 
-        return let(chunks_of(lines), without)
+        return let(F.array_except(F.sequence(F.lit(1), F.size(lines)), gone_lines), without)
 
-    out = joined.withColumn("__out", F.when(F.col("ks").isNotNull(), let(lines_of(F.col(text)), rebuild)))
+    out = joined.withColumn("__out", F.when(F.col("spans").isNotNull(), let(lines_of(F.col(text)), rebuild)))
     body = F.when(F.col("__out").isNull(), F.col(text)).otherwise(F.col("__out.text"))
     return out.select(
         *(body.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns),
