@@ -5,7 +5,10 @@
 2. The forest is ``TREES`` orders of the nodes, each sorted by eight signature values of its
    own. Nodes with a common prefix of ``MIN_DEPTH`` values are neighbours. A region that holds
    more than ``REGION`` nodes is cut deeper, by the next value, as far as needed (adaptive
-   depth); what stays too large at full depth is dealt out as pairs of blocks.
+   depth); what stays too large at full depth is dealt out as pairs of blocks. The cut only
+   saves work: once the deeper regions are joined, the nodes of each region that was cut which
+   are not in its largest component are compared with all of the region, so the components
+   are those of all pairs with a common prefix of ``MIN_DEPTH``.
 3. Within a region nodes are linked tentatively where their signatures agree in 60 % or more.
    A search that compares each node reached only with nodes not yet reached gives a spanning
    forest: one row per node, never all pairs.
@@ -163,11 +166,11 @@ def _dealt(rows: DataFrame, blocks: str, node: str) -> DataFrame:
     ).drop("__b", "__o")
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
-    """(node, region, blocks): for each tree the region of each node that has neighbours there."""
+def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, region, blocks): for each tree the region of each node that has neighbours there; (node, region) of regions that were cut."""
     trees = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     rest = trees.select("node", "tree", F.substring("sig", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("path"))
-    out = None
+    out = large = None
     for depth in range(MIN_DEPTH, DEPTH + 1):
         cut = rest.withColumn("region", F.xxhash64("tree", F.lit(depth), F.expr(f"substring(path, 1, {2 * depth})")))
         sizes = stored(cut.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "regions")
@@ -176,9 +179,51 @@ def _regions(nodes: DataFrame) -> DataFrame:
         done = (cut if last else cut.where(F.col("size") <= REGION)).select("node", "region", F.ceil(F.col("size") / REGION).alias("blocks"))
         out = done if out is None else out.union(done)
         if last:
-            return out
-        rest = stored(cut.where(F.col("size") > REGION).select("node", "tree", "path"), "deeper")
-    return out
+            return out, large
+        rest = stored(cut.where(F.col("size") > REGION).select("node", "tree", "path", "region"), "deeper")
+        large = rest.select("node", "region") if large is None else large
+        rest = rest.drop("region")
+    return out, large
+
+
+def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between components: each node of ``side`` 0 against all of ``side`` 1 of its part."""
+    least, found = int(np.ceil(AGREE * SIGNATURE)), set()
+    for g in _groups(batches, ["region", "part"]):
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), SIGNATURE)
+        label, side = g["component"].to_numpy(), g["side"].to_numpy()
+        mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        theirs = sig[other]
+        for i in mine:
+            hit = np.unique(label[other[(theirs == sig[i]).sum(axis=1) >= least]])
+            found.update((int(label[i]), int(x)) for x in hit if x != label[i])
+    yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+
+
+def _rejoined(clusters: DataFrame, large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``clusters`` with the links that the cut of ``large`` regions left out."""
+    at = stored(large.join(clusters, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "cut-regions")
+    counts = at.groupBy("region", "component").agg(F.count("*").alias("c"))
+    most = counts.groupBy("region").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("size"))
+    most = most.where(F.col("m.c") < F.col("size")).select(
+        "region",
+        F.col("m.component").alias("main"),
+        F.ceil((F.col("size") - F.col("m.c")) / REGION).cast("int").alias("ni"),
+        F.ceil(F.col("size") / REGION).cast("int").alias("nj"),
+    )
+    at = at.join(stored(most, "cut-sizes"), "region")
+    i, j = F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"), F.pmod(F.xxhash64("node"), F.col("nj")).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = at.where("component != main").select("region", "node", "component", F.lit(0).alias("side"), i.alias("i"), numbers("nj").alias("j"))
+    every = at.select("region", "node", "component", F.lit(1).alias("side"), numbers("ni").alias("i"), j.alias("j"))
+    dealt = rest.union(every).select("region", "node", "component", "side", (F.col("i") * 1_000_000 + F.col("j")).alias("part"))
+    dealt = dealt.join(nodes.select("node", "sig"), "node").select("region", "part", "side", "component", "sig")
+    dealt = dealt.repartition("region", "part").sortWithinPartitions("region", "part")
+    merged = connected(dealt.mapInPandas(_between, "a long, b long"))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    # a component's smallest node may be in no link yet
+    known = clusters.union(merged.select("component", "component")).distinct()
+    return stored(known.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "rejoined")
 
 
 def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -188,9 +233,12 @@ def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, text: str = "t
     alike = signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2")
     nodes = stored(alike.agg(F.min("id").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("sig").alias("sig")), "nodes")
 
-    regions = _dealt(stored(_regions(nodes), "members"), "blocks", "node").withColumn("part", F.col("i") * 100_000 + F.col("j")).drop("i", "j", "blocks")
+    members, large = _regions(nodes)
+    regions = _dealt(stored(members, "members"), "blocks", "node").withColumn("part", F.col("i") * 100_000 + F.col("j")).drop("i", "j", "blocks")
     beside = regions.join(nodes.select("node", "sig"), "node").repartition("region", "part").sortWithinPartitions("region", "part")
     clusters = connected(beside.mapInPandas(_tentative, "a long, b long"))
+    if large is not None:
+        clusters = _rejoined(clusters, large, nodes)
 
     members = clusters.join(nodes.select("node", "n", "f1", "f2"), "node").select("node", "f1", "f2", "n", F.col("component").alias("cluster"))
     members = stored(members, "clustered")

@@ -80,3 +80,25 @@ def test_connected_long_chain(spark):
     random.Random(2).shuffle(edges)
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_cut_regions_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TREES", 2)  # few trees, so that a link lost in one isn't found in another
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(203)]
+    docs = []
+    for i in range(60):  # near copies, so the regions of all trees are cut to the full depth
+        w = list(base)
+        w[0 if i % 2 else -1] = word()
+        docs.append((i, " ".join(w)))
+    for i in range(200):  # members at a similarity near 0.81: 5 changed words, 4 shingles each
+        w = list(base)
+        for at in range(20, 200, 36):
+            w[at + rng.randrange(12)] = word()
+        docs.append((1000 + i, " ".join(w)))
+    df, found = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), []
+    for region in (4096, 8):
+        monkeypatch.setattr(minhash, "REGION", region)
+        found.append({r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()})
+    assert found[0] == found[1]
