@@ -1,9 +1,11 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -45,6 +47,10 @@ def whole(coder, sampler, text):
     return {ids: math.exp(w - z) for ids, w in weights.items()}
 
 
+def seeds(keys):
+    return sps.seeds_of(pa.array(keys, pa.int64()))
+
+
 def as_ids(data):
     return tuple(np.frombuffer(data, "<u2").tolist())
 
@@ -64,7 +70,7 @@ def test_probabilities_and_distinctness(pair):
     coder, sampler = pair
     for text in ["the cats", "ab\nth", "漢a b", "in the"]:
         true = whole(coder, sampler, text)
-        got = sampler.sample([coder.split(text)] * 50, np.array([sps.seed_of(i) for i in range(50)]), 5)
+        got = sampler.sample([coder.split(text)] * 50, seeds(range(50)), 5)
         for samples in got:
             ids = [as_ids(x) for x, _, _ in samples]
             assert len(set(ids)) == len(ids) == min(5, len(true))
@@ -76,7 +82,7 @@ def test_probabilities_and_distinctness(pair):
 def test_all_segmentations_come_out(pair):
     coder, sampler = pair
     true = whole(coder, sampler, "in a")
-    (got,) = sampler.sample([coder.split("in a")], np.array([sps.seed_of(1)]), 10_000)
+    (got,) = sampler.sample([coder.split("in a")], seeds([1]), 10_000)
     assert {as_ids(x) for x, _, _ in got} == set(true)
     assert all(q == 1.0 for _, _, q in got)
 
@@ -85,7 +91,7 @@ def test_first_two_follow_sampling_without_replacement(pair):
     coder, sampler = pair
     text, n = "of it", 6000
     true = whole(coder, sampler, text)
-    got = sampler.sample([coder.split(text)] * n, np.array([sps.seed_of(i) for i in range(n)]), 2)
+    got = sampler.sample([coder.split(text)] * n, seeds(range(n)), 2)
     first = Counter(as_ids(s[0][0]) for s in got)
     pairs = Counter((as_ids(s[0][0]), as_ids(s[1][0])) for s in got)
     for a, p in true.items():
@@ -99,7 +105,7 @@ def test_first_two_follow_sampling_without_replacement(pair):
 def test_inclusion_scores_are_unbiased(pair):
     coder, sampler = pair
     n, text = 4000, "the it"
-    got = sampler.sample([coder.split(text)] * n, np.array([sps.seed_of(i) for i in range(n)]), 3)
+    got = sampler.sample([coder.split(text)] * n, seeds(range(n)), 3)
     mean = np.mean([sum(math.exp(p) / q for _, p, q in s) for s in got])
     assert abs(mean - 1) < 0.03
 
@@ -113,3 +119,48 @@ def test_rows(spark):
     assert got["2"].sample_tokens == got["3"].sample_tokens == [0] and got["2"].sample_inclusion == [1.0]
     assert len(set(got["4"].sample_crc32)) == sps.SAMPLES
     assert sps.report(df.limit(0), PATH).count() == 0
+
+
+def test_other_path_avoids_all_taken(pair):
+    coder, sampler = pair
+    lat = sampler.lattices
+    word = " thing"
+    number = int(lat.begin_batch(pa.array([word]), np.array([2]))[0])
+    true = segmentations(coder, sampler, word.replace(" ", "▁"))
+    z = math.log(sum(math.exp(w) for _, w in true))
+    true = {ids: math.exp(w - z) for ids, w in true}
+    paths = [lat.edges_of(number, list(ids)) for ids in true]
+    rng = random.Random(1)
+    for n in (1, 2, 3, 7, len(paths) - 1):
+        taken = rng.sample(paths, n)
+        left = [ids for ids, p in zip(true, paths, strict=True) if p not in taken]
+        assert math.isclose(lat.mass_outside(number, taken), sum(true[i] for i in left), rel_tol=1e-9)
+        got = Counter(tuple(lat.piece[lat.draw_other(number, taken, 7919 * i * i)][::-1].tolist()) for i in range(3000))
+        assert set(got) <= set(left)
+        for ids in left:
+            p = true[ids] / sum(true[i] for i in left)
+            assert abs(got[ids] / 3000 - p) < 5 * math.sqrt(p * (1 - p) / 3000) + 1e-3
+    assert lat.mass_outside(number, paths) == 0
+
+
+def test_long_unbroken_chunks(pair):
+    coder, sampler = pair
+    for text in ["ab" * 40_000, "x" * 30_000 + "ñ漢" * 50, "the" * 60]:
+        began = time.perf_counter()
+        (got,) = sampler.sample([coder.split(text)], seeds([3]), 3)
+        assert time.perf_counter() - began < 10  # under a second where nothing else runs
+        assert len({x for x, _, _ in got}) == 3 and all(coder.decode(x) == text for x, _, _ in got)
+        logs = {int(i): float(w) for i, w in zip(sampler.ids, sampler.logs, strict=True)} | {i: sampler.byte_log for i in coder.byte_ids.values()}
+        weight = [sum(logs[i] for i in as_ids(x)) for x, _, _ in got]
+        assert all(math.isclose(weight[i] - weight[0], got[i][1] - got[0][1], rel_tol=1e-6, abs_tol=1e-6) for i in (1, 2))
+
+
+def test_what_a_worker_keeps_changes_nothing(pair, monkeypatch):
+    coder, sampler = pair
+    texts = [coder.split(t) for t in ["the cat sat on the mat", "the dog\nran", "caterpillars crawl " * 20]]
+    first = sampler.sample(texts, seeds([1, 2, None]), 3)
+    monkeypatch.setattr(sps, "KEEP", 2)
+    for _ in range(3):
+        assert sampler.sample(texts, seeds([1, 2, None]), 3) == first
+    alone = [sampler.sample([t], seeds([k]), 3)[0] for t, k in zip(texts, [1, 2, None], strict=True)]
+    assert alone == first
