@@ -68,6 +68,36 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+#: Lengths that are summed one by one; longer lists are summed in blocks of so many first.
+_BLOCK = 64
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def sums_before(values: Column) -> Column:
+    """For each number of a list the sum of those before it.
+
+    In blocks, as an array that grows by appending is copied each time: n * (_BLOCK + n / _BLOCK**2) steps.
+    """
+
+    def placed(values):
+        whole = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: _total(F.slice(values, b * _BLOCK + 1, _BLOCK)))
+
+        def by_block(whole):
+            def within(before):
+                block = lambda i: (i / _BLOCK).cast("int")
+                one = lambda i: F.get(before, block(i)) + _total(F.slice(values, block(i) * _BLOCK + 1, F.pmod(i, F.lit(_BLOCK))))
+                return F.transform(values, lambda _, i: one(i))
+
+            return let(F.transform(whole, lambda _, b: _total(F.slice(whole, 1, b))), within)
+
+        return let(whole, by_block)
+
+    return F.when(F.size(values) > 0, let(values, placed)).otherwise(F.array().cast("array<int>"))
+
+
 def spans_between(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a Java pattern as structs (start, end, value).
 
@@ -77,25 +107,18 @@ def spans_between(text: Column, pattern: str) -> Column:
 
     def placed(found):
         def with_gaps(gaps):
-            step = lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                            x["hit"].alias("value"),
-                        )
-                    ),
-                ).alias("out"),
-            )
-            zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-            return F.aggregate(zipped, zero, step)["out"]
+            size = lambda g, h: F.length(g) + F.length(h)
+            before = sums_before(F.zip_with(F.slice(gaps, 1, F.size(found)), found, size))
 
-        return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(let(F.split(text, pattern), with_gaps))
+            def build(before):
+                def one(hit, i):
+                    start = F.get(before, i) + F.length(F.get(gaps, i))
+                    return F.named_struct(F.lit("start"), start, F.lit("end"), start + F.length(hit), F.lit("value"), hit)
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+                return F.transform(found, one)
+
+            return let(before, build)
 
+        return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(let(F.split(text, pattern), with_gaps))
 
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)

@@ -126,8 +126,10 @@ _LUHN = """(list_sum(list_transform(range(1, length({x}) + 1), lambda i: CASE WH
 _DIGITS = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
 _MOD97 = """(list_reduce(list_prepend(0, list_transform(string_split(replace(v, ' ', '')[5:] || v[1:4], ''),
   lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)), lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1)"""
-_TRUST = "CASE kind " + " ".join(f"WHEN '{k}' THEN {t}" for k, (t, _) in pii.TRUST.items()) + " END"
-_NEAR = "CASE kind " + " ".join(f"WHEN '{k}' THEN regexp_matches(around, '(?i)(?:{w})')" for k, (_, w) in pii.TRUST.items()) + " END"
+_TRUST, _GOOD, _BAD = (
+    "CASE kind " + " ".join(f"WHEN '{k}' THEN " + (str(v[i]) if i == 0 else f"regexp_matches(around, '{pii.context_pattern(v[i])}')") for k, v in pii.TRUST.items()) + " END"
+    for i in range(3)
+)
 #: The guarded patterns find what the plain ones do; here the plain ones stand.
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -138,7 +140,7 @@ k AS ({_sql_spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]
   UNION ALL {_sql_spans("iban", 4, r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", _MOD97)}
   UNION ALL {_sql_spans("shortcard", 5, r"[0-9](?:[\x20-]?[0-9])+", f"{_DIGITS} BETWEEN 13 AND 15 AND {_LUHN}")}),
 c AS (SELECT k.*, t[greatest(1, s + 1 - {pii.CONTEXT}):s] || ' ' || t[e + 1:e + {pii.CONTEXT}] AS around FROM k JOIN d USING (doc_id)),
-a AS (SELECT * FROM (SELECT *, least(1.0, {_TRUST} + CASE WHEN {_NEAR} THEN {pii.BONUS} ELSE 0 END) AS score FROM c) WHERE rank < 4 OR score >= {pii.THRESHOLD})
+a AS (SELECT * FROM (SELECT *, greatest(0.0, least(1.0, {_TRUST} + CASE WHEN {_GOOD} THEN {pii.BONUS} ELSE 0 END - CASE WHEN {_BAD} THEN {pii.PENALTY} ELSE 0 END)) AS score FROM c) WHERE rank < 4 OR score >= {pii.THRESHOLD})
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
        count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
        sha256(coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY rank, s) FILTER (WHERE rank < 4), '')) AS base_sha256,

@@ -10,7 +10,8 @@ weak spans are reported.
 Defined results: a null text counts as empty; rows are judged one by one, repeated rows
 give repeated results and null ids are kept; no spans gives an empty string, whose
 SHA-256 is that of no bytes; an empty table gives an empty result; other columns of the
-input are ignored.
+input are ignored, whatever their names; very long texts are searched whole, in time linear
+in their length and almost linear in their hits.
 """
 
 from __future__ import annotations

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import time
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tallyrank.llm import pii, secrets
+from tallyrank.llm import pii, queries, secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -78,8 +80,52 @@ def test_checksums_and_context(spark):
     assert "shortcard" in got[3].spans and "shortcard" not in got[4].spans and got[5].scores == "0.80"
 
 
-def test_long_runs_stay_linear_and_empty_tables(spark):
-    rows = [(1, "a" * 120_000), (2, "1" * 120_000), (3, "+1" + "-" * 120_000), (4, "AKIA" * 30_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert pii.report(df).count() == 4 and secrets.report(df).count() == 4
-    assert pii.report(df.limit(0)).count() == 0 and secrets.report(df.limit(0)).count() == 0
+LONG = 120_000
+#: Long texts in which each pattern runs far, or fails late.
+LONG_TEXTS = [
+    "a" * LONG, "1" * LONG, "1 " * (LONG // 2), "1-" * (LONG // 2), "+1" + "-" * LONG, "+1" + "2" * LONG, "a@b" + ".c" * (LONG // 2), "a@" + "b" * LONG, "a.b" * (LONG // 3), "@a" * (LONG // 2),
+    "1.1.1." + "1" * LONG, "1." * (LONG // 2), "AA11" + "A" * LONG, "AA11 " + "AAAA " * (LONG // 5), "token=" + "x" * LONG, "token" * (LONG // 5), "token" + " " * LONG + "=", "AKIA" * (LONG // 4), "f" * LONG, "Ab1" * (LONG // 3), "https://" + "a." * (LONG // 2), "https://a" + "/b" * (LONG // 2),
+]
+
+
+def test_long_runs_equal_sql(spark):
+    """The SQL has the plain patterns, and an engine for them whose time is linear whatever the pattern."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(LONG_TEXTS)))
+    df = spark.createDataFrame(list(enumerate(LONG_TEXTS)), "doc_id long, text string").repartition(8)
+    for report, name in ((pii.report, "op10_pii"), (secrets.report, "op9_secret_scan")):
+        got = {r.doc_id: (r.base_sha256, r.spans) for r in report(df).collect()}
+        want = {d: (x, spans) for d, x, spans in con.execute(f"SELECT doc_id, base_sha256, spans FROM ({queries.oracle_sql()[name]})").fetchall()}
+        for d, t in enumerate(LONG_TEXTS):
+            assert got[d] == want[d], (name, t[:20])
+
+
+def test_many_hits_equal_brute_force(spark):
+    emails, keys = " ".join(f"u{i}@ex.org" for i in range(50_000)), "\n".join(f"token={i:07d}" for i in range(50_000))
+    rows = [(1, emails), (2, keys)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    began = time.perf_counter()
+    found = {(r.doc_id, f): r for f, report in ((0, pii.report), (1, secrets.report)) for r in report(df).collect()}
+    assert time.perf_counter() - began < 60  # about 6 seconds where nothing else runs
+    assert found[1, 0].n_email == found[2, 1].n_assign == 50_000
+    for f, base, k in ((0, base_pii, 1), (1, base_secrets, 0)):
+        for d, t in rows:
+            assert found[d, f].base_sha256 == hashlib.sha256(joined(base(t), k).encode()).hexdigest()
+
+
+def test_odd_rows(spark):
+    rows = [(None, "a@b.cd", 1, 2), (None, "a@b.cd", 1, 2), (None, "x@y.zz 10.0.0.1", 1, 2), (7, "a@b.cd", 1, 2), (7, "a@b.cd", 1, 2), (7, "password=hunter22", 1, 2), (8, None, 1, 2), (9, "", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, base int").withColumn("added", F.lit(0)).withColumn("email", F.lit(0)).withColumn("__t", F.lit(0)).withColumn("linked", F.lit(0))
+    for find, want in ((pii.report, {None: ["email:0:6"] * 2 + ["email:0:6,ip:7:15"], 7: ["", "email:0:6", "email:0:6"]}), (secrets.report, {None: [""] * 3, 7: ["", "", "assign:0:17"]})):
+        got = find(df.repartition(3)).collect()
+        assert len(got) == len(rows)
+        for d, spans in (want | {8: [""], 9: [""]}).items():
+            assert sorted(r.spans for r in got if r.doc_id == d) == spans
+        assert find(df.limit(0)).collect() == []
+
+
+def test_context_changes_scores(spark):
+    rows = [(1, "call me: +49 30 1234567"), (2, "order no +49 30 1234567"), (3, "nothing +49 30 1234567"), (4, "shipped 10.0.0.1 payload"), (5, "version 10.0.0.1"), (6, "Phones: +49 30 1234567")]
+    got = {r.doc_id: r.scores for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "0.90", 2: "0.30", 3: "0.60", 4: "0.50", 5: "0.20", 6: "0.90"}
