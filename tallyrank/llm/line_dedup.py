@@ -16,14 +16,16 @@ doc_id (there the first) stays; the others go once their SHA-256 equals that of
 stays, unless they overlap it. A line goes only for an equal one further ahead in the order of
 documents and lines, so each line stays somewhere.
 
-Only hashes are aggregated. Texts are shuffled twice by document, never by span, and only
-digests of spans are stored; a span that a third of the documents hold is one row on the
-other side of a join that adaptive execution can split.
+Each line is digested once (SHA-256) and a span's digest is that of its lines' digests, so equal
+digests mean equal bytes and no text is fetched to compare. Only digests are shuffled and
+aggregated; texts are shuffled once, by document, to be cut. A span that a third of the
+documents hold is one row on the other side of a join that adaptive execution can split.
 
 Defined results: a null text has no lines and stays null; rows with equal doc_id and text
-are one document (both keep its spans, both lose the same ones); rows with equal doc_id and
-other text are ordered by a hash; a null doc_id ranks after all others; a text may become
-empty, its row stays; an empty table gives an empty result; other columns pass through.
+are one document (both keep its spans, both lose the same ones), null ids included; rows with
+equal doc_id and other text are ordered by a hash; a null doc_id ranks after all others; a text
+may become empty, its row stays; an empty table gives an empty result; other columns pass
+through, whatever their names; a very long text's spans are found in time linear in its lines.
 """
 
 from __future__ import annotations
@@ -47,38 +49,29 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def chunks_of(lines: Column) -> Column:
-    """array<struct<first,n,hash>> of a text's chunks in order; ``first`` counts from 1."""
+def chunks_of(hashes: Column) -> Column:
+    """array<struct<first,n>> of the chunks of lines with these hashes, in order; ``first`` counts from 1."""
+    ends = lambda i: (i == F.size(hashes)) | (F.pmod(F.xxhash64(*(F.get(hashes, i - w) for w in range(WINDOW, 0, -1))), F.lit(DIVISOR)) == 0)
 
-    def cut(hashes):
-        ends = lambda i: (i == F.size(hashes)) | (F.pmod(F.xxhash64(*(F.get(hashes, i - w) for w in range(WINDOW, 0, -1))), F.lit(DIVISOR)) == 0)
+    def build(cuts):
+        def one(c, k):
+            first = F.coalesce(F.get(cuts, k - 1), F.lit(0)) + 1
+            return F.named_struct(F.lit("first"), first, F.lit("n"), c - first + 1)
 
-        def build(cuts):
-            def one(c, k):
-                first = F.coalesce(F.get(cuts, k - 1), F.lit(0)) + 1
-                n = c - first + 1
-                return F.named_struct(F.lit("first"), first, F.lit("n"), n, F.lit("hash"), F.xxhash64(F.slice(hashes, first, n)))
+        return F.transform(cuts, one)
 
-            return F.transform(cuts, one)
-
-        return let(F.filter(F.sequence(F.lit(1), F.size(hashes)), ends), build)
-
-    return let(F.transform(lines, lambda x: F.xxhash64(x)), cut)
-
-
-def chunk_text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"], chunk["n"]), "\n")
+    return let(F.filter(F.sequence(F.lit(1), F.size(hashes)), ends), build)
 
 
 def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
-    return df.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(_LAST))).withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
+    return df.withColumn("__id", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST))).withColumn("__row", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
 
 
 def windows_of(lines: Column) -> Column:
-    """array<struct<first,n,hash>> of a text's shortest runs of lines over ``MIN_WORDS`` words, from each line on and up to each.
+    """array<struct<first,n>> of the shortest runs of ``lines`` over ``MIN_WORDS`` words, from each line on and up to each.
 
     Lines without words begin and end no run and are left out first, so a run has at most
-    ``MIN_WORDS`` + 1 lines to add up. ``hash`` leaves them out too; digests decide.
+    ``MIN_WORDS`` + 1 lines to add up.
     """
 
     def sums(words):
@@ -88,57 +81,59 @@ def windows_of(lines: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), one)
 
     def build(full):
-        words, hashes = F.transform(full, lambda x: x["words"]), F.transform(full, lambda x: x["hash"])
+        words = F.transform(full, lambda x: x["words"])
         # a run is its first row * _BASE + its rows
         ahead = F.transform(let(words, sums), lambda a, i: F.when(a >= _FULL, (i + 1) * _BASE + a % _BASE))
         back = F.transform(let(F.reverse(words), sums), lambda a, i: F.when(a >= _FULL, (F.size(full) - i - a % _BASE + 1) * _BASE + a % _BASE))
 
-        def spans(hashes):
-            def one(c):
-                row, rows = (c / _BASE).cast("int"), (c % _BASE).cast("int")
-                first = F.get(full, row - 1)["at"]
-                n = F.get(full, row + rows - 2)["at"] - first + 1
-                return F.named_struct(F.lit("first"), first, F.lit("n"), n, F.lit("hash"), F.xxhash64(F.slice(hashes, row, rows)))
-
-            return F.transform(F.array_compact(F.array_union(ahead, back)), one)
+        def one(c):
+            row, rows = (c / _BASE).cast("int"), (c % _BASE).cast("int")
+            first = F.get(full, row - 1)["at"]
+            return F.named_struct(F.lit("first"), first, F.lit("n"), F.get(full, row + rows - 2)["at"] - first + 1)
 
-        return let(hashes, spans)
+        return F.transform(F.array_compact(F.array_union(ahead, back)), one)
 
-    row = lambda x, i: F.struct((i + 1).alias("at"), F.regexp_count(x, F.lit(WORD_CHAR + "+")).cast("long").alias("words"), F.xxhash64(x).alias("hash"))
+    row = lambda x, i: F.struct((i + 1).alias("at"), x["words"].alias("words"))
     return let(F.filter(F.transform(lines, row), lambda x: x["words"] > 0), build)
 
 
 def spans_of(text: Column) -> Column:
-    """Chunks of at least ``MIN_LINES`` lines and windows of a text."""
-    return let(lines_of(text), lambda x: F.concat(F.filter(chunks_of(x), lambda c: c["n"] >= MIN_LINES), windows_of(x)))
+    """array<struct<first,n,digest>>: chunks of at least ``MIN_LINES`` lines and windows of a text, those without words left out."""
+
+    def of(lines):
+        spans = F.array_union(F.filter(chunks_of(F.transform(lines, lambda x: x["hash"])), lambda c: c["n"] >= MIN_LINES), windows_of(lines))
+
+        def digest(s):
+            own = F.slice(lines, s["first"], s["n"])
+            joined = F.array_join(F.transform(own, lambda x: x["digest"]), "")
+            return F.when(F.exists(own, lambda x: x["words"] > 0), F.named_struct(F.lit("first"), s["first"], F.lit("n"), s["n"], F.lit("digest"), F.unhex(F.sha2(joined, 256))))
+
+        return F.array_compact(F.transform(spans, digest))
+
+    words = lambda x: F.regexp_count(x, F.lit(WORD_CHAR + "+")).cast("long")
+    return let(F.transform(lines_of(text), lambda x: F.struct(words(x).alias("words"), F.xxhash64(x).alias("hash"), F.sha2(x, 256).alias("digest"))), of)
 
 
 def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(__id, __row, spans): per document the spans (first line from 1, lines) that go, digests compared."""
-    docs = _keyed(df.select(F.col(key), F.col(text)), text, key).select("__id", "__row", F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    occ = docs.select("__id", "__row", F.explode(spans_of(F.col("__text"))).alias("c"))
-    occ = stored(occ.select("__id", "__row", "c.first", "c.n", "c.hash"), "span-hashes")
-    repeated = stored(occ.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "span-repeats")
-    hits = occ.join(repeated.hint("shuffle_hash"), "hash")
-    per_doc = hits.groupBy("__id", "__row").agg(F.collect_set(F.struct("first", "n")).alias("hits"))
-    lines = docs.join(per_doc.hint("shuffle_hash"), ["__id", "__row"]).select("__id", "__row", "hits", lines_of(F.col("__text")).alias("lines"))
-    texts = lines.select("__id", "__row", "lines", F.explode("hits").alias("h"))
-    texts = texts.select("__id", "__row", "h.first", "h.n", chunk_text(F.col("lines"), F.col("h")).alias("body")).where(F.col("body").rlike(WORD_CHAR))
-    texts = stored(texts.select("__id", "__row", "first", "n", F.unhex(F.sha2("body", 256)).alias("digest")), "span-digests")
-    own = texts.groupBy("digest").agg(F.min(F.struct("__id", "__row", "first")).alias("keep"), F.count("*").alias("c")).where("c > 1").select("digest", "keep")
+    """(__id, __row, __spans): per document the spans (first line from 1, lines) that go."""
+    docs = _keyed(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), text, key).where(F.col(f"`{text}`").isNotNull())
+    occ = docs.select("__id", "__row", F.explode(spans_of(F.col(f"`{text}`"))).alias("c"))
+    occ = stored(occ.select("__id", "__row", "c.first", "c.n", "c.digest"), "span-digests")
+    own = occ.groupBy("digest").agg(F.min(F.struct("__id", "__row", "first")).alias("keep"), F.count("*").alias("c")).where("c > 1").select("digest", "keep")
     own = stored(own, "span-keepers")
     same = (F.col("__id") == F.col("keep.__id")) & (F.col("__row") == F.col("keep.__row"))
-    gone = texts.join(own.hint("shuffle_hash"), "digest").where(~(same & (F.col("first") < F.col("keep.first") + F.col("n"))))
-    return gone.groupBy("__id", "__row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    gone = occ.join(own.hint("shuffle_hash"), "digest").where(~(same & (F.col("first") < F.col("keep.first") + F.col("n"))))
+    return gone.groupBy("__id", "__row").agg(F.collect_set(F.struct("first", "n")).alias("__spans"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with repeated spans cut from ``text``, plus ``removed_lines`` (long)."""
-    gone = repeated_spans(df, text, key)
+    """``df`` with repeated spans cut from ``text``, plus ``__removed`` (long), the number of lines cut."""
+    gone = stored(repeated_spans(df, text, key), "spans-to-cut")
     joined = _keyed(df, text, key).join(gone.hint("shuffle_hash"), ["__id", "__row"], "left")
+    body = F.col(f"`{text}`")
 
     def rebuild(lines):
-        gone_lines = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
+        gone_lines = F.flatten(F.transform("__spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
 
         def without(kept):
             body = F.array_join(F.transform(kept, lambda i: F.get(lines, i - 1)), "\n")
@@ -146,10 +141,10 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
         return let(F.array_except(F.sequence(F.lit(1), F.size(lines)), gone_lines), without)
 
-    out = joined.withColumn("__out", F.when(F.col("spans").isNotNull(), let(lines_of(F.col(text)), rebuild)))
-    body = F.when(F.col("__out").isNull(), F.col(text)).otherwise(F.col("__out.text"))
+    out = joined.withColumn("__out", F.when(F.col("__spans").isNotNull(), let(lines_of(body), rebuild)))
+    left = F.when(F.col("__out").isNull(), body).otherwise(F.col("__out.text"))
     return out.select(
-        *(body.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns),
+        *(left.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns),
         F.coalesce(F.col("__out.removed"), F.lit(0).cast("long")).alias("__removed"),
     )
 

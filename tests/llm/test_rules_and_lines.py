@@ -87,16 +87,32 @@ def chunks(text):
     return out
 
 
+def spans(text):
+    """(first, lines) of the chunks of two or more lines and of the shortest runs over 50 words from and up to each line with words."""
+    lines, out, at = text.split("\n"), set(), 0
+    for c in chunks(text):
+        out |= {(at, len(c))} if len(c) > 1 else set()
+        at += len(c)
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+    for i in (i for i, n in enumerate(words) if n):
+        ahead = next((j for j in range(i, len(lines)) if sum(words[i : j + 1]) > line_dedup.MIN_WORDS), None)
+        back = next((j for j in range(i, -1, -1) if sum(words[j : i + 1]) > line_dedup.MIN_WORDS), None)
+        out |= {(i, ahead - i + 1)} if ahead is not None else set()
+        out |= {(back, i - back + 1)} if back is not None else set()
+    return {(a, n, "\n".join(lines[a : a + n])) for a, n in out if any(words[a : a + n])}
+
+
 def brute(docs):
+    """The documents without the spans that stand further ahead."""
     first, cut = {}, {}
-    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0])):
-        for k, c in enumerate(chunks(t) if t is not None else []):
-            if len(c) > 1 and re.search(r"[^\x20\x09-\x0D]", "\n".join(c)):
-                first.setdefault("\n".join(c), (d, k))
+    rank = lambda d: (d is None, d or 0)
+    for d, t in docs:
+        for a, _, body in spans(t) if t is not None else ():
+            first[body] = min(first.get(body, (rank(d), a)), (rank(d), a))
     for d, t in docs:
         if t is not None:
-            kept = [c for k, c in enumerate(chunks(t)) if first.get("\n".join(c), (d, k)) == (d, k)]
-            cut[d] = "\n".join(x for c in kept for x in c)
+            gone = {x for a, n, body in spans(t) if not (first[body][0] == rank(d) and a < first[body][1] + n) for x in range(a, a + n)}
+            cut[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
     return cut
 
 
@@ -111,7 +127,7 @@ def test_line_chunks_equal_brute_force(spark):
             parts.insert(1, rng.choice(passages))
         docs.append((i, "\n".join(x for p in parts for x in p)))
     docs += [(100, "\n\n\n\n"), (101, "\n\n\n\n"), (102, ""), (103, None), (104, "only one line"), (105, "only one line")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hash", F.lit("x")).withColumn("k", F.lit(1)).repartition(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hash", F.lit("x")).withColumn("ks", F.lit(1)).withColumn("spans", F.lit(1)).withColumn("digest", F.lit(1)).withColumn("first", F.lit(1)).repartition(4)
     got = {r.doc_id: r.text for r in line_dedup.clean(df).collect()}
     assert {d: t for d, t in got.items() if t is not None} == brute(docs) and got[103] is None
     assert line_dedup.clean(df).columns == df.columns
@@ -140,3 +156,15 @@ def test_repeated_rows_stay(spark):
 def test_rejects_repeated_words(spark, n):
     df = spark.createDataFrame([(1, "word " * 10 * n)], "doc_id long, text string")
     assert quality_rules.keep_good(df).count() == 0
+
+
+def test_null_and_equal_ids(spark):
+    text = "\n".join(f"line number {i} of the passage" for i in range(30))
+    rows = [(None, text), (None, "other start\n" + text), (None, None), (7, "x\n" + text), (7, "y\n" + text), (7, "y\n" + text), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.report(df).collect()
+    assert len(got) == len(rows)
+    kept = [(r.doc_id, r.text) for r in got if r.n_lines_removed == 0 and r.text]
+    # of document 7 one text keeps the passage (the repeated row is the same document); the null ids' lose it
+    assert len({t for d, t in kept}) == 1 and {d for d, _ in kept} == {7}
+    assert all(r.n_lines_removed == 30 for r in got if r.doc_id is None and r.text is not None)
