@@ -8,15 +8,17 @@ exact edit distance of the best match in that stretch (hits of one item that fal
 overlapping stretches are verified once). Nothing that has at most k edits is missed.
 
 Texts and items are compared lower-cased with runs of white space as one space; offsets
-refer to that form.
+refer to that form. An item too short for an edit is found only as whole words: a letter or
+digit may not stand beside it.
 
 The items are the stated query set: they are counted first, and each ``BLOCK_CHARS``
 characters of them make one automaton, sent to the workers; more items mean more
-passes over the documents, never a larger broadcast.
+passes over the documents, one after another, never a larger broadcast.
 
 Defined results: null and empty texts and items match nothing; repeated documents or items
-are matched each on its own, null ids are carried; empty tables give an empty result; other
-columns are ignored.
+are matched each on its own (a row gives its own rows of matches), null ids are carried; empty
+tables give an empty result; other columns are ignored, whatever their names; a very long text
+is searched whole, in one pass.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Share of an item's characters that may be inserted, deleted or replaced.
 RATE = 0.05
 #: Characters of items in one automaton.
 BLOCK_CHARS = 1_000_000
 
-MATCH = "doc_id long, item_id long, distance int, budget int, start int, end int"
+MATCH = "doc_id long, item_id long, distance int, budget int, start int, end int, best boolean"
 
 
 def normal(text: str | None) -> str:
@@ -133,8 +138,12 @@ class Matcher:
     def verify(self, i: int, text: str, a: int, b: int) -> tuple[int, int, int] | None:
         _, item, k = self.items[i]
         exact = text.find(item, a, b)
+        while not k and exact >= 0 and (text[exact - 1 : exact].isalnum() or text[exact + len(item) : exact + len(item) + 1].isalnum()):
+            exact = text.find(item, exact + 1, b)
         if exact >= 0:
             return 0, exact, exact + len(item)
+        if not k:
+            return None
         there, back = self._masks(i)
         distance, end = myers(there, len(item), text[a:b])
         if distance > k:
@@ -145,65 +154,75 @@ class Matcher:
         return distance, end - length, end
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """Items in blocks of at most BLOCK_CHARS characters (or one item), each read when it is needed."""
+def _blocks(items: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """Items in blocks of at most BLOCK_CHARS characters (or one item), each as a broadcast, and whether it is the only one.
+
+    One of several is destroyed when the next is asked for, so its pass has to be stored by then.
+    """
+    spark = items.sparkSession
     rows = items.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_CHARS
-    if n == 1:
-        yield [(r.id, normal(r.text)) for r in rows.toLocalIterator()]
-        return
+    n = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
     for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        yield [(r.id, normal(r.text)) for r in part.toLocalIterator()]
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
+        held = spark.sparkContext.broadcast([(r.id, normal(r.text)) for r in part.toLocalIterator()])
+        yield held, n == 1
+        if n > 1:
+            held.destroy()
 
 
 def find_matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, distance, budget, start, end) of every stretch that matches within the budget."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(doc_id, item_id, distance, budget, start, end, best) of every stretch that matches within the budget.
 
-    def one(block):
-        held = spark.sparkContext.broadcast(block)
+    ``best`` marks the first of the least distance for each row and item.
+    """
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
+    def matching(held: Broadcast):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matcher = None
             for batch in batches:
                 matcher = matcher or Matcher(held.value)
                 found = []
                 for doc, t in zip(batch["id"], batch["text"], strict=True):
-                    for i, distance, start, end in matcher.matches(normal(t)):
-                        item_id, _, k = matcher.items[i]
-                        found.append((None if pd.isna(doc) else int(doc), item_id, distance, k, start, end))
+                    matches = matcher.matches(normal(t))
+                    best = {}
+                    for m in matches:
+                        best[m[0]] = min(best.get(m[0], m), m, key=lambda x: x[1:3])
+                    for m in matches:
+                        item_id, _, k = matcher.items[m[0]]
+                        found.append((None if pd.isna(doc) else int(doc), item_id, m[1], k, *m[2:], best[m[0]] is m))
                 out = pd.DataFrame(found, columns=[c.split()[0] for c in MATCH.split(", ")])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        return rows.mapInPandas(run, MATCH)
+        return run
 
-    return reduce(DataFrame.union, [one(b) for b in _blocks(items)])
+    found = []
+    for held, alone in _blocks(items):
+        part = rows.mapInPandas(matching(held), MATCH)
+        found.append(part if alone else stored(part, "matches"))
+    return reduce(DataFrame.union, found)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns. Rows of null id are matched by their own text."""
-    spark = docs.sparkSession
-    schema = docs.schema
-    out = docs
-    for block in _blocks(items):
-        held = spark.sparkContext.broadcast(block)
 
-        def run(batches, held=held):
+    def free(held: Broadcast):
+        def run(batches):
             matcher = None
             for batch in batches:  # Arrow batches, so that no other column is converted
                 matcher = matcher or Matcher(held.value)
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
                 yield batch.filter(pa.array([not matcher.matches(normal(t)) for t in texts], pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return run
+
+    now, schema = docs, docs.schema
+    for held, alone in _blocks(items):
+        now = now.mapInArrow(free(held), schema)
+        now = now if alone else stored(now, "decontaminated")
+    return now
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The best match of each document and item that match."""
-    best = Window.partitionBy("doc_id", "item_id").orderBy("distance", "start")
-    found = find_matches(docs, items)
-    return found.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+    """The best match of each row and item that match."""
+    return find_matches(docs, items).where("best").drop("best")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql.functions import lit as d_lit
 
 from tallyrank.llm import decontaminate as d
 
@@ -40,6 +41,16 @@ def test_myers_equals_dynamic_programme():
         assert distance(p, t[:end]) == best
 
 
+def alone(item, text):
+    """Whether a short item stands in a text as whole words."""
+    at = [i for i in range(len(text)) if text.startswith(item, i)]
+    return any(not (text[i - 1 : i] if i else "").isalnum() and not text[i + len(item) : i + len(item) + 1].isalnum() for i in at)
+
+
+def found(item, text):
+    return alone(item, text) if d.budget(len(item)) == 0 else distance(item, text) <= d.budget(len(item))
+
+
 def cases(n=300):
     rng = random.Random(8)
     item = lambda m: d.normal("".join(rng.choice("abcdefgh  ") for _ in range(m)))
@@ -58,7 +69,7 @@ def cases(n=300):
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(d, "BLOCK_CHARS", block)
     docs, items = cases()
-    want = {(i, j): x for i, t in docs for j, p in items if p and (x := distance(p, d.normal(t))) <= d.budget(len(p))}
+    want = {(i, j): distance(p, d.normal(t)) for i, t in docs for j, p in items if p and found(p, d.normal(t))}
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in d.report(dd, ii).collect()}
     assert got == want
@@ -77,3 +88,22 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.find_matches(docs, none).count() == 0 and d.clean(docs, none).count() == 3
     assert d.report(docs.limit(0), items).count() == 0
+
+
+def test_rows_report_alone(spark):
+    docs = spark.createDataFrame([(None, "a the quick brown fox"), (None, "b the quick brown fox"), (1, "the quick brown fox"), (1, "the quick brown fox"), (1, "see the quick brown fox, the quick brown fox")], "doc_id long, text string").withColumn("best", d_lit(1))
+    items = spark.createDataFrame([(7, "The  quick\nbrown fox")], "item_id long, text string")
+    assert sorted((str(r.doc_id), r.start) for r in d.report(docs.repartition(3), items).collect()) == [("1", 0), ("1", 0), ("1", 4), ("None", 2), ("None", 2)]
+
+
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "another theme"), (2, "In THE end"), (3, "other, the"), (4, "the")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    assert {r.doc_id for r in d.report(docs, items).collect()} == {2, 3, 4} and [r.doc_id for r in d.clean(docs, items).collect()] == [1]
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "lorem ipsum " * 300_000 + item.replace("word7 ", "wrd7 ")), (2, "lorem ipsum " * 300_000)], "doc_id long, text string")
+    (r,) = d.report(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert (r.doc_id, r.distance, r.start) == (1, 1, 3_600_000)
