@@ -5,22 +5,28 @@
 2. The forest is ``TREES`` orders of the nodes, each sorted by eight signature values of its
    own. Nodes with a common prefix of ``MIN_DEPTH`` values are neighbours. A region that holds
    more than ``REGION`` nodes is cut deeper, by the next value, as far as needed (adaptive
-   depth); what stays too large at full depth is dealt out as pairs of blocks. The cut only
-   saves work: once the deeper regions are joined, the nodes of each region that was cut which
-   are not in its largest component are compared with all of the region, so the components
-   are those of all pairs with a common prefix of ``MIN_DEPTH``.
+   depth); what stays too large at full depth is dealt out in blocks, each with the same few
+   ``PIVOTS`` of the region beside it. The cut only saves work (see 5).
 3. Within a region nodes are linked tentatively where their signatures agree in 60 % or more.
    A search that compares each node reached only with nodes not yet reached gives a spanning
    forest: one row per node, never all pairs.
 4. Components of these tentative links are clusters. Each node's text goes to its cluster
-   once, and there full sets decide every link (again by search over nodes not yet reached), so
-   a link between two documents of a cluster can't be missed. Clusters over ``BLOCK`` documents
-   are dealt out as pairs of blocks and joined through their spanning links.
-5. Components of confirmed links give component_id, and copies take that of their node.
+   once, and there full sets decide every link (again by search over nodes not yet reached),
+   so a link between two documents of a cluster can't be missed; sets are passed over only
+   where their sizes, or the counts of their shingles by hash class, leave no room for the
+   similarity. Clusters over ``REGION`` documents are dealt out in blocks with pivots too.
+5. Blocks and deeper cuts leave pairs uncompared. So the nodes of a group that was cut which
+   are not in its largest component are compared with all of the group, in blocks; pairs
+   within that component need no link. The components are then those of all pairs. In a group
+   of near copies almost all nodes are in one component, so this is little work; in a group of
+   n texts without one it is n * n / REGION rows.
+6. Components of confirmed links give component_id, and copies take that of their node.
 
 Defined results: a null text is empty; empty texts are linked with nothing; rows sharing a
-doc_id are one document, their links are pooled; a null doc_id has no links, a null component
-and is kept; an empty table gives an empty result; other columns are ignored.
+doc_id and text are one document; of rows sharing a doc_id with other text each has the links
+of its text, pooled where that doc_id is the smallest of both texts' copies; a null doc_id has
+no links, a null component and is kept; an empty table gives an empty result; other columns are
+ignored, whatever their names; a very long text has one set of all its shingles.
 """
 
 from __future__ import annotations
@@ -37,11 +43,12 @@ from .components import connected
 from .shingles import SIGNATURE, chunks, fingerprints, shingle_sets, signatures
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
-REGION = 4096
+#: Nodes of a group that one task compares with each other, and nodes of a larger group that all its blocks share.
+REGION, PIVOTS = 128, 16
 #: Least share of equal signature values for a tentative link at a similarity of 0.8: five to six deviations below it.
 AGREE = 0.6
-#: Documents and shingles of a cluster that one task compares with as many others.
-BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+#: Shingles of a cluster that one task compares with as many others.
+BLOCK_SHINGLES = 1_000_000
 
 
 def _signed(k: int):
@@ -112,7 +119,7 @@ def spanning(n: int, near) -> np.ndarray:
 def _tentative(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning tentative links of this partition's regions, as (node, smallest node linked here)."""
     union, least = _Union(), int(np.ceil(AGREE * SIGNATURE))
-    for g in _groups(batches, ["region", "part"]):
+    for g in _groups(batches, ["region", "block"]):
         nodes = g["node"].to_numpy()
         sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(nodes), SIGNATURE)
         root = spanning(len(nodes), lambda i, rest: (sig[rest] == sig[i]).sum(axis=1) >= least)  # noqa: B023
@@ -122,52 +129,87 @@ def _tentative(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+class _Sets:
+    """Full shingle sets of a group of documents, compared by size, then hash classes, then shingles."""
+
+    def __init__(self, g: pd.DataFrame, k: int, percent: int):
+        texts = g["text"].tolist()
+        sets = [s for a, b in chunks(texts) for s in shingle_sets(texts[a:b], k)]
+        f1, f2 = fingerprints(sets)
+        own = np.flatnonzero((f1 == g["f1"].to_numpy()) & (f2 == g["f2"].to_numpy()))  # other rows of this doc_id are other nodes
+        seen = pd.DataFrame({"node": g["node"].to_numpy()[own], "f1": f1[own], "f2": f2[own], "side": g["side"].to_numpy()[own] if "side" in g else 0})
+        self.pick = own[~seen.duplicated().to_numpy()]
+        self.fill([sets[i] for i in self.pick], percent)
+
+    def fill(self, sets: list[np.ndarray], percent: int) -> None:
+        self.percent, self.sizes = percent, np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        row = np.repeat(np.arange(len(sets)), self.sizes)
+        self.classes = np.bincount(row * 256 + (flat >> np.uint64(56)).astype(np.int64), minlength=256 * len(sets)).reshape(-1, 256)
+        self.flat = np.unique(flat, return_inverse=True)[1]
+        self.mark = np.zeros(int(self.flat.max()) + 1, np.int64)
+
+    def near(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """Which of the sets ``rest`` have at least the similarity with set i."""
+        sizes, percent = self.sizes, self.percent
+        enough = lambda both, other: 100 * both >= percent * (sizes[i] + other - both)
+        out = np.zeros(len(rest), bool)
+        maybe = np.flatnonzero(enough(np.minimum(sizes[rest], sizes[i]), sizes[rest]))
+        maybe = maybe[enough(np.minimum(self.classes[rest[maybe]], self.classes[i]).sum(axis=1), sizes[rest[maybe]])]
+        if len(maybe):
+            mine = self.flat[self.at[i] : self.at[i + 1]]
+            self.mark[mine] = 1
+            lengths = sizes[rest[maybe]]
+            ends = np.cumsum(lengths)
+            where = np.repeat(self.at[rest[maybe]] - (ends - lengths), lengths) + np.arange(ends[-1])
+            both = np.add.reduceat(self.mark[self.flat[where]], ends - lengths)
+            self.mark[mine] = 0
+            out[maybe] = enough(both, lengths)
+        return out
+
+
 def _confirmed(k: int, percent: int):
+    """Spanning links of each block of a cluster, as (node, smallest node linked here, blocks)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["cluster", "block"]):
+            sets = _Sets(g, k, percent)
+            nodes, union = g["node"].to_numpy()[sets.pick], _Union()
+            for i, r in enumerate(spanning(len(nodes), sets.near).tolist()):
+                union.link(int(nodes[i]), int(nodes[r]))
+            names = np.unique(nodes)
+            yield pd.DataFrame({"node": names, "to": [union.find(x) for x in names.tolist()], "blocks": int(g["blocks"].iloc[0])})
+
+    return run
+
+
+def _confirmed_between(k: int, percent: int):
+    """Links (a, b) between components of a cluster: each node of ``side`` 0 against all of ``side`` 1 of its part."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "i", "j"]):
-            texts, nodes = g["text"].tolist(), g["node"].to_numpy()
-            sets = [s for a, b in chunks(texts) for s in shingle_sets(texts[a:b], k)]
-            f1, f2 = fingerprints(sets)
-            own = (f1 == g["f1"].to_numpy()) & (f2 == g["f2"].to_numpy())  # other rows of this doc_id are other nodes
-            _, first = np.unique(nodes[own], return_index=True)
-            pick = np.flatnonzero(own)[first]
-            nodes, sets = nodes[pick], [sets[i] for i in pick]
-            sizes = np.array([len(s) for s in sets])
-            flat, at = np.unique(np.concatenate(sets), return_inverse=True)[1], np.concatenate([[0], np.cumsum(sizes)])
-            sig, mark = signatures(sets), np.zeros(int(flat.max()) + 1, np.int64)
-
-            def near(i, rest):
-                near_size = (sizes[rest] * 100 >= percent * sizes[i]) & (sizes[i] * 100 >= percent * sizes[rest])  # noqa: B023
-                maybe = np.flatnonzero(near_size & ((sig[rest] == sig[i]).mean(axis=1) >= AGREE))  # noqa: B023
-                out = np.zeros(len(rest), bool)
-                if len(maybe):
-                    mark[flat[at[i] : at[i + 1]]] = 1  # noqa: B023
-                    lengths = sizes[rest[maybe]]  # noqa: B023
-                    ends = np.cumsum(lengths)
-                    where = np.repeat(at[rest[maybe]] - (ends - lengths), lengths) + np.arange(ends[-1])  # noqa: B023
-                    both = np.add.reduceat(mark[flat[where]], ends - lengths)  # noqa: B023
-                    mark[flat[at[i] : at[i + 1]]] = 0  # noqa: B023
-                    out[maybe] = 100 * both >= percent * (sizes[i] + lengths - both)  # noqa: B023
-                return out
-
-            root = spanning(len(nodes), near)
-            low = nodes.copy()
-            np.minimum.at(low, root, nodes)
-            yield pd.DataFrame({"node": nodes, "to": low[root], "blocks": int(g["blocks"].iloc[0])})
+        found = set()
+        for g in _groups(batches, ["group", "i", "j"]):
+            sets = _Sets(g, k, percent)
+            label, side = g["component"].to_numpy()[sets.pick], g["side"].to_numpy()[sets.pick]
+            other = np.flatnonzero(side == 1)
+            for x in np.flatnonzero(side == 0).tolist():
+                rest = other[label[other] != label[x]]
+                found.update((int(label[x]), y) for y in np.unique(label[rest[sets.near(x, rest)]]).tolist())
+        yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _dealt(rows: DataFrame, blocks: str, node: str) -> DataFrame:
-    """Rows with the block pairs (i, j) that they belong to; a single block is (0, 0)."""
-    mine = F.pmod(F.xxhash64(node), F.col(blocks))
-    return rows.withColumn("__b", mine).withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))).select(
-        "*", F.least("__b", "__o").cast("int").alias("i"), F.greatest("__b", "__o").cast("int").alias("j")
-    ).drop("__b", "__o")
+def _dealt(rows: DataFrame, blocks: str, size: str, node: str) -> DataFrame:
+    """Rows with their ``block``; of more than one block each also holds the pivots."""
+    mine = F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
+    pivot = (F.col(blocks) > 1) & (F.pmod(F.xxhash64(node, F.lit(1)), F.col(size)) < PIVOTS)
+    return rows.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)).otherwise(F.array(mine))))
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, region, blocks): for each tree the region of each node that has neighbours there; (node, region) of regions that were cut."""
+    """(node, region, size): for each tree the region of each node that has neighbours there; (node, region) of regions that were cut."""
     trees = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     rest = trees.select("node", "tree", F.substring("sig", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("path"))
     out = large = None
@@ -176,7 +218,7 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         sizes = stored(cut.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"), "regions")
         cut = cut.join(sizes.hint("shuffle_hash"), "region")
         last = depth == DEPTH or sizes.where(F.col("size") > REGION).isEmpty()
-        done = (cut if last else cut.where(F.col("size") <= REGION)).select("node", "region", F.ceil(F.col("size") / REGION).alias("blocks"))
+        done = (cut if last else cut.where(F.col("size") <= REGION)).select("node", "region", "size")
         out = done if out is None else out.union(done)
         if last:
             return out, large
@@ -187,9 +229,9 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links (a, b) between components: each node of ``side`` 0 against all of ``side`` 1 of its part."""
+    """Tentative links (a, b) between components: each node of ``side`` 0 against all of ``side`` 1 of its part."""
     least, found = int(np.ceil(AGREE * SIGNATURE)), set()
-    for g in _groups(batches, ["region", "part"]):
+    for g in _groups(batches, ["group", "i", "j"]):
         sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), SIGNATURE)
         label, side = g["component"].to_numpy(), g["side"].to_numpy()
         mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -200,32 +242,40 @@ def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
 
-def _rejoined(clusters: DataFrame, large: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``clusters`` with the links that the cut of ``large`` regions left out."""
-    at = stored(large.join(clusters, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "cut-regions")
-    counts = at.groupBy("region", "component").agg(F.count("*").alias("c"))
-    most = counts.groupBy("region").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("size"))
-    most = most.where(F.col("m.c") < F.col("size")).select(
-        "region",
-        F.col("m.component").alias("main"),
-        F.ceil((F.col("size") - F.col("m.c")) / REGION).cast("int").alias("ni"),
-        F.ceil(F.col("size") / REGION).cast("int").alias("nj"),
-    )
-    at = at.join(stored(most, "cut-sizes"), "region")
-    i, j = F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"), F.pmod(F.xxhash64("node"), F.col("nj")).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = at.where("component != main").select("region", "node", "component", F.lit(0).alias("side"), i.alias("i"), numbers("nj").alias("j"))
-    every = at.select("region", "node", "component", F.lit(1).alias("side"), numbers("ni").alias("i"), j.alias("j"))
-    dealt = rest.union(every).select("region", "node", "component", "side", (F.col("i") * 1_000_000 + F.col("j")).alias("part"))
-    dealt = dealt.join(nodes.select("node", "sig"), "node").select("region", "part", "side", "component", "sig")
-    dealt = dealt.repartition("region", "part").sortWithinPartitions("region", "part")
-    merged = connected(dealt.mapInPandas(_between, "a long, b long"))
-    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+def _left_to_compare(at: DataFrame) -> DataFrame | None:
+    """(group, node, component, side, i, j): the nodes of each group outside its largest component (side 0) beside all of it (side 1).
+
+    In parts (i, j) of at most about ``REGION`` nodes a side. None where no group has such nodes.
+    """
+    counts = at.groupBy("group", "component").agg(F.count("*").alias("c"))
+    most = counts.groupBy("group").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("size"))
+    blocks = lambda n: F.ceil(n / REGION).cast("int")
+    most = most.where(F.col("m.c") < F.col("size")).select("group", F.col("m.component").alias("main"), blocks(F.col("size") - F.col("m.c")).alias("ni"), blocks(F.col("size")).alias("nj"))
+    most = stored(most, "cut-groups")
+    if most.isEmpty():
+        return None
+    at = at.join(most.hint("shuffle_hash"), "group")
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = at.where("component != main").select("group", "node", "component", F.lit(0).alias("side"), number("ni").alias("i"), every("nj").alias("j"))
+    whole = at.select("group", "node", "component", F.lit(1).alias("side"), every("ni").alias("i"), number("nj").alias("j"))
+    return rest.union(whole)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) with components linked by ``links`` (a, b) joined."""
+    merged = connected(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
     # a component's smallest node may be in no link yet
-    known = clusters.union(merged.select("component", "component")).distinct()
+    known = labels.union(merged.select("component", "component")).distinct()
     return stored(known.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "rejoined")
 
 
+def _parted(dealt: DataFrame, rows: DataFrame, run) -> DataFrame:
+    """The links that ``run`` finds in the parts of ``dealt``, with each node's ``rows``."""
+    parts = dealt.join(rows, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return stored(parts.mapInPandas(run, "a long, b long"), "links-between")
+
+
 def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: ``key``, n_shingles, component_id, kept (and copies: rows with an equal set)."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -234,26 +284,37 @@ def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, text: str = "t
     nodes = stored(alike.agg(F.min("id").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("sig").alias("sig")), "nodes")
 
     members, large = _regions(nodes)
-    regions = _dealt(stored(members, "members"), "blocks", "node").withColumn("part", F.col("i") * 100_000 + F.col("j")).drop("i", "j", "blocks")
-    beside = regions.join(nodes.select("node", "sig"), "node").repartition("region", "part").sortWithinPartitions("region", "part")
+    blocks = F.ceil(F.col("size") / REGION)
+    regions = _dealt(stored(members, "members").withColumn("blocks", blocks), "blocks", "size", "node").drop("size", "blocks")
+    beside = regions.join(nodes.select("node", "sig"), "node").repartition("region", "block").sortWithinPartitions("region", "block")
     clusters = connected(beside.mapInPandas(_tentative, "a long, b long"))
     if large is not None:
-        clusters = _rejoined(clusters, large, nodes)
+        at = large.join(clusters, "node", "left").select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"))
+        dealt = _left_to_compare(stored(at, "cut-regions"))
+        if dealt is not None:
+            clusters = _merged(clusters, _parted(dealt, nodes.select("node", "sig"), _between))
 
     members = clusters.join(nodes.select("node", "n", "f1", "f2"), "node").select("node", "f1", "f2", "n", F.col("component").alias("cluster"))
     members = stored(members, "clustered")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("long")
-    sizes = stored(sizes.select("cluster", blocks.alias("blocks")), "cluster-sizes")
+    blocks = F.greatest(F.ceil(F.col("c") / REGION), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    sizes = stored(sizes.select("cluster", "c", blocks.alias("blocks")), "cluster-sizes")
     members = members.join(sizes, "cluster")
-    texts = docs.join(members.hint("shuffle_hash"), docs["id"] == members["node"]).select("cluster", "blocks", "node", "f1", "f2", "text")
-    grouped = _dealt(texts, "blocks", "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    named = docs.withColumnRenamed("id", "node")
+    grouped = named.join(_dealt(members, "blocks", "c", "node").select("cluster", "blocks", "block", "node", "f1", "f2").hint("shuffle_hash"), "node")
+    grouped = grouped.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
     links = stored(grouped.mapInPandas(_confirmed(k, percent), "node long, to long, blocks long"), "links")
 
     split = links.where("blocks > 1")
     labels = links.where("blocks = 1").select("node", F.col("to").alias("component"))
     if not split.isEmpty():
         joined = connected(split.select(F.col("node").alias("a"), F.col("to").alias("b")))
+        at = members.where("blocks > 1").join(joined, "node", "left")
+        at = stored(at.select(F.col("cluster").alias("group"), "node", F.coalesce("component", "node").alias("component")).distinct(), "cut-clusters")
+        dealt = _left_to_compare(at)
+        if dealt is not None:
+            texts = named.join(members.where("blocks > 1").select("node", "f1", "f2").hint("shuffle_hash"), "node")
+            joined = _merged(at.select("node", "component").distinct(), _parted(dealt, texts, _confirmed_between(k, percent)))
         labels = labels.union(joined)
     labels = labels.where("node != component")
     known = nodes.join(labels, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("moved"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
@@ -52,10 +53,11 @@ def check(got, want):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
-@pytest.mark.parametrize("region,block", [(4096, 2048), (8, 16)])
-def test_equals_brute_force(spark, monkeypatch, region, block):
+@pytest.mark.parametrize("region,pivots,shingles", [(128, 16, 1_000_000), (8, 2, 1_000_000), (8, 0, 300)])
+def test_equals_brute_force(spark, monkeypatch, region, pivots, shingles):
     monkeypatch.setattr(minhash, "REGION", region)
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     check(minhash.near_duplicates(df).collect(), brute(docs))
@@ -98,7 +100,30 @@ def test_cut_regions_lose_no_links(spark, monkeypatch):
             w[at + rng.randrange(12)] = word()
         docs.append((1000 + i, " ".join(w)))
     df, found = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), []
-    for region in (4096, 8):
+    for region in (4096, 16):
         monkeypatch.setattr(minhash, "REGION", region)
         found.append({r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()})
     assert found[0] == found[1]
+
+
+def test_same_id_with_other_text(spark):
+    a, b = "one two three four five six seven", "red orange yellow green blue indigo violet"
+    df = spark.createDataFrame([(1, a), (1, b), (4, a), (3, b), (9, "no copies of this text")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1), (4, 1), (3, 1), (9, 9)}
+
+
+def test_exact_sets_pass_over_nothing():
+    rng = random.Random(3)
+    base = [rng.randrange(2**64) for _ in range(3000)]
+    sets = []
+    for _ in range(60):
+        keep = rng.choice([0.3, 0.78, 0.88, 0.9, 0.95, 1.0])
+        sets.append({x for x in base if rng.random() < keep} | {rng.randrange(2**64) for _ in range(rng.choice([0, 100, 300]))})
+    sets += [set(base[:n]) for n in (1, 2, 4, 5, 800, 1000)]
+    got = minhash._Sets.__new__(minhash._Sets)
+    got.fill([np.array(sorted(x), np.uint64) for x in sets], 80)
+    for i, x in enumerate(sets):
+        rest = np.array([j for j in range(len(sets)) if j != i])
+        want = [100 * len(x & sets[j]) >= 80 * len(x | sets[j]) for j in rest]
+        assert got.near(i, rest).tolist() == want
