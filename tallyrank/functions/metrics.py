@@ -78,6 +78,14 @@ def recall_at_fpr(df: DataFrame, groups: list[str], score: str, label: str, fpr:
     return c.groupBy(*groups).agg(F.max(at).alias("recall"))
 
 
+def anomaly_percentile(df: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:
+    """(groups, anom_pct): median over the positives of the share of rows that score strictly lower, in per cent."""
+    c = score_counts(df, groups, score, label)
+    below = F.col("pos") + F.col("neg") - F.col("tp0") - F.col("fp0") - F.col("n")
+    c = c.where("p > 0").withColumn("pct", 100.0 * below / (F.col("pos") + F.col("neg")))
+    return c.groupBy(*groups).agg(F.percentile("pct", F.lit(0.5), F.col("p")).alias("anom_pct"))
+
+
 def spearman(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     """(groups, n, note, rho): Pearson of mean ranks, taken anew over the rows where both are known."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.metrics import ratio
 from ..functions.ranks import row_order
+from ..functions.scratch import stored
+from . import detectors as det
 
 
 def drop_conflicts(df: DataFrame, features: list[str], key: str, label: str) -> DataFrame:
@@ -48,7 +51,10 @@ def double_hard(df: DataFrame, groups: list[str], score: str, label: str, percen
 
 
 def two_stage(a: DataFrame, b: DataFrame, normals: DataFrame, share: float = 0.95) -> DataFrame:
-    """(id, caught): a row is caught if either score passes that percentile of its own normals."""
+    """(id, caught): a row is caught if either score passes that percentile of the held-out normals'.
+
+    ``normals`` (id): rows that neither score was fitted on, else the promise of 1 - share false alarms doesn't hold.
+    """
     def over(s, name):
         cut = s.join(normals, "id", "left_semi").agg(F.percentile("score", F.lit(share)).alias("c"))
         return s.join(F.broadcast(cut)).select("id", (F.col("score") > F.col("c")).cast("int").alias(name))  # one row
@@ -56,6 +62,70 @@ def two_stage(a: DataFrame, b: DataFrame, normals: DataFrame, share: float = 0.9
     return over(a, "a").join(over(b, "b"), "id").select("id", F.greatest("a", "b").alias("caught"))
 
 
+def two_stage_hardening(rows: DataFrame, share: float = 0.95) -> DataFrame:
+    """(id, caught) by the severity of the rows as they are, and of their whitened components of 95 % of the variance.
+
+    ``rows``: (id, train, normal, v); thresholds come from the normals that aren't training rows.
+    """
+    white = det.pca_embed(rows, 1 << 30, 0.95, True).join(rows.select("id", "train"), "id").withColumnRenamed("z", "v")
+    plain, latent = (stored(det.severity(det.long_form(t)), "severity") for t in (rows, white))
+    return two_stage(plain, latent, rows.where("normal and not train").select("id"), share)
+
+
+def both_hard(rows: DataFrame, percentiles: list[float]) -> DataFrame:
+    """(percentile, n_anomalies, n_hard, n_hard_maxz): anomalies that stay within that percentile of all normals in max-z and in the linear
+    residual too (max-z alone where there is no residual). ``rows``: (id, train, v, y) with ``train`` true for the normals."""
+    z = det.max_z(det.long_form(rows)).select("id", F.round("score", 9).alias("z"))
+    own = stored(z.join(det.linear_residual(rows).select("id", F.round("score", 9).alias("l")), "id").join(rows.select("id", "y"), "id"), "hardness")
+    at = F.array(*(F.lit(p / 100) for p in percentiles))
+    cut = own.where("y = 0").agg(F.percentile("z", at).alias("qz"), F.percentile("l", at).alias("ql"))
+    cut = cut.select(F.explode(F.arrays_zip(F.array(*map(F.lit, percentiles)).alias("percentile"), "qz", "ql")).alias("c")).select("c.*")
+    easy = F.col("z") > F.col("qz")
+    return own.where("y = 1").join(F.broadcast(cut)).groupBy("percentile").agg(  # a row a percentile
+        F.count("*").alias("n_anomalies"), F.count_if(~easy & F.coalesce(F.col("l") <= F.col("ql"), F.lit(True))).alias("n_hard"), F.count_if(~easy).alias("n_hard_maxz")
+    )
+
+
+def staged(candidates: DataFrame, trivial: float = 0.9, normals: int = 800, hard: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(the candidates left, (stage, n)): few enough trivial anomalies, normals enough, effective hard anomalies enough, then the largest of equal fingerprints.
+
+    ``candidates``: (dataset, frac_triv, n_norm, n_eff, fp).
+    """
+    one = candidates.where(F.col("frac_triv") < trivial)
+    two = one.where(F.col("n_norm") >= normals)
+    three = two.where(F.col("n_eff") >= hard)
+    four = best_per(three, "fp", F.col("n_eff").desc(), F.col("dataset"))
+    count = lambda t, n: t.agg(F.lit(n).alias("stage"), F.count("*").alias("n"))
+    stages = count(candidates, "0 candidates")
+    for name, t in (("1 not trivial", one), ("2 normals", two), ("3 hard anomalies", three), ("4 fingerprints", four)):
+        stages = stages.union(count(t, name))
+    return four, stages
+
+
+def audit(included: DataFrame, family: Column) -> DataFrame:
+    """(check, holds): whether a benchmark's included datasets are valid, diverse and fair.
+
+    ``included``: (dataset, base_rate, spread, zone, best, gt_best).
+    """
+    i = included.withColumn("family", family)
+    share = lambda c: i.groupBy(c).agg(F.count("*").alias("n")).select((F.col("n") / F.sum("n").over(Window.partitionBy())).alias("s"))  # noqa: E731  a row a winner
+    one = i.agg(F.max("base_rate").alias("rate"), F.min("spread").alias("spread"), F.min((F.col("zone") == "live").cast("int")).alias("live"), F.min("best").alias("best"), F.count_distinct("gt_best").alias("winners"))
+    one = one.join(F.broadcast(share("gt_best").agg(F.max("s").alias("top")))).join(F.broadcast(share("family").agg(F.max("s").alias("largest"), F.count_if(F.col("s") > 0.05).alias("active"))))  # one row each
+    checks = {
+        "base_rate_within_cap": F.col("rate") <= 0.2501, "spread_everywhere": F.col("spread") >= 0.1, "all_live": F.col("live") == 1, "best_above_base_rate": F.col("best") > 0,
+        "no_winner_over_40_percent": F.col("top") <= 0.4, "twelve_winners": F.col("winners") >= 12, "no_family_over_75_percent": F.col("largest") <= 0.75, "two_families_win": F.col("active") >= 2,
+    }
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).cast("int").alias("holds")) for n, c in checks.items()))).alias("z")).select("z.*")
+
+
+def refiltered(included: DataFrame, rule: DataFrame, picks: DataFrame, cut: float = 0.85) -> DataFrame:
+    """(selector, before, after, n_before, n_after): mean regret over the included datasets, and over those whose rule AUC isn't above ``cut`` (none known: kept)."""
+    kept = included.select("dataset").join(rule, "dataset", "left").withColumn("keep", ~F.coalesce(F.col("rule_auc") > cut, F.lit(False)))
+    both = picks.join(kept, "dataset")
+    after = F.when(F.col("keep"), F.col("regret"))
+    return both.groupBy("selector").agg(F.avg("regret").alias("before"), F.avg(after).alias("after"), F.count("*").alias("n_before"), F.count(after).alias("n_after"))
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Per dataset best, mean, worst and spread of ap_norm, ranking, zone and inclusion.
 
@@ -73,23 +143,27 @@ def manifest(df: DataFrame) -> DataFrame:
 
 
 def selectors(df: DataFrame) -> DataFrame:
-    """(selector, dataset, regret, rank_pos): picks by truth, its opposite, the globally best variant and label-free criteria.
+    """(selector, dataset, regret, rank_pos): picks by truth, its opposite, the variant best on average and label-free criteria.
 
-    ``df``: (dataset, variant, truth, em, mv, consensus); mv is best where smallest.
+    ``df``: (dataset, variant, truth, em, mv, consensus) and, if present, further criteria (centrality,
+    hits, nomas) and a ``modality``, within which the average is then taken; mv is best where
+    smallest. Variants named like isolation forests give ``iforest_random``, their mean.
     """
-    mean = df.groupBy("variant").agg(F.avg("truth").alias("g"))
-    df = df.join(mean, "variant")
+    of = ["variant", *(c for c in ("modality",) if c in df.columns)]
+    df = df.join(df.groupBy(*of).agg(F.avg("truth").alias("g")), of)
     by = {"oracle": F.col("truth"), "anti_oracle": -F.col("truth"), "global_fixed": F.col("g"), "em": F.col("em"), "mv": -F.col("mv"), "consensus": F.col("consensus")}
+    by |= {c: F.col(c) for c in ("centrality", "hits", "nomas") if c in df.columns}
     w = Window.partitionBy("dataset")
     placed = df.select(
-        "dataset", "truth", F.max("truth").over(w).alias("best"), F.count("*").over(w).alias("n"), (row_order(F.col("truth").desc(), F.col("variant"), groups=("dataset",)) - 1).alias("pos"),
+        "dataset", "truth", F.col("variant").rlike("^(IForest|IF_)").alias("forest"), F.max("truth").over(w).alias("best"), F.count("*").over(w).alias("n"), (row_order(F.col("truth").desc(), F.col("variant"), groups=("dataset",)) - 1).alias("pos"),
         *(row_order(v.desc(), F.col("variant"), groups=("dataset",)).alias(f"k_{s}") for s, v in by.items()),
     )
     pick = F.explode(F.array(*(F.struct(F.lit(s).alias("selector"), F.col(f"k_{s}").alias("k")) for s in by)))
     picks = placed.select("dataset", "truth", "best", "n", "pos", pick.alias("p")).where("p.k = 1")
     picks = picks.select("p.selector", "dataset", (F.col("best") - F.col("truth")).alias("regret"), ratio(F.col("pos"), F.col("n") - 1).alias("rank_pos"))
     chance = df.groupBy("dataset").agg((F.max("truth") - F.avg("truth")).alias("regret")).select(F.lit("random").alias("selector"), "dataset", "regret", F.lit(0.5).alias("rank_pos"))
-    return picks.union(chance)
+    forest = placed.where("forest").groupBy("dataset").agg((F.max("best") - F.avg("truth")).alias("regret"), F.avg(ratio(F.col("pos"), F.col("n") - 1)).alias("rank_pos"))
+    return picks.union(chance).union(forest.select(F.lit("iforest_random").alias("selector"), "dataset", "regret", "rank_pos"))
 
 
 def invariants(picks: DataFrame) -> DataFrame:
@@ -107,6 +181,15 @@ def leaderboard(picks: DataFrame, family: DataFrame) -> DataFrame:
     return per.groupBy("selector").agg((F.sum("s") / F.sum("n")).alias("micro"), F.avg("m").alias("macro"))
 
 
+def leaderboard_tests(picks: DataFrame, against: tuple[str, ...] = ("em", "mv")) -> DataFrame:
+    """(selector, against, n, z, p): signed-rank tests of a selector's regrets against those of the criteria, dataset by dataset; null without differences."""
+    other = picks.where(F.col("selector").isin(*against)).select(F.col("selector").alias("against"), "dataset", F.col("regret").alias("r2"))
+    both = picks.join(other, "dataset").where("selector <> against").withColumn("x", F.round(F.col("r2") - F.col("regret"), 12))
+    pairs = both.select("selector", "against").distinct()
+    tests = stats.with_p(stats.wilcoxon(both, ["selector", "against"], "x"))
+    return pairs.join(tests, ["selector", "against"], "left").select("selector", "against", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "z", "p")
+
+
 def routed(df: DataFrame, margin: float = -0.14) -> DataFrame:
     """(dataset, variant): the first criterion's pick unless its best value falls short of the second's by the margin.
 
@@ -144,6 +227,19 @@ def greedy_cover(df: DataFrame, radius: float) -> DataFrame:
     return df.select("dataset", "id", "v").groupBy("dataset").applyInPandas(run, "dataset int, n_eff long")
 
 
+def effective_count(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """``greedy_cover`` of standardised rows at the training rows' own scale: the median distance to their nearest neighbour.
+
+    ``train``: (id, v), ``rows``: (dataset, id, v).
+    """
+    both = train.select((F.col("id") * 2).alias("id"), F.lit(True).alias("train"), "v").union(rows.select((F.col("id") * 2 + 1).alias("id"), F.lit(False).alias("train"), "v"))
+    z = det.standardised(det.long_form(both)).groupBy("id", "train").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("v"))
+    z = stored(z, "standardised")
+    radius = det.nearest(z.where("train"), 1).agg(F.percentile("distance", F.lit(0.5)).alias("r")).first()["r"] + 1e-9
+    own = z.where("not train").select(F.floor((F.col("id") - 1) / 2).cast("long").alias("id"), "v")
+    return greedy_cover(own.join(rows.select("dataset", "id"), "id"), radius)
+
+
 def unfinished(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of the work list without a finished row: what a resumed run has left."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ratio
+from ..functions.scratch import stored
 
 
 def long_form(df: DataFrame, vector: str = "v", dims: int | None = None) -> DataFrame:
@@ -40,12 +41,12 @@ def centroid_distance(df: DataFrame) -> DataFrame:
 
 
 def histograms(df: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
-    """(df with ``bin``, table of (dim, bin, density)): equal widths over the training range, values outside clamped, constant dims left out."""
+    """(df with ``bin``, table of (dim, bin, density, share)): equal widths over the training range, values outside clamped, constant dims left out."""
     edges = df.where("train").groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("m")).where("hi > lo")
     place = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     binned = df.join(edges, "dim").withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).cast("int"))
-    dens = binned.where("train").groupBy("dim", "bin", "lo", "hi", "m").agg((F.count("*") / (F.col("m") * (F.col("hi") - F.col("lo")) / bins)).alias("density"))
-    return binned, dens.select("dim", "bin", "density")
+    dens = binned.where("train").groupBy("dim", "bin", "lo", "hi", "m").agg((F.count("*") / F.col("m")).alias("share"))
+    return binned, dens.select("dim", "bin", (F.col("share") / ((F.col("hi") - F.col("lo")) / bins)).alias("density"), "share")
 
 
 def hbos(df: DataFrame, bins: int = 20) -> DataFrame:
@@ -53,20 +54,31 @@ def hbos(df: DataFrame, bins: int = 20) -> DataFrame:
     return binned.join(dens, ["dim", "bin"], "left").groupBy("id").agg(F.sum(-F.log2(F.coalesce("density", F.lit(0.0)) + 1e-9)).alias("score"))
 
 
+#: Ranges of values into which a dimension is dealt when places among its values are counted.
+RANGES = 64
+
+
 def tails(df: DataFrame) -> DataFrame:
-    """Adds l and r: share of training values at most and at least x, floored at half a row, and the sign of the skew.
+    """Adds l and r: share of training values at most and at least x, floored at half a row, le and ge (the same, not floored), m (training rows) and the sign of the skew.
 
-    The training values of a dimension are reduced to counts per distinct value; a value
-    finds its place among them by one window over the union.
+    The training values of a dimension are reduced to counts per distinct value. Distinct values
+    are dealt into ranges by approximate quantiles; a value's place is the count of the ranges
+    before it and a window within its range, so no task holds all values of a dimension.
     """
-    train = df.where("train").groupBy("dim", "x").agg(F.count("*").alias("c"))
-    skew = df.where("train").groupBy("dim").agg(F.avg("x").alias("mu"), F.count("*").alias("m")).join(df.where("train"), "dim")
-    skew = skew.groupBy("dim", "m").agg(F.signum(F.sum((F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")))).alias("skew"))
-    marks = df.select("dim", "x").distinct().join(train, ["dim", "x"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    up, down = (Window.partitionBy("dim").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("x").asc(), F.col("x").desc()))
-    marks = marks.select("dim", "x", F.sum("c").over(up).alias("le"), F.sum("c").over(down).alias("ge")).join(skew, "dim")
-    floor = lambda c: F.greatest(F.col(c) / F.col("m"), F.lit(0.5) / F.col("m"))
-    return df.join(marks.select("dim", "x", floor("le").alias("l"), floor("ge").alias("r"), "skew"), ["dim", "x"])
+    bounds = F.percentile_approx("x", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 1000)
+    stats = df.where("train").groupBy("dim").agg(F.avg("x").alias("mu"), F.count("*").alias("m"), bounds.alias("bounds"))
+    cube = (F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu"))
+    skew = df.where("train").join(stats, "dim").groupBy("dim", "m").agg(F.signum(F.sum(cube)).alias("skew"))
+    marks = df.groupBy("dim", "x").agg(F.count_if("train").alias("c")).join(stats.select("dim", "bounds"), "dim")
+    marks = marks.select("dim", "x", "c", F.size(F.filter("bounds", lambda b: b < F.col("x"))).alias("range"))
+    before = marks.groupBy("dim", "range").agg(F.sum("c").alias("n"))
+    upto = Window.partitionBy("dim").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    before = before.select("dim", "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = Window.partitionBy("dim", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("le", F.sum("c").over(within)).join(before, ["dim", "range"]).withColumn("le", F.col("le") + F.col("before")).join(skew, "dim")
+    floor = lambda c: F.greatest(c / F.col("m"), F.lit(0.5) / F.col("m"))
+    ge = F.col("m") - F.col("le") + F.col("c")
+    return df.join(marks.select("dim", "x", floor(F.col("le")).alias("l"), floor(ge).alias("r"), (F.col("le") / F.col("m")).alias("le"), (ge / F.col("m")).alias("ge"), "m", "skew"), ["dim", "x"])
 
 
 def ecod(df: DataFrame) -> DataFrame:
@@ -82,12 +94,42 @@ def copod(df: DataFrame) -> DataFrame:
     return t.groupBy("id").agg(F.sum(F.greatest(skewed, (l + r) / 2)).alias("score"))
 
 
+def surprises(df: DataFrame, bins: int = 30) -> DataFrame:
+    """(id, dim, tail, own, outside): two-sided tail surprise (floor at half a row), surprise of the bin's share of rows, and whether x lies
+    outside the training range or in a bin without training rows. Dims that are constant in training are left out."""
+    t = tails(df).withColumnRenamed("m", "__m")
+    binned, dens = histograms(t, bins)
+    tail = -F.log(F.greatest(2 * F.least(F.col("le"), 1 - F.col("le")), F.lit(0.5) / F.col("__m")))
+    share = F.coalesce("share", F.lit(0.0))
+    outside = (F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")) | (share == 0)
+    return binned.join(dens, ["dim", "bin"], "left").select("id", "dim", tail.alias("tail"), (-F.log(share + 1e-9)).alias("own"), outside.alias("outside"))
+
+
+def _largest(df: DataFrame, parts: DataFrame, value: Column) -> DataFrame:
+    """(id, score): the largest value of a row's dims, 0 for rows without any."""
+    found = parts.groupBy("id").agg(F.greatest(F.max(value), F.lit(0.0)).alias("score"))
+    return df.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def severity(df: DataFrame, bins: int = 30) -> DataFrame:
     """Largest over the dimensions of the two-sided tail surprise and the surprise of the bin."""
-    binned, dens = histograms(tails(df), bins)
-    tail = -F.log(F.least(F.lit(1.0), 2 * F.least("l", "r")))
-    own = -F.log(F.coalesce("density", F.lit(0.0)) + 1e-9)
-    return binned.join(dens, ["dim", "bin"], "left").groupBy("id").agg(F.max(F.greatest(tail, own)).alias("score"))
+    return _largest(df, surprises(df, bins), F.greatest("tail", "own"))
+
+
+def edge_severity(df: DataFrame, bins: int = 30) -> DataFrame:
+    """The half of ``severity`` that looks at tails only."""
+    return _largest(df, surprises(df, bins), F.col("tail"))
+
+
+def histogram_severity(df: DataFrame, bins: int = 30) -> DataFrame:
+    """The half of ``severity`` that looks at bins only, gaps inside the range among them."""
+    return _largest(df, surprises(df, bins), F.col("own"))
+
+
+def support_rule(df: DataFrame, bins: int = 30, rare: float = 20.0) -> DataFrame:
+    """(id, n_outside, score): dims out of the training support, and the largest surprise, ``rare`` where out of support."""
+    s = surprises(df, bins).groupBy("id").agg(F.count_if("outside").alias("n_outside"), F.max(F.when(F.col("outside"), rare).otherwise(F.col("own"))).alias("score"))
+    return df.select("id").distinct().join(s, "id", "left").select("id", F.coalesce("n_outside", F.lit(0).cast("long")).alias("n_outside"), F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
 def outside_rules(df: DataFrame) -> DataFrame:
@@ -102,41 +144,37 @@ def outside_rules(df: DataFrame) -> DataFrame:
     )
 
 
-#: Training rows held by one task when distances are taken; more make further passes.
-TRAIN_BLOCK = 50_000
+#: Rows of either side in a pair of blocks whose distances one task takes.
+NEAR_BLOCK = 2048
 
 
 def nearest(df: DataFrame, k: int, train: DataFrame | None = None) -> DataFrame:
     """(id, other, distance, rank) of the k nearest training rows, the row itself left out, ties by id.
 
-    ``df`` has id and vector ``v``. Training rows are sent in blocks of at most TRAIN_BLOCK; the
-    nearest of each block meet in one aggregation of k rows a block and id.
+    ``df`` has id and vector ``v``. Both sides are dealt into blocks and each pair of blocks is a
+    group of its own; the k nearest of each pair meet in one aggregation. Exact, so the distances
+    taken are all of them, but no task, broadcast or driver holds more than two blocks.
     """
     train = df.where("train") if train is None else train
-    n = train.count()
-    parts = max(1, -(-n // TRAIN_BLOCK))
-    found = None
-    for b in range(parts):
-        block = train.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).select("id", "v").toPandas()
-        held = df.sparkSession.sparkContext.broadcast((block["id"].to_numpy(), np.array(block["v"].tolist(), float).reshape(len(block), -1)))
-
-        def run(batches, held=held):
-            ids, m = held.value
-            for batch in batches:
-                own, out = batch["id"].to_numpy(), []
-                q = np.array(batch["v"].tolist(), float).reshape(len(batch), -1)
-                for i in range(len(batch)):
-                    d = np.sqrt(((m - q[i]) ** 2).sum(axis=1)) if len(m) else np.zeros(0)
-                    d = np.where(ids == own[i], np.inf, d)
-                    cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                    near = np.flatnonzero(d <= cut)
-                    near = near[np.isfinite(d[near])]
-                    near = near[np.lexsort((ids[near], d[near]))][:k]
-                    out.append(pd.DataFrame({"id": own[i], "other": ids[near], "distance": d[near]}))
-                yield pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "distance": []})
-
-        part = df.select("id", "v").mapInPandas(run, "id long, other long, distance double")
-        found = part if found is None else found.union(part)
+    blocks = lambda t: max(1, -(-t.count() // NEAR_BLOCK))
+    nq, nt = blocks(df), blocks(train)
+    deal = lambda t, own, n, other, m: t.select(
+        F.col("id").alias("id"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+    )
+    left, right = deal(df, "q", nq, "t", nt), deal(train, "t", nt, "q", nq)
+
+    def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        ids = other["id"].to_numpy()
+        m, q, out = np.array(other["v"].tolist(), float).reshape(len(other), -1), np.array(own["v"].tolist(), float).reshape(len(own), -1), []
+        for x, v in zip(own["id"].to_numpy() if len(other) else (), q, strict=False):
+            d = np.where(ids == x, np.inf, np.sqrt(((m - v) ** 2).sum(axis=1)))
+            cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+            near = np.flatnonzero((d <= cut) & np.isfinite(d))
+            near = near[np.lexsort((ids[near], d[near]))][:k]
+            out.append(pd.DataFrame({"id": x, "other": ids[near], "distance": d[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "distance": []}).astype({"id": "int64", "other": "int64", "distance": "float64"})
+
+    found = left.groupBy("q", "t").cogroup(right.groupBy("q", "t")).applyInPandas(run, "id long, other long, distance double")
     order = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -236,8 +274,8 @@ def linear_residual(df: DataFrame, alpha: float = 1.0, most: int = 120) -> DataF
     return with_numpy(df, lambda m: (np.abs((m - mean) - (m - mean) @ coef) / (sd + 1e-9)).max(1))
 
 
-def isolation_forest(df: DataFrame, trees: int = 100, rows: int = 256, seed: int = 0) -> DataFrame:
-    """Mean path length over trees grown on a hash-chosen sample of ``trees * rows`` training rows at most."""
+def isolation_forest(df: DataFrame, trees: int = 100, rows: int = 256, seed: int = 0, features: float = 1.0) -> DataFrame:
+    """Mean path length over trees grown on a hash-chosen sample of ``trees * rows`` training rows at most, each on that share of the dims."""
     from ..functions.ranks import hash_order
 
     take = df.where("train").orderBy(hash_order(F.lit(seed), F.col("id"))).limit(min(trees * rows, 25_600)).select("v").toPandas()
@@ -248,16 +286,17 @@ def isolation_forest(df: DataFrame, trees: int = 100, rows: int = 256, seed: int
     def average(n):
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def grow(m, depth):
-        span = np.flatnonzero(m.max(0) > m.min(0)) if len(m) > 1 else []
+    def grow(m, depth, dims):
+        span = dims[m[:, dims].max(0) > m[:, dims].min(0)] if len(m) > 1 else []
         if depth >= limit or len(span) == 0:
             return depth + average(len(m))
         j = int(rng.choice(span))
         cut = rng.uniform(m[:, j].min(), m[:, j].max())
         below = m[:, j] < cut
-        return j, cut, grow(m[below], depth + 1), grow(m[~below], depth + 1)
+        return j, cut, grow(m[below], depth + 1, dims), grow(m[~below], depth + 1, dims)
 
-    forest = [grow(data[rng.choice(len(data), size, replace=False)], 0) for _ in range(trees)]
+    dims = data.shape[1]
+    forest = [grow(data[rng.choice(len(data), size, replace=False)], 0, rng.choice(dims, max(1, int(features * dims)), replace=False)) for _ in range(trees)]
 
     def walk(m, tree, index, out):
         if not isinstance(tree, tuple):
@@ -344,41 +383,105 @@ def guarded(scores: DataFrame, groups: list[str]) -> DataFrame:
     return scores.withColumn("score", F.when((F.max(bad.cast("int")).over(w) == 0) & (spread >= 1e-12), s))
 
 
-def em_curve(scores: DataFrame, uniform: DataFrame, steps: int = 100) -> DataFrame:
-    """(lam, em): greatest of mass - lam * volume over thresholds, where rows up to a threshold count.
-
-    ``scores`` (normality of rows) and ``uniform`` (of points spread over the box) are reduced to
-    counts per threshold before they meet.
-    """
-    both = scores.select("score").union(uniform.select("score"))
-    box = both.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    t = box.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i")).select("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (steps - 1)).alias("t"))
+def mass_and_volume(scores: DataFrame, uniform: DataFrame, steps: int = 100) -> DataFrame:
+    """(detector, i, t, mass, volume): shares of the rows and of the uniform points that score at most the i-th of ``steps`` thresholds
+    over the pooled range. Both inputs are (detector, score), anomaly scores: low ones are the normal region."""
+    both = scores.select("detector", "score").union(uniform.select("detector", "score"))
+    box = both.groupBy("detector").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    t = box.select("detector", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (steps - 1)).alias("t"))
 
     def at_most(df, name):
-        place = df.crossJoin(F.broadcast(box))  # one row
         step = F.when(F.col("hi") > F.col("lo"), F.ceil(F.round((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (steps - 1), 9))).otherwise(0)
-        per = place.groupBy(step.cast("int").alias("i")).agg(F.count("*").alias("c"))
-        per = t.join(per, "i", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        run = F.sum("c").over(Window.orderBy("i")) / F.sum("c").over(Window.partitionBy())  # ``steps`` rows
-        return per.select("i", run.alias(name))
+        per = df.join(box, "detector").groupBy("detector", step.cast("int").alias("i")).agg(F.count("*").alias("c"))
+        per = t.join(per, ["detector", "i"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        w = Window.partitionBy("detector")  # ``steps`` rows
+        return per.select("detector", "i", "t", (F.sum("c").over(w.orderBy("i")) / F.sum("c").over(w)).alias(name))
 
-    curve = at_most(scores, "mass").join(at_most(uniform, "volume"), "i")
-    lam = curve.sparkSession.range(0, 11).select((F.col("id") / 10).alias("lam"))
-    return curve.join(F.broadcast(lam)).groupBy("lam").agg(F.max(F.col("mass") - F.col("lam") * F.col("volume")).alias("em"))
+    return at_most(scores, "mass").join(at_most(uniform, "volume").drop("t"), ["detector", "i"])
+
+
+def em_curve(scores: DataFrame, uniform: DataFrame, steps: int = 100) -> DataFrame:
+    """(detector, lam, em): greatest of mass - lam * volume over thresholds, lam from 0 to 1 in ``steps``."""
+    curve = mass_and_volume(scores, uniform, steps)
+    lam = curve.sparkSession.range(0, steps).select((F.col("id") / (steps - 1)).alias("lam"))
+    return curve.join(F.broadcast(lam)).groupBy("detector", "lam").agg(F.max(F.col("mass") - F.col("lam") * F.col("volume")).alias("em"))  # ``steps`` rows
+
+
+def em_mv(scores: DataFrame, uniform: DataFrame, steps: int = 100, alphas: int = 50) -> DataFrame:
+    """(detector, em, mv): area under the excess-mass curve (high is good), and under volume by mass from 0.9 to 0.999 (low is good)."""
+    area = lambda x, y: F.sum((F.col(f"{x}1") - F.col(x)) * (F.col(y) + F.col(f"{y}1")) / 2)
+    ahead = lambda df, x, *cols: df.select("*", *(F.lead(c).over(Window.partitionBy("detector").orderBy(x)).alias(f"{c}1") for c in cols))
+    em = ahead(em_curve(scores, uniform, steps), "lam", "lam", "em").groupBy("detector").agg(area("lam", "em").alias("em"))
+    curve = mass_and_volume(scores, uniform, steps).groupBy("detector").agg(F.array_sort(F.collect_list(F.struct("mass", "i", "volume"))).alias("z"))  # ``steps`` rows
+    curve = curve.select("detector", "z", F.explode(F.sequence(F.lit(0), F.lit(alphas - 1))).alias("j"))
+    alpha = F.lit(0.9) + F.col("j") * (0.999 - 0.9) / (alphas - 1)
+    curve = curve.select("detector", "j", alpha.alias("a"), "z", F.size(F.filter("z", lambda p: p["mass"] <= alpha)).alias("k"))
+    lo, hi = F.get("z", F.greatest(F.col("k") - 1, F.lit(0))), F.get("z", F.least(F.col("k"), F.size("z") - 1))
+    slope = F.when((F.col("k") == 0) | (hi["mass"] == lo["mass"]), 0.0).otherwise((hi["volume"] - lo["volume"]) / (hi["mass"] - lo["mass"]) * (F.col("a") - lo["mass"]))
+    mv = ahead(curve.select("detector", "a", (lo["volume"] + slope).alias("v")), "a", "a", "v").groupBy("detector").agg(area("a", "v").alias("mv"))
+    return em.join(mv, "detector")
+
+
+def goix(scores: DataFrame, uniform: DataFrame, t_most: float = 100.0, em_until: float = 0.9, steps: int = 1000) -> DataFrame:
+    """(detector, em, mv): the other variant. Regions are the rows above each score met, in normality.
+
+    em integrates max over scores of mass - t * volume until it falls to ``em_until``; mv the
+    volume of the smallest region that holds alpha of the rows, alpha from 0.9 to 0.999. Input is
+    (detector, score), anomaly scores. Only where a row falls among the uniform points matters,
+    so rows are counted by that place and the curves are taken from counts, at most two a point.
+    """
+    held = {r["detector"]: np.sort(-np.array(r["u"], float)) for r in uniform.groupBy("detector").agg(F.collect_list("score").alias("u")).collect()}  # some thousand points a detector
+    sent = scores.sparkSession.sparkContext.broadcast(held)
+
+    def place(batches):
+        for batch in batches:
+            x, out = -batch["score"].to_numpy(float), np.zeros((2, len(batch)), np.int64)
+            for name in batch["detector"].unique():
+                own = (batch["detector"] == name).to_numpy()
+                out[0, own], out[1, own] = (np.searchsorted(sent.value[name], x[own], side) for side in ("left", "right"))
+            yield pd.DataFrame({"detector": batch["detector"], "x": x, "below": out[0], "upto": out[1]})
+
+    each = scores.select("detector", "score").mapInPandas(place, "detector string, x double, below long, upto long")
+    per = each.groupBy("detector", "below", "upto", "x").agg(F.count("*").alias("c"))
+    per = per.groupBy("detector", "below", "upto").agg(F.sum("c").alias("c"), F.min(F.struct("x", "c"))["c"].alias("least"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["detector"].iloc[0]
+        pdf, size = pdf.sort_values(["below", "upto"]), len(sent.value[name])
+        c, n = pdf["c"].to_numpy(), pdf["c"].sum()
+        above = c[::-1].cumsum()[::-1] - c  # rows in higher places
+        mass, volume = (above + c - pdf["least"].to_numpy()) / n, (size - pdf["upto"].to_numpy()) / size
+        t = np.linspace(0, t_most, steps)
+        em = np.maximum(0, (mass[None] - t[:, None] * volume[None]).max(1))
+        em[0] = max(em[0], 1.0)
+        end = int(np.argmax(em <= em_until)) or steps - 1
+        alpha = np.linspace(0.9, 0.999, steps)
+        order = np.array([min(n, next(r for r in (int(np.ceil(a * n)) - 1, int(np.ceil(a * n)), int(np.ceil(a * n)) + 1) if r >= 1 and r / n >= a)) for a in alpha])
+        # a point counts if fewer than ``order`` rows lie above it
+        rows_above = n - np.concatenate([[0], c.cumsum()])[np.searchsorted(pdf["below"].to_numpy(), np.arange(size), "right")]
+        mv = np.array([(rows_above < r).sum() / size for r in order])
+        return pd.DataFrame({"detector": [name], "em": [np.trapezoid(em[: end + 1], t[: end + 1])], "mv": [np.trapezoid(mv, alpha)]})
+
+    return per.groupBy("detector").applyInPandas(run, "detector string, em double, mv double")
 
 
 def mv_curve(scores: DataFrame, uniform: DataFrame, levels: list[float]) -> DataFrame:
-    """(alpha, threshold, volume): share of the uniform points at or above the normality that keeps the mass ``alpha``."""
+    """(alpha, threshold, volume): share of the uniform points at or above the normality that keeps the mass ``alpha``. ``score`` is normality."""
     at = F.array(*(F.lit(1.0 - a) for a in levels))
     cut = scores.agg(F.percentile("score", at).alias("q")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("alpha"), F.col("q").alias("threshold"))).alias("z")).select("z.*")
     return uniform.join(F.broadcast(cut)).groupBy("alpha", "threshold").agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("volume"))
 
 
+def mean_ranks(scores: DataFrame) -> DataFrame:
+    """(detector, id, r): ascending mean ranks, from counts per distinct score (see ``tails``), so no task orders all rows."""
+    t = tails(stored(scores.select("id", F.lit(True).alias("train"), F.col("detector").alias("dim"), F.col("score").alias("x")), "scores"))
+    # counts at most and at least x are le and ge, so the ties' mean rank is (le - ge + m + 1) / 2
+    return t.select(F.col("dim").alias("detector"), "id", (F.round((F.col("le") - F.col("ge")) * F.col("m") + F.col("m") + 1) / 2).alias("r"))
+
+
 def rank_agreement(scores: DataFrame) -> DataFrame:
     """(a, b, rho) for pairs of detectors: Pearson of their mean ranks. ``scores``: (detector, id, score)."""
-    from ..functions.ranks import avg_rank
-
-    r = scores.select("detector", "id", avg_rank("score", "detector").alias("r"))
+    r = stored(mean_ranks(scores), "ranks")
     pairs = r.select("id", F.col("detector").alias("a"), F.col("r").alias("x")).join(r.select("id", F.col("detector").alias("b"), F.col("r").alias("y")), "id").where("a <> b")
     out = pairs.groupBy("a", "b").agg(F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     return out.select("a", "b", ratio(F.col("c"), F.sqrt(F.col("vx") * F.col("vy"))).alias("rho"))
@@ -390,12 +493,10 @@ def centrality(scores: DataFrame) -> DataFrame:
 
 
 def consensus(scores: DataFrame) -> DataFrame:
-    """(detector, consensus): Pearson of a detector's ranks with the mean ranks of all."""
-    from ..functions.ranks import avg_rank
-
-    r = scores.select("detector", "id", avg_rank("score", "detector").alias("r"))
-    mean = r.groupBy("id").agg(F.avg("r").alias("m"))
-    out = r.join(mean, "id").groupBy("detector").agg(F.covar_pop("r", "m").alias("c"), F.var_pop("r").alias("vr"), F.var_pop("m").alias("vm"))
+    """(detector, consensus): Pearson of a detector's ranks with the ranks of the mean ranks of all."""
+    r = stored(mean_ranks(scores), "ranks")
+    mean = r.groupBy("id").agg(F.round(F.avg("r"), 9).alias("score")).withColumn("detector", F.lit(""))
+    out = r.join(mean_ranks(mean).select("id", F.col("r").alias("m")), "id").groupBy("detector").agg(F.covar_pop("r", "m").alias("c"), F.var_pop("r").alias("vr"), F.var_pop("m").alias("vm"))
     return out.select("detector", ratio(F.col("c"), F.sqrt(F.col("vr") * F.col("vm"))).alias("consensus"))
 
 
@@ -403,7 +504,7 @@ def z_consensus(scores: DataFrame) -> DataFrame:
     """(detector, consensus): Spearman of each detector with the mean of all standardised scores."""
     from ..functions.metrics import spearman
 
-    w = Window.partitionBy("detector")
+    w, scores = Window.partitionBy("detector"), stored(scores, "scores")
     z = scores.withColumn("z", (F.col("score") - F.avg("score").over(w)) / (F.stddev_pop("score").over(w) + 1e-12))
     mean = z.groupBy("id").agg(F.avg("z").alias("m"))
     return spearman(scores.join(mean, "id"), ["detector"], "score", "m").select("detector", F.col("rho").alias("consensus"))

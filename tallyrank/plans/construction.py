@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.metrics import ratio
+from ..functions.metrics import ratio, spearman
 from ..operators import benchmark as b
+from ..operators import protocol as pro
 from ..operators import splits as s
-from .detection import PTS, VEC, points, vectors
+from .detection import DIMS, PTS, VEC, points, vectors
 from .tables import FACT, TRUTH, fact, r, rounded, table, truth
 
 QUERIES: dict = {}
+#: Two-sided p of a standard normal by the power series of its density, as far as the tests here go.
+NORMAL_P = "1 - 2 * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_reduce(list_prepend([abs({0}), abs({0})], list_transform(range(1, 61), lambda i: [i::DOUBLE, 0])), lambda a, b: [a[1] * {0} * {0} / (2 * b[1] + 1), a[2] + a[1] * {0} * {0} / (2 * b[1] + 1)])[2]"
 
 
 def query(name: str, sql: str | None):
@@ -95,12 +98,40 @@ query(
     f"""WITH {ROWS}, q AS (SELECT *, row_number() OVER (PARTITION BY g, y ORDER BY md5(concat_ws(':', 0, id))) AS k, sum((y = 0)::INT) OVER (PARTITION BY g) AS m FROM rw) SELECT g, id, y FROM q WHERE y = 0 OR k <= round(0.05 * m)""",
 )(lambda sp, d: s.contaminated(rows(sp, d), ["g"], "id", "y", 0.05).select("g", "id", "y"))
 _U = "('0x' || md5(concat_ws(':', 0, '{}', id))[1:8])::BIGINT / 4294967296.0::DOUBLE"
+_NUMBERED = "ids AS (SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR)[1:2], id) - 1 AS n, count(*) OVER () AS m FROM vec)"
 query(
     "gen_shuffle",
-    f"""WITH {PTS}, ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n, count(*) OVER () AS m FROM vec), dn AS (SELECT a.id, z.id AS donor, 1 + floor({_U.format("k").replace("id)", "a.id)")} * 4) AS k FROM ids a JOIN ids z ON z.n = floor({_U.format("donor").replace("id)", "a.id)")} * a.m)),
+    f"""WITH {PTS}, {_NUMBERED}, dn AS (SELECT a.id, z.id AS donor, 1 + floor({_U.format("k").replace("id)", "a.id)")} * {int(0.6 * DIMS)}) AS k FROM ids a JOIN ids z ON z.n = floor({_U.format("donor").replace("id)", "a.id)")} * a.m)),
 q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', 0, id, dim))) AS h FROM pts)
 SELECT q.id, q.dim, {r("CASE WHEN h <= k THEN o.x ELSE q.x END", "x")} FROM q JOIN dn ON dn.id = q.id JOIN pts o ON o.id = donor AND o.dim = q.dim""",
 )(lambda sp, d: s.shuffled_features(points(sp, d)).withColumn("dim", F.col("dim").cast("long")))
+_EACH = "('0x' || md5(concat_ws(':', 0, '{}', q.id, q.dim))[1:8])::BIGINT / 4294967296.0::DOUBLE"
+query(
+    "gen_shuffle_blend",
+    f"""WITH {PTS}, {_NUMBERED}, q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', 0, id, dim))) AS h FROM pts),
+w AS (SELECT q.*, z.id AS donor, 0.3 + 0.7 * {_U.format("alpha").replace("id)", "q.id)")} AS a FROM q JOIN ids z ON z.n = floor({_EACH.format("donor")} * z.m))
+SELECT w.id, w.dim, {r(f"CASE WHEN h <= {int(0.15 * DIMS)} THEN (1 - a) * w.x + a * o.x ELSE w.x END", "x")} FROM w JOIN pts o ON o.id = donor AND o.dim = w.dim""",
+)(lambda sp, d: s.shuffled_features(points(sp, d), count="few", source="each", alpha=None).withColumn("dim", F.col("dim").cast("long")))
+query(
+    "gen_resample",
+    f"""WITH {PTS}, ed AS (SELECT dim, min(x) AS lo, (max(x) - min(x)) / 30 AS width, count(*) AS m, quantile_cont(x, [0.02, 0.98]) AS q FROM pts GROUP BY dim),
+c AS (SELECT dim, greatest(0, least(29, floor((x - lo) / width))) AS bin, any_value(lo) AS lo, any_value(width) AS width, any_value(q) AS q, count(*) / any_value(m) AS s FROM pts JOIN ed USING (dim) GROUP BY ALL),
+w AS (SELECT dim, lo + bin * width AS f, width, sum(greatest(s, 1e-6)) OVER (PARTITION BY dim ORDER BY bin) / sum(greatest(s, 1e-6)) OVER (PARTITION BY dim) AS p, bin FROM c WHERE lo + (bin + 0.5) * width BETWEEN q[1] AND q[2]),
+q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', 0, id, dim))) AS h FROM pts),
+k AS (SELECT q.id, q.dim, min_by(f, bin) AS f, min_by(width, bin) AS width FROM q JOIN w ON w.dim = q.dim AND p > {_EACH.format("bin")} GROUP BY q.id, q.dim)
+SELECT q.id, q.dim, {r(f"CASE WHEN h <= {int(0.4 * DIMS)} THEN f + {_EACH.format('within')} * width ELSE x END", "x")} FROM q JOIN k ON k.id = q.id AND k.dim = q.dim""",
+)(lambda sp, d: s.resampled_features(points(sp, d), 1.0).withColumn("dim", F.col("dim").cast("long")))
+query(
+    "near_centre_clusters",
+    f"WITH {CLUSTERS} SELECT dataset, cluster FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY composite, cluster) AS k, count(*) OVER (PARTITION BY dataset) AS n FROM cl) WHERE k <= greatest(2, floor(n / 2))",
+)(lambda sp, d: s.near_centre(clusters(sp, d).withColumn("to_centre", F.col("composite")), "hard").select("dataset", "cluster"))
+for _channel in ("small", "embedded", "edge"):
+    _own = {"small": "true", "embedded": "far <= f", "edge": "far > f"}[_channel]
+    query(
+        f"over_clustered_{_channel}",
+        f"""WITH {CLUSTERS}, q AS (SELECT dataset, cluster, size, far_component AS far, quantile_cont(size, 0.33) OVER (PARTITION BY dataset) AS s, quantile_cont(far_component, 0.5) OVER (PARTITION BY dataset) AS f FROM cl),
+k AS (SELECT *, max(({_own})::INT) OVER (PARTITION BY dataset) AS any_own FROM q WHERE size <= greatest(3, s)) SELECT dataset, cluster FROM k WHERE {_own}{" OR any_own = 0" if _channel == "embedded" else ""}""",
+    )(lambda sp, d, c=_channel: s.over_clustered(clusters(sp, d).withColumn("far", F.col("far_component")), c).select("dataset", "cluster"))
 
 # construction ----------------------------------------------------------------------------------
 
@@ -121,10 +152,11 @@ SELECT label, concat_ws('|', count(*), sha1(array_to_string(list_sort(list(round
 )(lambda sp, d: b.fingerprint(points(sp, d).join(vectors(sp, d).select("id", "label"), "id"), "label"))
 query(
     "cross_corpus_dedup",
-    "WITH q AS (SELECT p_type AS name, p_brand AS corpus, CASE WHEN p_size > 1 THEN p_size // 26 END AS fp FROM part WHERE p_partkey % 50 = 0) SELECT name, corpus, fp, CASE WHEN count(fp) OVER w = count(*) OVER w AND min(fp) OVER w = max(fp) OVER w THEN name ELSE name || ':' || corpus END AS dedup_group FROM q WINDOW w AS (PARTITION BY name)",
+    """WITH q AS (SELECT p_name AS name, p_brand || '/' || p_partkey AS corpus, CASE WHEN p_size > 1 THEN p_size // 8 END AS fp FROM part)
+SELECT name, corpus, fp, CASE WHEN count(fp) OVER w = count(*) OVER w AND min(fp) OVER w = max(fp) OVER w THEN name ELSE name || ':' || corpus END AS dedup_group FROM q WINDOW w AS (PARTITION BY name)""",
 )(
     lambda sp, d: b.same_across(
-        table(sp, d, "part").where("p_partkey % 50 = 0").select(F.col("p_type").alias("name"), F.col("p_brand").alias("corpus"), F.when(F.col("p_size") > 1, F.floor(F.col("p_size") / 26).cast("int")).alias("fp")), "name", "fp"
+        table(sp, d, "part").select(F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("corpus"), F.when(F.col("p_size") > 1, F.floor(F.col("p_size") / 8).cast("int")).alias("fp")), "name", "fp"
     )
 )
 query(
@@ -192,16 +224,83 @@ for _mono in (True, False):
         "WITH q AS (SELECT p_brand AS test, count(*) / 100000 AS p FROM part GROUP BY ALL), k AS (SELECT *, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1)) AS h, row_number() OVER (ORDER BY p, test) AS k FROM q)"
         + f" SELECT test, {r('p')}, {r('max(h) OVER (ORDER BY k)' if _mono else 'h', 'p_holm')} FROM k",
     )(lambda sp, d, m=_mono: stats.holm(table(sp, d, "part").groupBy(F.col("p_brand").alias("test")).agg((F.count("*") / 100000.0).alias("p")), "p", m, "test"))
-query("greedy_cover", None)(lambda sp, d: b.greedy_cover(vectors(sp, d).select(F.col("label").alias("dataset"), "id", "v"), 0.45))
-query("two_stage_hardening", None)(lambda sp, d: _two_stage(sp, d))
+query("greedy_cover", None)(lambda sp, d: b.effective_count(vectors(sp, d).where("train").select("id", "v"), vectors(sp, d).where("not train").select(F.col("label").alias("dataset"), "id", "v")))
+query("two_stage_hardening", None)(lambda sp, d: b.two_stage_hardening(vectors(sp, d).select("id", "train", (F.col("label") != 0).alias("normal"), "v")))
+
+
+query(
+    "double_hard_both",
+    None,
+)(lambda sp, d: b.both_hard(vectors(sp, d).select("id", (F.col("label") != 0).alias("train"), "v", (F.col("label") == 0).cast("int").alias("y")), [95.0, 99.0, 99.5]))
+
+
+def candidates(sp, d):
+    """Brands as candidate datasets."""
+    p = table(sp, d, "part").groupBy(F.col("p_brand").alias("dataset"))
+    return p.agg((F.avg((F.col("p_size") > 45).cast("int")) * 8).alias("frac_triv"), (F.count("*") * 10).alias("n_norm"), F.sum("p_size").alias("n_eff"), F.max("p_size").cast("string").alias("fp"))
+
+
+STAGED = """cd AS (SELECT p_brand AS dataset, avg((p_size > 45)::INT) * 8 AS frac_triv, count(*) * 10 AS n_norm, sum(p_size) AS n_eff, max(p_size)::VARCHAR AS fp FROM part GROUP BY p_brand),
+s1 AS (SELECT * FROM cd WHERE frac_triv < 0.9), s2 AS (SELECT * FROM s1 WHERE n_norm >= 500), s3 AS (SELECT * FROM s2 WHERE n_eff >= 100), s4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY n_eff DESC, dataset) AS k FROM s3) WHERE k = 1)"""
+query("staged_set", f"WITH {STAGED} SELECT dataset, n_eff::BIGINT AS n_eff, fp FROM s4")(lambda sp, d: b.staged(candidates(sp, d), normals=500)[0].select("dataset", F.col("n_eff").cast("long").alias("n_eff"), "fp"))
+query(
+    "staged_counts",
+    f"WITH {STAGED} SELECT '0 candidates' AS stage, count(*) AS n FROM cd UNION ALL SELECT '1 not trivial', count(*) FROM s1 UNION ALL SELECT '2 normals', count(*) FROM s2 UNION ALL SELECT '3 hard anomalies', count(*) FROM s3 UNION ALL SELECT '4 fingerprints', count(*) FROM s4",
+)(lambda sp, d: b.staged(candidates(sp, d), normals=500)[1])
+
 
+def included(sp, d):
+    m = b.manifest(panel(sp, d).select("dataset", "variant", F.col("em").alias("ap_norm"), (F.col("mv") / 4).alias("base_rate"), F.col("consensus").alias("rule_auc")))
+    return m.select("dataset", "base_rate", "spread", "zone", "best", "gt_best")
 
-def _two_stage(spark, d):
-    from ..operators import detectors as det
 
-    white = det.pca_embed(vectors(spark, d), 8, 0.95, True).join(vectors(spark, d).select("id", "train"), "id").withColumnRenamed("z", "v")
-    return b.two_stage(det.severity(points(spark, d)), det.severity(det.long_form(white)), vectors(spark, d).where("train").select("id"))
+_LOCAL = "CASE WHEN {} IN ('BUILDING', 'HOUSEHOLD') THEN 'local' ELSE 'global' END"
+query(
+    "benchmark_audit",
+    f"""WITH {PANEL}, m AS (SELECT dataset, max(mv) / 4 AS rate, max(em) AS best, max(em) - avg(em) AS spread, split_part(string_agg(variant, '|' ORDER BY em DESC, variant), '|', 1) AS w FROM pn GROUP BY dataset),
+i AS (SELECT *, {_LOCAL.format("w")} AS family FROM m), o AS (SELECT max(rate) AS rate, min(spread) AS spread, min((best >= 0.1 AND spread >= 0.1)::INT) AS live, min(best) AS best, count(DISTINCT w) AS winners FROM i),
+t AS (SELECT max(n) / sum(n) AS top FROM (SELECT w, count(*) AS n FROM i GROUP BY w)), g AS (SELECT max(n) / sum(n) AS largest, count(*) FILTER (WHERE n > 0.05 * tot) AS active FROM (SELECT family, count(*) AS n, sum(count(*)) OVER () AS tot FROM i GROUP BY family))
+{" UNION ALL ".join(f'SELECT {chr(39)}{n}{chr(39)} AS "check", ({c})::INT AS holds FROM o, t, g' for n, c in {"base_rate_within_cap": "rate <= 0.2501", "spread_everywhere": "spread >= 0.1", "all_live": "live = 1", "best_above_base_rate": "best > 0", "no_winner_over_40_percent": "top <= 0.4", "twelve_winners": "winners >= 12", "no_family_over_75_percent": "largest <= 0.75", "two_families_win": "active >= 2"}.items())}""",
+)(lambda sp, d: b.audit(included(sp, d), F.expr(_LOCAL.format("gt_best"))))
+query(
+    "refilter_effect",
+    f"""WITH {PICKS}, ru AS (SELECT dataset, max(consensus) AS rule FROM pn GROUP BY dataset), k AS (SELECT pk.*, NOT coalesce(rule > 0.55, false) AS keep FROM pk JOIN ru USING (dataset))
+SELECT selector, {r("avg(regret)", "before")}, {r("avg(regret) FILTER (WHERE keep)", "after")}, count(*) AS n_before, count(*) FILTER (WHERE keep) AS n_after FROM k GROUP BY selector""",
+)(lambda sp, d: b.refiltered(panel(sp, d).select("dataset").distinct(), panel(sp, d).groupBy("dataset").agg(F.max("consensus").alias("rule_auc")), b.selectors(panel(sp, d)), 0.55))
+query(
+    "leaderboard_tests",
+    f"""WITH {PICKS}, x AS (SELECT a.selector, b.selector AS against, round(b.regret - a.regret, 12) AS x FROM pk a JOIN pk b ON a.dataset = b.dataset AND b.selector IN ('em', 'mv') AND a.selector <> b.selector),
+k AS (SELECT *, rank() OVER (PARTITION BY selector, against ORDER BY abs(x)) + (count(*) OVER (PARTITION BY selector, against, abs(x)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY selector, against, abs(x)) AS t FROM x WHERE x <> 0),
+a AS (SELECT selector, against, count(*) AS n, sum(CASE WHEN x > 0 THEN rk ELSE 0 END) AS wp, sum(t * t - 1) AS ties FROM k GROUP BY ALL),
+z AS (SELECT p.selector, p.against, coalesce(n, 0) AS n, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM (SELECT DISTINCT selector, against FROM x) p LEFT JOIN a USING (selector, against))
+SELECT selector, against, n, {r("z")}, {r(NORMAL_P.format("z"), "p")} FROM z""",
+)(lambda sp, d: b.leaderboard_tests(b.selectors(panel(sp, d))))
+query(
+    "selector_forest",
+    f"""WITH {PANEL}, v AS (SELECT dataset, truth, replace(replace(variant, 'BUILDING', 'IForest'), 'MACHINERY', 'IF_2') AS variant FROM pn), g AS (SELECT *, max(truth) OVER p AS best, count(*) OVER p AS n, row_number() OVER (PARTITION BY dataset ORDER BY truth DESC, variant) - 1 AS pos FROM v WINDOW p AS (PARTITION BY dataset))
+SELECT 'iforest_random' AS selector, dataset, {r("max(best) - avg(truth)", "regret")}, {r("avg(pos / (n - 1))", "rank_pos")} FROM g WHERE variant IN ('IForest', 'IF_2') GROUP BY dataset""",
+)(lambda sp, d: b.selectors(panel(sp, d).withColumn("variant", F.replace(F.replace("variant", F.lit("BUILDING"), F.lit("IForest")), F.lit("MACHINERY"), F.lit("IF_2")))).where("selector = 'iforest_random'"))
+query("panel_names", "SELECT unnest(['centroid', 'hbos', 'ecod', 'copod', 'severity', 'pca', 'iforest', 'loda', 'cblof', 'linear_residual']) AS detector")(
+    lambda sp, d: sp.createDataFrame([(n,) for n in pro.panel(leave_out=["maxz", "knn", "knn_mean", "lof"])], "detector string")
+)
+query(
+    "cluster_geometry_baseline",
+    f"""WITH {TRUTH}, k AS (SELECT dataset, count(*) AS n, max(true_auc) > min(true_auc) AS spread FROM truth GROUP BY dataset) SELECT dataset, n, CASE WHEN n < 3 THEN 'n<3' WHEN NOT spread THEN 'true_all_tied' ELSE 'pred_all_tied' END AS note, NULL::DOUBLE AS rho FROM k""",
+)(lambda sp, d: _baseline(sp, d))
+
 
+def _baseline(sp, d):
+    """The same score for every detector: its rank correlation is noted as all tied."""
+    labelled = points(sp, d).join(vectors(sp, d).select("id", F.col("label").alias("cluster")), "id")
+    names = [row["detector"] for row in truth(sp, d).select("detector").distinct().collect()]  # the panel
+    return spearman(truth(sp, d).join(pro.cluster_geometry_baseline(labelled, tuple(sorted(names))), "detector"), ["dataset"], "true_auc", "score")
+
+
+query("deep_cluster_gate", f"WITH {VEC} SELECT id, id % 7 AS cluster FROM vec")(lambda sp, d: pro.fallback_labels(vectors(sp, d).select("id", (F.col("id") % 2).alias("cluster")), vectors(sp, d).select("id", (F.col("id") % 7).alias("cluster"))))
+query(
+    "two_channels",
+    f"WITH {FACT}, p AS (SELECT detector, avg(pseudo_auc) FILTER (WHERE regime = 'r0') AS a, avg(pseudo_auc) FILTER (WHERE regime = 'r1' AND detector <> 'BUILDING') AS b FROM fact GROUP BY detector) SELECT detector, {r('coalesce(0.6 * a + 0.4 * b, a, b)', 'auc')} FROM p",
+)(lambda sp, d: s.two_channels(*(fact(sp, d).where(c).groupBy("detector").agg(F.avg("pseudo_auc").alias("auc")) for c in ("regime = 'r0'", "regime = 'r1' and detector <> 'BUILDING'")), 0.6))
 
 # small relational operators --------------------------------------------------------------------
 
@@ -217,8 +316,8 @@ query("round_half_even", "SELECT p_partkey, round_even(p_size / 4, 0)::DOUBLE AS
 query("semi_join", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")(
     lambda sp, d: table(sp, d, "orders").join(table(sp, d, "customer").where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 )
-query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
-    lambda sp, d: table(sp, d, "customer").join(table(sp, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")(
+    lambda sp, d: table(sp, d, "customer").join(table(sp, d, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 )
 query("ragged_union", "SELECT s_suppkey AS id, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer")(
     lambda sp, d: table(sp, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")).unionByName(table(sp, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")), allowMissingColumns=True)
@@ -260,22 +359,3 @@ def _bimodal(p):
     z = (F.col("x") - F.col("mu")) / F.col("sd")
     s_ = p.join(m, "dim").groupBy("dim").agg(F.avg(z * z * z).alias("g"), F.avg(z * z * z * z).alias("k"))
     return s_.select(F.col("dim").cast("long").alias("dim"), ratio(F.col("g") * F.col("g") + 1, F.col("k")).alias("coefficient"))
-
-
-query(
-    "anomaly_geometry",
-    f"""WITH {VEC}, e AS (SELECT id, train, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS rad FROM vec), q AS (SELECT a.id, 100 * (SELECT count(*) FROM e t WHERE t.train AND t.rad < a.rad) / (SELECT count(*) FROM e t WHERE t.train) AS pct FROM e a WHERE NOT train)
-SELECT id, {r("pct", "radial_pct")}, CASE WHEN pct > 99 THEN 'outside' WHEN pct >= 90 THEN 'edge' ELSE 'inside' END AS place FROM q""",
-)(lambda sp, d: _geometry(vectors(sp, d)))
-
-
-def _geometry(v):
-    """Place of non-training rows by the share of training rows strictly nearer the origin: one window over the union."""
-    from pyspark.sql import Window
-
-    rad = v.select("id", "train", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("rad"))
-    counts = rad.groupBy("rad").agg(F.count_if("train").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("rad").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = counts.select("rad", (100.0 * below / F.sum("c").over(Window.partitionBy())).alias("radial_pct"))
-    out = rad.where("not train").join(place, "rad")
-    return out.select("id", "radial_pct", F.when(F.col("radial_pct") > 99, "outside").when(F.col("radial_pct") >= 90, "edge").otherwise("inside").alias("place"))
