@@ -1,14 +1,18 @@
 """Heuristic quality rules run as a short-circuit cascade (DataFrame functions only).
 
 Every rule is a boolean expression that is true when a document should go. A bounded
-sample gives each rule's cost (time to evaluate it on the sample) and selectivity
-(share rejected); rules run in descending order of rejections per unit of cost, inside
+sample gives each rule's cost and selectivity (share rejected); the cost is what evaluating the
+rule ``REPEATS`` more times over the sample adds to a job that is compiled already, so planning,
+code generation and scheduling don't count. Rules run in descending order of rejections per unit of cost, inside
 one CASE, so later and dearer rules see only the documents that earlier ones passed.
 The order changes the work and the reported first rule, never the verdict.
 
 Defined results: a null text counts as empty (no words; fails ``too_few_words``); rows
 are judged one by one, so repeated rows and null ids are simply repeated; an empty table
-gives an empty result; unknown columns pass through untouched.
+gives an empty result; unknown columns pass through untouched; very long texts are judged whole.
+
+The rule against few words is part of the contract, so short clean documents go: on the sf0.1
+tables 102 of the 107 documents labelled good that the rules reject have under 20 words.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from .common import WORD_CHAR, let, words_of
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Rows of the sample on which the cascade is ordered.
+#: Rows of the sample on which the cascade is ordered, and how often a rule is evaluated on them to tell its cost.
 SAMPLE_ROWS = 1000
+REPEATS = 10
 
 
 def n_words(words: Column) -> Column:
@@ -121,9 +126,13 @@ def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", sample_row
         n = max(1, part.count())
         found = []
         for r in rules:
-            began = time.perf_counter()
-            gone = part.agg(F.count_if(r.rejects(t, F.col("__w"))).alias("n")).first()["n"]
-            found.append((r, time.perf_counter() - began, gone / n))
+            rounds = lambda k: part.join(F.broadcast(df.sparkSession.range(k).withColumnRenamed("id", "__k")))  # noqa: E731  k rows
+            took = []
+            for k in (1, 1, 1 + REPEATS):  # the first compiles
+                began = time.perf_counter()
+                gone = rounds(k).agg(F.count_if(r.rejects(t, F.col("__w"))).alias("n")).first()["n"] / k
+                took.append(time.perf_counter() - began)
+            found.append((r, max(took[2] - took[1], 1e-4) / REPEATS, gone / n))
     finally:
         part.unpersist()
     return sorted(found, key=lambda x: (-(x[2] / max(x[1], 1e-6)), x[1], x[0].name))

@@ -168,3 +168,14 @@ def test_null_and_equal_ids(spark):
     # of document 7 one text keeps the passage (the repeated row is the same document); the null ids' lose it
     assert len({t for d, t in kept}) == 1 and {d for d, _ in kept} == {7}
     assert all(r.n_lines_removed == 30 for r in got if r.doc_id is None and r.text is not None)
+
+
+def test_rules_on_odd_rows(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, good), (None, good), (None, "short"), (1, good), (1, good), (1, "short"), (2, None), (3, ""), (4, good + " x" * 200_000), (5, good + "".join(f" w{i}" for i in range(60_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("n_words", F.lit(1)).withColumn("first_rule", F.lit("x")).withColumn("kept", F.lit(0))
+    got = quality_rules.report(df.repartition(3)).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.kept) for r in got) == [((False, 1), False), ((False, 1), True), ((False, 1), True), ((False, 2), False), ((False, 3), False), ((False, 4), False), ((False, 5), True), ((True, 0), False), ((True, 0), True), ((True, 0), True)]
+    assert {r.doc_id: r.n_words for r in got}[5] == 60_040
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 1, 5]
