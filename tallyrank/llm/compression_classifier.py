@@ -36,6 +36,8 @@ DICT_BYTES = 65536
 LEVEL = 3
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 24 << 20
+#: Longer labelled texts join the sample only where room is left, so that one of them can't use it up.
+SAMPLE_TEXT = 1 << 20
 #: Bytes added to a text's length, so that a few bytes of difference say little about a short text.
 SHRINK = 100
 DENSE = 0.3
@@ -142,7 +144,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
         ranked = part if ranked is None else ranked.union(part)
     texts = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(ranked), F.col("doc_id") == F.col("__id"))
     texts = texts.select("q", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    kept = Window.partitionBy("q").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0)
+    kept = Window.partitionBy("q").orderBy(F.octet_length("text") > SAMPLE_TEXT, "h", "text").rowsBetween(Window.unboundedPreceding, 0)  # SAMPLE_ROWS rows, copies aside
     texts = texts.withColumn("size", F.sum(F.octet_length("text")).over(kept)).where(F.col("size") <= SAMPLE_BYTES // 2)
     return texts.select("q", "h", "text").toPandas().sort_values(["q", "h", "text"])
 

@@ -1,30 +1,39 @@
 """WARC: writing captures, reading archives, assembling transactions.
 
 Each page becomes three records (request; response or revisit; metadata) that name one
-another through WARC-Concurrent-To. Records are plain strings, so Spark's own text writer
-stores them, gzipped, with its commit protocol and on any file system Spark can reach; the
-record separator is its line separator. Archives are read back whole, a bounded file at a
-time, and parsed by Content-Length. ``transactions`` joins the three kinds on the response's
-identifier into one nested row per capture.
+another through WARC-Concurrent-To. Every record is a gzip member of its own and each file
+begins with a warcinfo record, as the format asks. Spark's own text writer stores the bytes, with
+its commit protocol and on any file system Spark can reach: a member of less than 16 MB ends in a
+zero byte (the top of its length), which is the writer's line separator here, and a larger one
+gets an empty member after it. Archives are read back whole, a bounded file at a time (2 GB at
+most), and parsed by Content-Length. ``transactions`` joins the three kinds through their
+concurrent-to identifiers, whichever side names the other, into one nested row per capture.
 
 Payloads of ``min_bytes`` or more that are equal (SHA-1 and length) are stored once, with the
-largest page_id; the others become revisit records without payload, which carry the digest
-and, in their metadata record, the length.
+largest page_id; the others become revisit records of the HTTP head alone, which carry the digest
+and, in WARC-Refers-To, the record that has the payload. What the format has no field for
+(page_id, the page referred to) stands in the metadata record.
 
 Defined results: null html is an empty payload, null url an empty target; a null page_id is
 written as such, and holds a payload only if no page with an id does; repeated rows are
-captures of their own; an empty table gives an empty result; other columns are ignored.
+captures of their own (where they hold a payload, revisits name the page but no record, as there
+are several); an empty table gives an empty result; other columns are ignored, whatever their
+names; a very long page is one record.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +41,11 @@ from .common import scratch, stored
 
 CRLF = "\r\n"
 RECORDS_PER_FILE = 1000
+LEVEL = 6
+_LINES = re.compile(r"[\r\n]")
 DATE = "2020-01-01T00:00:00Z"
+#: Bytes handed to Arrow at once.
+_BATCH = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -43,61 +56,82 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Column:
-    """A record up to its block's end. Header values lose line breaks, as they would end the header."""
-    lines = [F.lit("WARC/1.1" + CRLF + f"WARC-Type: {kind}" + CRLF + f"WARC-Date: {DATE}" + CRLF)]
-    for name, value in headers:
-        lines.append(F.concat(F.lit(f"{name}: "), F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\r\n]", " "), F.lit(CRLF)))
-    return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block)
+def _record(kind: str, at: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
+    """A record with its end. Header values lose line breaks, as they would end the header."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {at}", f"WARC-Date: {DATE}", *(f"{k}: {_LINES.sub(' ', v)}" for k, v in headers), f"Content-Length: {len(block)}", "", ""]
+    return CRLF.join(lines).encode("utf-8", "replace") + block + b"\r\n\r\n"
+
+
+def _member(record: bytes) -> bytes:
+    return gzip.compress(record, LEVEL, mtime=0)
+
+
+def _uuid(*parts) -> str:
+    return uuid.UUID(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()).urn
+
+
+def _http_head(n: int) -> bytes:
+    return f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {n}{CRLF * 2}".encode()
+
+
+def _captures(per_file: int):
+    """Rows to write, each the gzip members of a capture but for the last byte, a zero; the first of each file begins with a warcinfo record."""
 
+    def capture(page, url, html, digest, holder, copies) -> list[bytes]:
+        n, again = len(html), holder is not None and page != holder
+        at = f"<{_uuid('response', page, digest) if page is not None and page == holder and copies == 1 else uuid.uuid4().urn}>"
+        target, beside = ("WARC-Target-URI", url), ("WARC-Concurrent-To", at)
+        request = f"GET {_LINES.sub(' ', url) or '/'} HTTP/1.1{CRLF * 2}".encode("utf-8", "replace")
+        out = [_record("request", f"<{uuid.uuid4().urn}>", [beside, target, ("Content-Type", "application/http; msgtype=request")], request)]
+        named = [target, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+        if again:
+            named += [("WARC-Profile", PROFILE)] + ([("WARC-Refers-To", f"<{_uuid('response', holder, digest)}>")] if copies == 1 else [])
+        out.append(_record("revisit" if again else "response", at, named, _http_head(n) + (b"" if again else html)))
+        fields = {"page-id": page, "payload-bytes": n, "refers-to-page": holder if again else None}
+        block = "".join(f"{k}: {v}{CRLF}" for k, v in fields.items() if v is not None).encode()
+        out.append(_record("metadata", f"<{uuid.uuid4().urn}>", [beside, target, ("Content-Type", "application/warc-fields")], block))
+        return out
 
-def _uuid(kind: str, *parts: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), *(F.coalesce(p.cast("string"), F.lit("~")) for p in parts)))
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            out, held = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "holder", "copies")), strict=True):
+                records = capture(*row)
+                if at % per_file == 0:
+                    info = f"software: tallyrank{CRLF}format: WARC File Format 1.1{CRLF}".encode()
+                    records.insert(0, _record("warcinfo", f"<{uuid.uuid4().urn}>", [("Content-Type", "application/warc-fields")], info))
+                data = b"".join(map(_member, records))
+                data += b"" if data[-1] == 0 else _member(b"")
+                out.append(data[:-1])
+                held += len(data)
+                at += 1
+                if held > _BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.coalesce(F.col("url"), F.lit("")).alias("url"),
-        F.coalesce(F.col("html"), F.lit("")).alias("html"),
-    )
-    digest = base32_sha1(F.col("html").cast("binary"))
-    # counted and reduced before the shuffle, so that a payload held by a third of the pages is a row per task
-    held = rows.select(digest.alias("digest"), F.octet_length("html").alias("n"), "page_id").where(F.col("n") >= min_bytes)
-    held = stored(held.groupBy("digest", "n").agg(F.max("page_id").alias("holder"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "warc-holders")
-    rows = rows.withColumn("digest", digest).withColumn("n", F.octet_length("html")).withColumn("nonce", F.monotonically_increasing_id())
-    rows = rows.join(held.hint("shuffle_hash"), ["digest", "n"], "left")
-    again = F.col("holder").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("holder")))
-    me = [F.col(c) for c in ("page_id", "url", "digest", "nonce")]
-    at = _uuid("response", *me)
-    common = [("WARC-Target-URI", F.col("url"))]
-    request = _record(
-        "request",
-        [("WARC-Record-ID", _uuid("request", *me)), ("WARC-Concurrent-To", at), *common, ("Content-Type", F.lit("application/http; msgtype=request"))],
-        F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1" + CRLF * 2)),
-    )
-    named = [("WARC-Record-ID", at), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("X-Page-Id", F.col("page_id"))]
-    response = _record("response", [*named, ("Content-Type", F.lit("text/html; charset=utf-8"))], F.col("html"))
-    revisit = _record("revisit", [*named, ("WARC-Profile", F.lit(PROFILE)), ("X-Refers-To-Page", F.col("holder"))], F.lit(""))
-    metadata = _record(
-        "metadata",
-        [("WARC-Record-ID", _uuid("metadata", *me)), ("WARC-Concurrent-To", at), *common, ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit(CRLF)),
-    )
-    gap = F.lit(CRLF * 2)
-    out = rows.select(F.concat(request, gap, F.when(again, revisit).otherwise(response), gap, metadata).alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.octet_length("html"))
+    # counted and reduced before the shuffle, so that a payload held by a third of the pages is a row per task and page
+    per = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n", "page_id").agg(F.count("*").alias("c"))
+    held = per.groupBy("digest", "n").agg(F.max(F.struct("page_id", "c")).alias("m"), F.sum("c").alias("all")).where(F.col("all") > 1)
+    held = stored(held.select("digest", "n", F.col("m.page_id").alias("holder"), F.col("m.c").alias("copies")), "warc-holders")
+    out = rows.join(held.hint("shuffle_hash"), ["digest", "n"], "left").select("page_id", "url", "html", "digest", "holder", "copies")
+    members = out.mapInArrow(_captures(RECORDS_PER_FILE), "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
+    members.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-RECORD = "kind string, record_id string, concurrent_to string, uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, intact boolean, block binary"
-#: Bytes of payload handed to Arrow at once.
-_BATCH = 8 << 20
+RECORD = "kind string, record_id string, concurrent_to array<string>, uri string, refers_to_record string, page_id long, refers_to long, payload_digest string, payload_bytes long, intact boolean, block binary"
 
 
 def parse(stream) -> Iterator[tuple[dict, bytes]]:
-    """(headers by lower-case name, block) of each record of a WARC byte stream."""
+    """(headers by lower-case name, block) of each record of a WARC byte stream. Of repeated headers all values stand, a line each."""
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
@@ -109,7 +143,8 @@ def parse(stream) -> Iterator[tuple[dict, bytes]]:
         headers = {}
         while (line := stream.readline().rstrip(b"\r\n")):
             name, _, value = line.partition(b":")
-            headers[name.decode().strip().lower()] = value.decode("utf-8", "replace").strip()
+            name, value = name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+            headers[name] = f"{headers[name]}\n{value}" if name in headers else value
         n = int(headers["content-length"])
         block = stream.read(n)
         if len(block) != n:
@@ -149,7 +184,7 @@ class _Inflate(io.RawIOBase):
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in RECORD.split(", ")]
-    whole = lambda x: int(x) if x else None
+    whole = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
     rows, held = [], 0
 
     def frame():
@@ -164,13 +199,21 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             stream = io.BufferedReader(_Inflate(content), 1 << 20) if packed else io.BytesIO(content)
             for h, block in parse(stream):
                 kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                size, intact = None, None
+                size = intact = page = refers = None
+                if kind in ("response", "revisit") and h.get("content-type", "").startswith("application/http"):
+                    head, _, block = block.partition(b"\r\n\r\n")
+                    encoded = b"\r\ntransfer-encoding:" in head.lower()
+                else:
+                    encoded = False
                 if kind == "response":
                     size, own = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
-                    intact, digest = digest in (None, own), own
+                    intact = None if encoded else digest in (None, own)
+                    digest = digest or own
                 elif kind == "metadata":
-                    size = whole(dict(x.partition(":")[::2] for x in block.decode().splitlines()).get("payload-bytes", "").strip())
-                rows.append((kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), whole(h.get("x-page-id")), whole(h.get("x-refers-to-page")), digest, size, intact, block))
+                    fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").splitlines())}
+                    size, page, refers = (whole(fields.get(k)) for k in ("payload-bytes", "page-id", "refers-to-page"))
+                beside = [x for x in h.get("warc-concurrent-to", "").split("\n") if x]
+                rows.append((kind, h.get("warc-record-id"), beside, h.get("warc-target-uri"), h.get("warc-refers-to"), page, refers, digest, size, intact, block))
                 held += len(block) + 400
                 if held > _BATCH:
                     yield frame()
@@ -186,19 +229,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row per capture: request, response (or revisit) and metadata joined on concurrent-to.
+    """One nested row per capture: request, response (or revisit) and metadata, joined where either names the other as concurrent.
 
-    A capture without request or metadata has null there. ``records`` is read three times: pass a stored table.
+    A capture without request or metadata has null there; of several the one of the smallest
+    identifier stands. ``records`` is read several times: pass a stored table.
     """
     part = lambda *kinds: records.where(F.col("kind").isin(*kinds))
-    main = part("response", "revisit").select(
+    main = part("response", "revisit")
+    named = F.explode("concurrent_to").alias("other")
+
+    def beside(kind: str, fields: list) -> DataFrame:
+        """(id of a capture, its record of that kind)"""
+        own = part(kind).select("record_id", F.struct("record_id", *fields).alias(kind), "concurrent_to")
+        naming = own.select(F.explode("concurrent_to").alias("id"), kind)
+        links = main.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("id"), named)
+        both = naming.union(links.join(own.select(F.col("record_id").alias("other"), kind), "other").select("id", kind))
+        return both.groupBy("id").agg(F.min_by(kind, F.col(f"{kind}.record_id")).alias(kind))
+
+    capture = main.select(
         F.col("record_id").alias("id"),
-        "page_id",
-        F.struct("record_id", F.col("kind").alias("record_type"), "uri", "payload_digest", "payload_bytes", "refers_to", "intact", F.col("block").alias("payload")).alias("response"),
+        F.struct("record_id", F.col("kind").alias("record_type"), "uri", "payload_digest", "payload_bytes", "refers_to_record", "intact", F.col("block").alias("payload")).alias("response"),
     )
-    request = part("request").select(F.col("concurrent_to").alias("id"), F.struct("record_id", "uri", "block").alias("request"))
-    metadata = part("metadata").select(F.col("concurrent_to").alias("id"), F.struct("record_id", "payload_bytes").alias("metadata"))
-    return main.join(request, "id", "left").join(metadata, "id", "left").select("page_id", "request", "response", "metadata")
+    request, metadata = beside("request", ["uri", "block"]), beside("metadata", ["page_id", "payload_bytes", "refers_to"])
+    return capture.join(request, "id", "left").join(metadata, "id", "left").select("metadata.page_id", "request", "response", "metadata")
 
 
 def report(pages: DataFrame) -> DataFrame:
@@ -211,5 +264,5 @@ def report(pages: DataFrame) -> DataFrame:
         F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        F.col("response.refers_to").alias("refers_to"),
+        F.col("metadata.refers_to").alias("refers_to"),
     )

@@ -2,8 +2,13 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
+import zlib
+from pathlib import Path
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyrank.llm import compression_classifier as cc
@@ -34,6 +39,30 @@ def test_held_out_accuracy_and_repeatability(spark):
     assert again == {k: r.score for k, r in got.items()}
 
 
+def test_scores_equal_brute_force(spark):
+    docs, labels = labelled(200)
+    docs += [(1000, None), (1001, ""), (1002, "the river " * 5000), (None, "BANK!!")]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = cc.learn(d, y)
+    packers = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x), level=3, write_content_size=False, write_dict_id=False) for x in (model.good, model.bad)]
+    got = {r.doc_id: r.score for r in cc.report(d, y).collect()}
+    for doc, text in docs:
+        data = (text or "").encode()
+        good, bad = (sum(len(c.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)) for c in packers)
+        n = len(data) + 100
+        x = [(bad - good) / n, len(data) / n, max(0.0, 0.3 * len(data) - good) / n, 1.0]
+        assert got[doc] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True)))), rel=1e-9)
+
+
+def test_one_long_text_does_not_use_up_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(cc, "SAMPLE_BYTES", 200_000)
+    monkeypatch.setattr(cc, "SAMPLE_TEXT", 10_000)
+    docs, labels = labelled(200)
+    docs = [(i, t * 10_000 if i % 50 == 1 else t) for i, t in docs]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert set(cc.training_sample(d, y)["q"]) == {0, 1} and len(cc.training_sample(d, y)) > 100
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = labelled(300)
     d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -86,5 +115,52 @@ def test_parser_reads_member_after_member():
         assert [b for _, b in warc.parse(stream)] == [b"ab\r\nc"] * 3
 
 
+def test_archives_conform(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 3)
+    rows, df = pages(spark)
+    path = scratch(spark, "warc-test")
+    warc.write_archives(df.union(df.where("page_id = 1")), path)
+    files = sorted(Path(path).glob("part-*"))
+    ids, refers, n = [], [], 0
+    for f in files:
+        data, records = f.read_bytes(), []
+        while data:  # each record is a member of its own
+            inflate = zlib.decompressobj(31)
+            records.append(inflate.decompress(data) + inflate.flush())
+            assert inflate.eof
+            data = inflate.unused_data
+        parsed = [next(warc.parse(io.BytesIO(r))) for r in records]
+        assert parsed[0][0]["warc-type"] == "warcinfo" and sum(h["warc-type"] == "warcinfo" for h, _ in parsed) == 1 and len(parsed) <= 10
+        for (h, block), raw in zip(parsed, records, strict=True):
+            assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and not any(k.startswith("x-") for k in h)
+            ids.append(h["warc-record-id"])
+            refers += [h["warc-refers-to"]] if "warc-refers-to" in h else []
+            if h["warc-type"] in ("response", "revisit"):
+                n += 1
+                assert block.startswith(b"HTTP/1.1 200 OK\r\n") and h["content-type"] == "application/http; msgtype=response"
+    assert n == len(rows) + 1 and len(set(ids)) == len(ids) and refers and set(refers) <= set(ids)
+
+
+def test_public_forms_are_joined(spark, tmp_path):
+    """A response that names its request, several concurrent-to headers, and a chunked body whose digest isn't that of its bytes."""
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    record = lambda kind, at, more, block: warc._record(kind, at, more, block)
+    data = record("request", "<q>", [], b"GET / HTTP/1.1\r\n\r\n") + record("metadata", "<m>", [], b"payload-bytes: 5\r\n")
+    data += record("response", "<r>", [("WARC-Concurrent-To", "<q>"), ("WARC-Concurrent-To", "<m>"), ("WARC-Payload-Digest", "sha1:TRUE"), ("Content-Type", "application/http; msgtype=response")], http)
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record("response", "<alone>", [("Content-Type", "text/html")], b"plain")))
+    got = {c.response.record_id: c for c in warc.transactions(warc.read_archives(spark, str(tmp_path))).collect()}
+    assert got["<r>"].request.record_id == "<q>" and got["<r>"].metadata.payload_bytes == 5
+    assert got["<r>"].response.payload_digest == "TRUE" and got["<r>"].response.intact is None
+    assert got["<alone>"].request is None and bytes(got["<alone>"].response.payload) == b"plain" and got["<alone>"].response.intact
+
+
+def test_records_over_16_mb(spark):
+    big = "ab" * (9 << 20)
+    df = spark.createDataFrame([(1, "u", big), (2, "v", "small")], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.payload_bytes for r in warc.report(df).collect()}
+    assert got == {1: 18 << 20, 2: 5}
+
+
 def test_empty(spark):
     assert warc.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
