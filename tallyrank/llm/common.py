@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,16 @@ def words_of(text: Column) -> Column:
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver (or of a store that Spark reads) to the executors; ``received`` finds it there."""
+    spark.sparkContext.addFile(path)
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def received(name: str) -> str:
+    return SparkFiles.get(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

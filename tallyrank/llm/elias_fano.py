@@ -14,6 +14,8 @@ import numpy as np
 RATE = 256
 _HEAD = struct.Struct("<2sBxIqQI")  # magic, low bits, n, base, bits of the high vector, samples
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Place of the k-th one of a byte.
+_PLACE = np.array([([b for b in range(8) if i >> b & 1] + [0] * 8)[:8] for i in range(256)], np.int64)
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -72,6 +74,34 @@ class EliasFano:
             value = value << self.low | chunk >> (at & 7) & ((1 << self.low) - 1)
         return value + self.base
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """``select`` of ascending positions, over the stretch of the high vector that they span."""
+        first, last = int(self.samples[i[0] // RATE]) >> 3, self.select(int(i[-1])) >> 3
+        part = self.high[first : last + 1]
+        # ones before the stretch: those of the sample's rank, less those of its byte that stand before it
+        before = int(i[0]) // RATE * RATE - int(_POPCOUNT[part[0] & ((1 << (int(self.samples[i[0] // RATE]) & 7)) - 1)])
+        upto = np.cumsum(_POPCOUNT[part], dtype=np.int64)
+        byte = np.searchsorted(upto, i - before, side="right")
+        return (first + byte) * 8 + _PLACE[part[byte], i - before - (upto[byte] - _POPCOUNT[part[byte]])]
+
+    def access_many(self, i: np.ndarray) -> np.ndarray:
+        """``access`` of ascending positions."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        value = (self.select_many(i) - i) << self.low
+        for b in range(self.low):
+            at = i * self.low + b
+            value |= (self.lows[at >> 3].astype(np.int64) >> (at & 7) & 1) << b
+        return value + self.base
+
+    def first_at_least(self, value: int) -> int:
+        """Index of the first number not below ``value``, by binary search."""
+        a, b = 0, self.n
+        while a < b:
+            m = (a + b) // 2
+            a, b = (m + 1, b) if self.access(m) < value else (a, m)
+        return a
+
     def decode(self) -> np.ndarray:
         """All values."""
         ones = np.flatnonzero(np.unpackbits(self.high, count=self.size, bitorder="little")) if self.n else np.zeros(0, np.int64)

@@ -9,7 +9,7 @@ from .common import table
 
 
 def tokenizer_file(name: str) -> str:
-    """Place of a public tokenizer's file on this machine; pass another path to the operators where it differs."""
+    """Place of a public tokenizer's file on the driver, from where it is sent to the executors; the operators take any other path."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

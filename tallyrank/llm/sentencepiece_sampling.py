@@ -49,6 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import received, shipped
 from .shingles import _power_tables, mix
 
 ALPHA = 0.5
@@ -748,14 +749,14 @@ def _processed(coder: Coder, sampler: Sampler, data: np.ndarray, row: np.ndarray
 
 def encode_and_sample(df: DataFrame, model: str, k: int = SAMPLES, alpha: float = ALPHA, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: ``key``) of ``df`` and per row ``ids``, ``decoded`` and ``samples``."""
-    keep = [key] if keep is None else keep
+    keep, file = [key] if keep is None else keep, shipped(df.sparkSession, model)
     plain = F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(MARK), F.lit(" "))
     begun = F.when(plain == "", plain).otherwise(F.concat(F.lit(" "), plain))
     rows = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{key}`").cast("long").alias("__key"), begun.alias("__text"))
     fields = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sampler = loaded(model, alpha)
+        coder, sampler = loaded(received(file), alpha)
         for batch in batches:
             texts = batch.column("__text").cast(pa.utf8())
             seeds = seeds_of(batch.column("__key"))

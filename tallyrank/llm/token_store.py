@@ -1,61 +1,63 @@
 """Token ids on disk: one concatenated array in document order, boundaries in Elias-Fano.
 
-Documents are range-partitioned by id, so partition after partition holds the next stretch
-of the array. Each partition is cut into segments of about ``SEGMENT_IDS`` ids (a document is
+Documents are encoded where they lie, once, and dealt by document id into parts between approximate
+quantiles of the ids, so part after part holds the next stretch of the array; where many rows share
+an id, they spread over all parts that the id bounds. Each part is cut into segments of about ``SEGMENT_IDS`` ids (a document is
 never cut). A segment is one row of a Parquet table: the ids as little-endian 16-bit (or
 32-bit, by vocabulary) integers, its document starts and its document ids as Elias-Fano
-blocks (``elias_fano``). A reader finds a document's ids with two select calls; its place in
+blocks (``elias_fano``). A reader finds a document's ids with two select calls, for many
+documents at once or by document id; no table of all boundaries is built. A document's place in
 the whole array is that plus the sizes of earlier segments, which ``read_documents`` sums from
 the segments' sizes alone. Files are written by Spark's committer, so a lost task is redone.
 
 Defined results: null text is empty (its array holds the end id only); null doc_ids come
 first and read back as null; rows with equal ids are adjacent documents in unspecified
-order; an empty table gives an empty store; other columns are ignored.
+order, adjacent in the array; an empty table gives an empty store; other columns are ignored, whatever their names; a very
+long text is one segment of its own.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import scratch
+from .common import received, scratch, shipped
+from .shingles import _GAP, mix
 
 SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 16
 SEGMENT = "part int, seq int, n_docs long, n_null long, n_ids long, width int, ids binary, starts binary, doc_ids binary"
 
-#: Words whose ids a worker remembers; others are encoded anew each time.
-MEMO = 400_000
-
-
-class _Memo(dict):
-    """word -> its ids as bytes."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word):
-        ids = self.encode(word)
-        if len(self) < MEMO:
-            self[word] = ids
-        return ids
+#: Words whose ids a worker remembers, and chunks between white space; when there are more, it starts anew.
+MEMO, KEEP = 300_000, 600_000
+#: UTF-8 bytes of texts encoded together, and words given to the library at once.
+TOGETHER, WORDS = 4_000_000, 500
+#: The file's rule for words, which is also this module's; another rule goes through the library whole.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
 
 class WordEncoder:
-    """Encodes with a tokenizers file whose pre-tokenizer splits words (letters, single digits, other signs).
+    """Encodes with a tokenizers file.
 
-    Texts of plain Latin characters are split here, by that rule, and each word's ids are
-    remembered; every other text goes to the library whole. Both give the library's ids.
+    If the file's normalizer and pre-tokenizer are those that this class knows (NFC, white space,
+    lower case; letters, single digits, other signs), nothing that they do reaches over white space, so
+    texts are cut there and each distinct chunk is encoded once: one of plain Latin characters by
+    its words, whose ids are remembered, any other by the library. Texts go to the library whole
+    under any other file. All ways give the library's ids.
     """
 
     def __init__(self, path: str):
@@ -64,20 +66,108 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.memo = _Memo(self.encode_whole)
+        self.known = self._knows(json.loads(self.tokenizer.to_str()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.memo: dict[str, bytes] = {}
+        self._forget()
         plain = [chr(i) for i in (9, 10, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x250))]
         kind = lambda k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k)
         letters, numbers = kind("L"), kind("N")
         self.odd = re.compile("[^" + "".join(map(re.escape, plain)) + "]|<\\|")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
 
+    @staticmethod
+    def _knows(file: dict) -> bool:
+        try:
+            steps = [(n["type"], n.get("pattern"), n.get("content")) for n in file["normalizer"]["normalizers"]]
+            split, spelling = file["pre_tokenizer"]["pretokenizers"]
+            return (
+                steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+                and (split["type"], split["pattern"], split["behavior"], split["invert"]) == ("Split", {"Regex": SPLIT}, "Removed", True)
+                and (spelling["type"], spelling["add_prefix_space"], spelling["use_regex"]) == ("ByteLevel", False, False)
+                and file["model"]["end_of_word_suffix"] == WORD_END and not file["model"]["dropout"] and file["truncation"] is None and file["padding"] is None
+            )
+        except (KeyError, TypeError, ValueError):
+            return False
+
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _forget(self) -> None:
+        self.kept, self.kept_ids = pa.array([], pa.utf8()), np.zeros(0, self.dtype)
+        self.kept_count = np.zeros(0, np.int64)
+
     def encode(self, text: str) -> bytes:
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        return self.encode_batch(data, np.array([0, len(data)]))[0].tobytes()
+
+    def encode_batch(self, data: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of texts in UTF-8, text i from row[i] to row[i + 1]: its ids end at ends[i]."""
+        if not self.known:
+            each = [self.encode_whole(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(row[:-1].tolist(), row[1:].tolist(), strict=True)]
+            return np.frombuffer(b"".join(each), self.dtype), np.cumsum([len(x) // self.width for x in each], dtype=np.int64)
+        solid = ~_GAP[data]
+        start = solid.copy()
+        start[1:] &= ~solid[:-1]
+        begun = row[:-1][np.diff(row) > 0]
+        start[begun] = solid[begun]
+        begin = np.flatnonzero(start)
+        upto = np.cumsum(solid)
+        place = np.append(upto[begin] - 1, upto[-1] if len(upto) else 0).astype(np.int32)
+        chunk = pa.Array.from_buffers(pa.utf8(), len(begin), [None, pa.py_buffer(place), pa.py_buffer(data[solid])]).dictionary_encode()
+        kind = chunk.indices.to_numpy()
+        at, count, flat = self._ids_of(chunk.dictionary)
+        own = count[kind]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(at[kind] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(begin, row[1:])]
+
+    def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, count, ids): where each chunk's ids stand. They are kept for later batches."""
+        if len(self.kept) > KEEP:
+            self._forget()
+        known = pc.fill_null(pc.index_in(chunks, value_set=self.kept), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(known < 0)
+        known[new] = len(self.kept) + np.arange(len(new))
+        added = chunks.take(pa.array(new, pa.int64()))
+        coded = self._encode_chunks(added)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.width
+        self.kept = pa.concat_arrays([self.kept, added])
+        self.kept_count = np.concatenate([self.kept_count, sizes])
+        self.kept_ids = np.concatenate([self.kept_ids, np.frombuffer(b"".join(coded), self.dtype)])
+        at = np.cumsum(self.kept_count) - self.kept_count
+        return at[known], self.kept_count[known], self.kept_ids
+
+    def _encode_chunks(self, chunks: pa.Array) -> list[bytes]:
+        cut = np.frombuffer(chunks.buffers()[1], np.int32)[: len(chunks) + 1]
+        data = chunks.buffers()[2].to_pybytes()[: cut[-1]] if len(chunks) else b""
+        first = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.int8) >= -64)])  # counts first bytes of characters
+        text, place = data.decode("utf-8", "replace"), first[cut].tolist()
+        odd = set()
         if self.odd.search(text):
-            return self.encode_whole(text)
-        return b"".join(map(self.memo.__getitem__, self.words(text.lower())))
+            odd = {i for i, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True)) if self.odd.search(text, a, b)}
+        low = text.lower()
+        if len(low) != len(text):  # only odd characters grow, whose chunks aren't read here
+            low = "".join(c.lower()[:1] for c in text)
+        split = [None if i in odd else self.words(low, a, b) for i, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True))]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self._learn([w for w in set(chain.from_iterable(w for w in split if w)) if w not in self.memo])
+        get = self.memo.__getitem__
+        return [self.encode_whole(text[place[i] : place[i + 1]]) if w is None else get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for i, w in enumerate(split)]
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), WORDS):
+            some = words[i : i + WORDS]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            data = ids.astype(self.dtype).tobytes()
+            if len(cut) == len(some):
+                self.memo.update((w, data[a:b]) for w, a, b in zip(some, [0, *cut[:-1].tolist()], cut.tolist(), strict=True))
+            else:  # a word that the file splits further
+                self.memo.update((w, self.encode_whole(w)) for w in some)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -90,32 +180,56 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _segments(path: str, end_id: int):
+def _encoded(tokenizer: str, end_id: int, bounds: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(received(tokenizer))
+        for batch in batches:
+            texts, keys = batch.column("text").cast(pa.utf8()), batch.column("id")
+            row = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            key, null = pc.fill_null(keys, 0).to_numpy(), pc.is_null(keys).to_numpy(zero_copy_only=False)
+            a = 0
+            while a < len(texts):
+                b = min(len(texts), max(a + 1, int(np.searchsorted(row, row[a] + TOGETHER))))
+                ids, ends = enc.encode_batch(data[row[a] : row[b]], row[a : b + 1] - row[a])
+                ids = np.insert(ids, ends, end_id)
+                ends = (ends + np.arange(1, b - a + 1)) * enc.width
+                coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(ids)])
+                low, high = np.searchsorted(bounds, key[a:b], "left"), np.searchsorted(bounds, key[a:b], "right")
+                spread = mix((ends + row[a:b]).astype(np.uint64)) % (high - low + 1).astype(np.uint64)  # rows of an id that is several bounds
+                part = np.where(null[a:b], -1, low + spread.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys.slice(a, b - a), coded, pa.array(np.full(b - a, enc.width), pa.int32())], ["part", "id", "ids", "width"])
+                a = b
+
+    return run
+
+
+def _segments(most_ids: int, most_docs: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        ids, lengths, docs, total, n_null = [], [], [], 0, 0
+        part, seq = None, 0
+        ids, lengths, docs, total, n_null, width = [], [], [], 0, 0, 2
 
         def segment():
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            row = (part, seq, len(lengths), n_null, int(starts[-1]), enc.width, b"".join(ids), elias_fano.encode(starts), elias_fano.encode(np.array(docs, np.int64)))
+            row = (part, seq, len(lengths), n_null, int(starts[-1]), width, b"".join(ids), elias_fano.encode(starts), elias_fano.encode(np.array(docs, np.int64)))
             return pd.DataFrame([row], columns=[c.split()[0] for c in SEGMENT.split(", ")])
 
         for batch in batches:
             null = batch["id"].isna().to_numpy()
-            for text, doc, missing in zip(batch["text"], batch["id"], null, strict=True):
-                coded = enc.encode(text) + end
+            for own, coded, w, doc, missing in zip(batch["part"].tolist(), batch["ids"], batch["width"].tolist(), batch["id"], null, strict=True):
+                if lengths and (own != part or total >= most_ids or len(lengths) >= most_docs):
+                    yield segment()
+                    ids, lengths, docs, total, n_null, seq = [], [], [], 0, 0, seq + 1
+                if own != part:
+                    part, seq = own, 0
+                width = w
                 ids.append(coded)
-                lengths.append(len(coded) // enc.width)
+                lengths.append(len(coded) // width)
                 total += lengths[-1]
                 if missing:
                     n_null += 1
                 else:
                     docs.append(int(doc))
-                if total >= SEGMENT_IDS or len(lengths) >= SEGMENT_DOCS:
-                    yield segment()
-                    seq += 1
-                    ids, lengths, docs, total, n_null = [], [], [], 0, 0
         if lengths:
             yield segment()
 
@@ -123,27 +237,61 @@ def _segments(path: str, end_id: int):
 
 
 def write_documents(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id") -> None:
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    ordered.mapInPandas(_segments(tokenizer, end_id), SEGMENT).write.parquet(path)
+    spark = df.sparkSession
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx("id", F.array(*(F.lit(i / n) for i in range(1, n))), 10 * n).alias("q")).first()["q"] if n > 1 else None  # a number a partition
+    coded = rows.mapInArrow(_encoded(shipped(spark, tokenizer), end_id, np.array(bounds or [], np.int64)), "part int, id long, ids binary, width int")
+    ordered = coded.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_first())
+    ordered.mapInPandas(_segments(SEGMENT_IDS, SEGMENT_DOCS), SEGMENT).write.parquet(path)
 
 
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for s in batch.itertuples():
-            ids = np.frombuffer(s.ids, f"<u{s.width}").astype("<u4")
-            starts = elias_fano.EliasFano(s.starts).decode()
-            docs = elias_fano.EliasFano(s.doc_ids).decode()
-            data = memoryview(ids.tobytes())
-            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            doc_id = pd.array([None] * s.n_null + docs.tolist(), "Int64")
-            yield pd.DataFrame({"doc_id": doc_id, "part": s.part, "seq": s.seq, "at": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": np.array(crc, np.int64)})
+#: Documents of a segment whose offsets are selected together.
+SELECT = 4096
+
+
+def _documents(at_once: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in batch.itertuples():
+                starts, docs = elias_fano.EliasFano(s.starts), elias_fano.EliasFano(s.doc_ids)
+                ids = np.frombuffer(s.ids, f"<u{s.width}")
+                for i in range(0, s.n_docs, at_once):
+                    j = min(i + at_once, s.n_docs)
+                    at = starts.access_many(np.arange(i, j + 1))
+                    data = memoryview(ids[at[0] : at[-1]].astype("<u4").tobytes())
+                    crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
+                    own = docs.access_many(np.arange(max(i, s.n_null), j) - s.n_null) if j > s.n_null else np.zeros(0, np.int64)
+                    doc_id = pd.array([None] * (j - i - len(own)) + own.tolist(), "Int64")
+                    yield pd.DataFrame({"doc_id": doc_id, "part": s.part, "seq": s.seq, "at": at[:-1], "n_tokens": np.diff(at), "ids_crc32": np.array(crc, np.int64)})
+
+    return run
+
+
+def documents_by_id(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """(doc_id, ids): the documents with these ids (a stated query set, sent to the tasks), found in each segment by binary search and select."""
+    sought = spark.sparkContext.broadcast(sorted(set(wanted)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in batch.to_dict("records"):
+                docs, found = elias_fano.EliasFano(s["doc_ids"]), []
+                if len(docs):
+                    low, high = docs.access(0), docs.access(len(docs) - 1)
+                    for d in sought.value[bisect_left(sought.value, low) : bisect_right(sought.value, high)]:
+                        i = docs.first_at_least(d)
+                        while i < len(docs) and docs.access(i) == d:  # rows of equal ids are neighbours
+                            found.append((d, fetch(s, s["n_null"] + i).astype(np.int64).tolist()))
+                            i += 1
+                yield pd.DataFrame(found, columns=["doc_id", "ids"])
+
+    return spark.read.schema(SEGMENT).parquet(path).mapInPandas(run, "doc_id long, ids array<long>")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start in the whole array, n_tokens and the checksum of its ids."""
     store = spark.read.schema(SEGMENT).parquet(path)
-    docs = store.mapInPandas(_documents, "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
+    docs = store.mapInPandas(_documents(SELECT), "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
     sizes = store.select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per partition of the writer
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
