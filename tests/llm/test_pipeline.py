@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyrank.llm import decontaminate, quality_rules
@@ -74,3 +75,27 @@ def test_empty(spark, tmp_path):
 def test_rules_have_names():
     names = [r.name for r in quality_rules.default_rules()]
     assert len(set(names)) == len(names)
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    good, long = words(60), "\n".join(words(12) for _ in range(4000))
+    rows = [(1, good), (1, good), (2, good.upper()), (None, words(40)), (None, words(40)), (3, None), (4, ""), (5, long), (6, words(30)), (6, words(30)), (7, "copy of the item: " + "the quick brown fox jumps over the lazy dog " * 3 + words(30))]
+    odd = "spans hits ks k h w n kept label component cluster node region sig hash digest first base ids samples __key value text2 id".split()
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in odd:
+        df = df.withColumn(c, F.lit(1))
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = df.repartition(3)
+    counts = []
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, df, str(tmp_path))  # each on rows that earlier stages would have removed
+        got = out.collect()
+        counts.append(len(got))
+        if n < 4:
+            assert out.columns == df.columns, name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+        assert sum(r.doc_id is None for r in got) == 2, name
+    # rules: no null, no empty text, and document 7 repeats itself; lines: all; near copies: document 2 goes; benchmark: document 7 goes; all are encoded
+    assert counts == [8, 11, 10, 10, 11]
