@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ratio
-from ..functions.ranks import avg_rank, row_order
+from ..functions.ranks import avg_rank, hash_numbered, row_order
+from ..functions.scratch import stored
 
 KEY = ["dataset", "detector"]
 
@@ -77,12 +78,8 @@ def drop_one(df: DataFrame, item: str = "detector") -> DataFrame:
 
 
 def scrambled(df: DataFrame, value: str, keys: list[str], seed: int) -> DataFrame:
-    """The values dealt anew to the keys, by a hash order: the negative control.
-
-    Both orders are over the aggregated fact table, whose size is that of the experiment.
-    """
-    from ..functions.ranks import hash_order
-
-    a = df.select(*keys, row_order(*(F.col(k) for k in keys)).alias("__n"))
-    b = df.select(value, row_order(hash_order(F.lit(seed), *keys)).alias("__n"))
+    """The values dealt anew to the keys, by two hash orders: the negative control."""
+    df = stored(df.select(*keys, value), "scrambled")
+    a = hash_numbered(df.select(*keys), "__n", *keys)
+    b = hash_numbered(df, "__n", F.lit(seed), *keys).select(value, "__n")
     return a.join(b, "__n").drop("__n")

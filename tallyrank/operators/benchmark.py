@@ -218,11 +218,12 @@ def greedy_cover(df: DataFrame, radius: float) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        kept: list = []
-        for v in np.array(pdf["v"].tolist(), float):
-            if not kept or np.sqrt(((np.array(kept) - v) ** 2).sum(1)).min() > radius:
-                kept.append(v)
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "n_eff": [len(kept)]})
+        m = np.array(pdf["v"].tolist(), float)
+        kept, n = np.empty_like(m), 0
+        for v in m:
+            if not n or np.sqrt(((kept[:n] - v) ** 2).sum(1)).min() > radius:
+                kept[n], n = v, n + 1
+        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "n_eff": [n]})
 
     return df.select("dataset", "id", "v").groupBy("dataset").applyInPandas(run, "dataset int, n_eff long")
 

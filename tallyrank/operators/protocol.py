@@ -125,16 +125,35 @@ def pseudo_subsets(labelled: DataFrame, m: int = 15, how: str = "smallest", seed
     return tasks.join(good, "task")
 
 
+#: Ways to choose clusters, by numbers of clusters: the bank of regimes.
+REGIMES = [(how, k) for how in ("smallest", "random", "hard") for k in (30, 50)]
+
+
+def pseudo_fact(rows: DataFrame, names: tuple[str, ...] = PANEL, bank: list[tuple[str, int]] = REGIMES, m: int = 15, seed: int = 0, dataset: int = 0) -> DataFrame:
+    """(dataset, detector, regime, subset, pseudo_auc): the fact table of pseudo-tasks that rankings and voting schemes work on.
+
+    ``rows`` (id, v) are normal. They are embedded once and clustered once a number of clusters; the
+    tasks of all regimes are fitted and judged together.
+    """
+    n = rows.count()
+    train = rows.select("id", F.lit(True).alias("train"), "v")
+    z = det.pca_embed(train, 16).select("id", F.lit(True).alias("train"), F.col("z").alias("v"))
+    z, tasks = stored(z, "embedded"), None
+    for k in sorted({k for _, k in bank}):
+        label, _ = det.clusters(z, effective_k(k, n), seed)
+        labelled = stored(det.long_form(z).join(label, "id").select("id", "cluster", "dim", "x"), "clustered-rows")
+        for how in (h for h, c in bank if c == k):
+            own = pseudo_subsets(labelled, m, how, seed).select(F.concat_ws("|", F.lit(f"{how}_K{k}"), "task").alias("task"), "id", "role")
+            tasks = own if tasks is None else tasks.union(own)
+    aucs = task_scores(det.long_form(train).select("id", "dim", "x"), stored(tasks, "pseudo-tasks"), names)
+    part = F.split("task", r"\|")
+    return aucs.select(F.lit(dataset).alias("dataset"), "detector", part[0].alias("regime"), part[1].cast("long").alias("subset"), F.col("auc").alias("pseudo_auc"))
+
+
 def manifold_separability(val: DataFrame, names: tuple[str, ...] = PANEL, m: int = 15, k: int = 50, how: str = "smallest", seed: int = 0) -> DataFrame:
     """(detector, auc): mean over pseudo-tasks of whole clusters of validation normals held out. None below 60 rows."""
-    n = val.count()
-    rows = val.select("id", F.lit(True).alias("train"), "v")
-    z = det.pca_embed(rows, 16).select("id", F.lit(True).alias("train"), F.col("z").alias("v"))
-    label, _ = det.clusters(z, effective_k(k, n), seed)
-    labelled = stored(det.long_form(z).join(label, "id").select("id", "cluster", "dim", "x"), "clustered-rows")
-    tasks = stored(pseudo_subsets(labelled, m, how, seed), "pseudo-tasks")
-    aucs = task_scores(det.long_form(rows).select("id", "dim", "x"), tasks, names).where(F.lit(n >= 60))
-    return aucs.groupBy("detector").agg(F.avg("auc").alias("auc"))
+    fact = pseudo_fact(val, names, [(how, k)], m, seed).where(F.lit(val.count() >= 60))
+    return fact.groupBy("detector").agg(F.avg("pseudo_auc").alias("auc"))
 
 
 def effective_k(k: int, n: int) -> int:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import anomaly_percentile, roc_auc
+from ..functions.metrics import anomaly_percentile, roc_auc, spearman
 from ..functions.ranks import hash_unit
+from ..functions.scratch import stored
+from ..operators import aggregate, schemes
 from ..operators import detectors as det
 from ..operators import geometry as geo
 from ..operators import protocol as pro
@@ -178,6 +180,25 @@ def _of(spark, d, role) -> DataFrame:
 query("evaluate_panel", None)(lambda spark, d: pro.evaluate(roles(spark, d)))
 query("synthetic_auc", None)(lambda spark, d: pro.synthetic_auc(_of(spark, d, "train"), _of(spark, d, "val"), pro.shuffled(_of(spark, d, "val"))))
 query("synthetic_auc_within", None)(lambda spark, d: pro.synthetic_auc_within(_of(spark, d, "val"), pro.shuffled(_of(spark, d, "val"))))
+
+
+def _voted(spark, d) -> DataFrame:
+    """The whole way: pseudo-tasks of the training rows, votes of the regimes, true AUC on the test rows, rank correlation and regret."""
+    fact = stored(pro.pseudo_fact(_of(spark, d, "train"), m=5), "fact")
+    scores_ = stored(pro.fit_scores(_of(spark, d, "train"), _of(spark, d, "test")), "panel-scores").withColumn("score", F.round("score", 9))
+    truth = roc_auc(scores_.join(roles(spark, d).where("role = 'test'").select("id", "y"), "id"), ["detector"], "score", "y").select(F.lit(0).alias("dataset"), "detector", F.col("auc").alias("true_auc"))
+    truth = stored(truth, "truth")
+    ways = {"borda": aggregate.borda(fact), "variance_weighted": aggregate.variance_weighted(fact), "discriminative": schemes.voted(fact, schemes.discriminative)}
+    out = None
+    for name, pred in ways.items():
+        pred = pred.select("dataset", "detector", "score")
+        own = aggregate.regret(pred, truth).join(spearman(aggregate.with_truth(pred, truth), ["dataset"], "true_auc", "score"), "dataset").withColumn("way", F.lit(name))
+        out = own if out is None else out.union(own)
+    return out
+
+
+query("pseudo_fact", None)(lambda spark, d: pro.pseudo_fact(_of(spark, d, "train"), m=5))
+query("whole_selection", None)(_voted)
 query("manifold_separability", None)(lambda spark, d: pro.manifold_separability(_of(spark, d, "train")))
 query("seed_stability", None)(lambda spark, d: pro.seed_stability(_of(spark, d, "train"), _of(spark, d, "test"), [(t, f) for t in (20, 50, 100) for f in (0.5, 0.75, 1.0)]))
 query("knn_separability", None)(lambda spark, d: pro.separability(_of(spark, d, "train"), roles(spark, d).where("role = 'test' and y = 0").select("id", "v"), roles(spark, d).where("y = 1").select("id", "v")))

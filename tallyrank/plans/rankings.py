@@ -319,7 +319,7 @@ def _(spark, d):
 
 @query(
     "scrambled_control",
-    f"""WITH {FACT}, a AS (SELECT dataset, detector, regime, subset, row_number() OVER (ORDER BY dataset, detector, regime, subset) AS n FROM fact),
+    f"""WITH {FACT}, a AS (SELECT dataset, detector, regime, subset, row_number() OVER (ORDER BY md5(concat_ws(':', dataset, detector, regime, subset))) AS n FROM fact),
 b AS (SELECT pseudo_auc, row_number() OVER (ORDER BY md5(concat_ws(':', 7, dataset, detector, regime, subset))) AS n FROM fact)
 SELECT dataset, detector, regime, subset, {r("pseudo_auc")} FROM a JOIN b USING (n)""",
 )

@@ -179,3 +179,14 @@ def write_parts(df: DataFrame, path: str, by: list[str]) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """A score sink: (dataset, part, detector, id, score) in folders by dataset and part; parts that the data don't name stay."""
+    write_parts(require(scores, {"dataset", "part", "detector", "id", "score"}).select("dataset", "part", "detector", "id", "score"), path, ["dataset", "part"])
+
+
+def read_score_matrix(spark: SparkSession, path: str, dataset: str, part: str, detectors: list[str]) -> DataFrame:
+    """One row an id, with a column a detector."""
+    rows = spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("part") == part))
+    return rows.groupBy("id").pivot("detector", detectors).agg(F.first("score"))

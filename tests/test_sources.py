@@ -82,3 +82,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((r["event_type"], r["start"], r["n"], round(r["mean"], 9)) for r in df.collect())
     assert key(spark.table("rolled")) == key(rolled_up(batch))
+
+
+def test_score_sink_keeps_other_parts(spark, tmp_path):
+    path, schema = str(tmp_path / "scores"), "dataset string, part string, detector string, id long, score double"
+    readers.write_scores(spark.createDataFrame([("d", "val", k, i, i + 0.5) for k in "ab" for i in range(3)] + [("d", "test", "a", 0, 9.0)], schema), path)
+    readers.write_scores(spark.createDataFrame([("d", "val", "a", 7, 1.0), ("d", "val", "b", 7, 2.0)], schema), path)
+    assert [tuple(r) for r in readers.read_score_matrix(spark, path, "d", "val", ["a", "b"]).collect()] == [(7, 1.0, 2.0)]
+    assert [tuple(r) for r in readers.read_score_matrix(spark, path, "d", "test", ["a", "b"]).collect()] == [(0, 9.0, None)]
