@@ -770,6 +770,7 @@ def encode_and_sample(df: DataFrame, model: str, k: int = SAMPLES, alpha: float
                 kept = [batch.column(f"k{i}").slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *own], [*(f"k{i}" for i in range(len(keep))), "ids", "decoded", "samples"])
                 a = b
+            pa.default_memory_pool().release_unused()  # else a worker holds on to its peak
 
     done = rows.mapInArrow(run, f"{fields}, {ADDED}" if fields else ADDED)
     return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "ids", "decoded", "samples")

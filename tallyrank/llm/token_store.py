@@ -42,9 +42,9 @@ SEGMENT_DOCS = 1 << 16
 SEGMENT = "part int, seq int, n_docs long, n_null long, n_ids long, width int, ids binary, starts binary, doc_ids binary"
 
 #: Words whose ids a worker remembers, and chunks between white space; when there are more, it starts anew.
-MEMO, KEEP = 300_000, 600_000
+MEMO, KEEP = 200_000, 700_000
 #: UTF-8 bytes of texts encoded together, and words given to the library at once.
-TOGETHER, WORDS = 4_000_000, 500
+TOGETHER, WORDS = 2_000_000, 500
 #: The file's rule for words, which is also this module's; another rule goes through the library whole.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -200,6 +200,7 @@ def _encoded(tokenizer: str, end_id: int, bounds: np.ndarray):
                 part = np.where(null[a:b], -1, low + spread.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), keys.slice(a, b - a), coded, pa.array(np.full(b - a, enc.width), pa.int32())], ["part", "id", "ids", "width"])
                 a = b
+            pa.default_memory_pool().release_unused()  # else a worker holds on to its peak
 
     return run
 
@@ -242,7 +243,7 @@ def write_documents(df: DataFrame, path: str, tokenizer: str, end_id: int, text:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.agg(F.percentile_approx("id", F.array(*(F.lit(i / n) for i in range(1, n))), 10 * n).alias("q")).first()["q"] if n > 1 else None  # a number a partition
     coded = rows.mapInArrow(_encoded(shipped(spark, tokenizer), end_id, np.array(bounds or [], np.int64)), "part int, id long, ids binary, width int")
-    ordered = coded.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_first())
+    ordered = coded.repartitionById(n, F.greatest(F.col("part"), F.lit(0))).sortWithinPartitions("part", F.col("id").asc_nulls_first())  # null ids and the first part share a partition
     ordered.mapInPandas(_segments(SEGMENT_IDS, SEGMENT_DOCS), SEGMENT).write.parquet(path)
 
 
