@@ -146,13 +146,13 @@ def selectors(df: DataFrame) -> DataFrame:
     """(selector, dataset, regret, rank_pos): picks by truth, its opposite, the variant best on average and label-free criteria.
 
     ``df``: (dataset, variant, truth, em, mv, consensus) and, if present, further criteria (centrality,
-    hits, nomas) and a ``modality``, within which the average is then taken; mv is best where
+    hits, separability) and a ``modality``, within which the average is then taken; mv is best where
     smallest. Variants named like isolation forests give ``iforest_random``, their mean.
     """
     of = ["variant", *(c for c in ("modality",) if c in df.columns)]
     df = df.join(df.groupBy(*of).agg(F.avg("truth").alias("g")), of)
     by = {"oracle": F.col("truth"), "anti_oracle": -F.col("truth"), "global_fixed": F.col("g"), "em": F.col("em"), "mv": -F.col("mv"), "consensus": F.col("consensus")}
-    by |= {c: F.col(c) for c in ("centrality", "hits", "nomas") if c in df.columns}
+    by |= {c: F.col(c) for c in ("centrality", "hits", "separability") if c in df.columns}
     w = Window.partitionBy("dataset")
     placed = df.select(
         "dataset", "truth", F.col("variant").rlike("^(IForest|IF_)").alias("forest"), F.max("truth").over(w).alias("best"), F.count("*").over(w).alias("n"), (row_order(F.col("truth").desc(), F.col("variant"), groups=("dataset",)) - 1).alias("pos"),

@@ -296,7 +296,8 @@ def isolation_forest(df: DataFrame, trees: int = 100, rows: int = 256, seed: int
         return j, cut, grow(m[below], depth + 1, dims), grow(m[~below], depth + 1, dims)
 
     dims = data.shape[1]
-    forest = [grow(data[rng.choice(len(data), size, replace=False)], 0, rng.choice(dims, max(1, int(features * dims)), replace=False)) for _ in range(trees)]
+    some = lambda: np.arange(dims) if features >= 1 else rng.choice(dims, max(1, int(features * dims)), replace=False)
+    forest = [grow(data[rng.choice(len(data), size, replace=False)], 0, some()) for _ in range(trees)]
 
     def walk(m, tree, index, out):
         if not isinstance(tree, tuple):
