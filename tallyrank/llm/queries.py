@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_classifier, decontaminate, line_dedup, minhash, pii, quality_rules, secrets, sentencepiece_sampling, token_store, warc
+from . import compression_classifier, conversation_repair, decontaminate, filter_audit, line_dedup, minhash, pii, quality_rules, secrets, sentencepiece_sampling, token_store, warc
 from .common import table
 
 
@@ -55,6 +55,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -164,5 +172,85 @@ FROM m
 """
 
 
+#: Every order is run over the documents' combinations of failures.
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS g, coalesce(bool_or(toxic = 1), false) AS x FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+f AS (
+  SELECT part, coalesce(g, false) AS g, coalesce(x, false) AS x,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS m
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (g) AS ng, count(*) FILTER (x) AS nx FROM f GROUP BY part, m),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (
+  SELECT p.k || q.k || r.k || s.k || t.k AS o FROM a p, a q, a r, a s, a t
+  WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+s AS (
+  SELECT o, step, 1 << (ascii(o[step]) - 65) AS bit, list_sum(list_transform(range(0, step), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1 << (ascii(o[i]) - 65) END))::INT AS before
+  FROM (SELECT o, unnest(range(1, 6))::INT AS step FROM o)),
+r AS (
+  SELECT part, o, step, bit, coalesce(sum(n) FILTER (m & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (m & before = 0 AND m & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (m & before > 0 AND m & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (m = bit), 0) AS unique_fails,
+         coalesce(sum(ng) FILTER (m & before = 0 AND m & bit > 0), 0) AS good_lost, coalesce(sum(nx) FILTER (m & before = 0 AND m & bit > 0), 0) AS toxic_lost
+  FROM c, s GROUP BY part, o, step, bit)
+SELECT part, o AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+#: Strings and repaired turns are carried along here; of each state the cheapest, then least, string goes on.
+OP12_SQL = r"""
+WITH RECURSIVE
+h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+             lambda p, q: list_reduce(list_prepend(xor(p, q), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS harm
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+j AS (
+  SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM n),
+ins(f, t, e, x) AS (VALUES
+  (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []),
+  (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (3, 2, 'I', ['user:']),
+  (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, 'II', ['user:', 'assistant:'])),
+op(f, r, op, t, c, name) AS (VALUES
+  (0, 's', 'K', 1, 0, ''), (0, 'u', 'K', 2, 0, ''), (1, 'u', 'K', 2, 0, ''), (2, 'a', 'K', 3, 0, ''), (3, 'u', 'K', 2, 0, ''),
+  (0, '*', 'R', 2, 2, 'user'), (1, '*', 'R', 2, 2, 'user'), (2, '*', 'R', 3, 2, 'assistant'), (3, '*', 'R', 2, 2, 'user'),
+  (0, '*', 'D', 0, 3, ''), (1, '*', 'D', 1, 3, ''), (2, '*', 'D', 2, 3, ''), (3, '*', 'D', 3, 3, '')),
+w AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS c, '' AS a, []::VARCHAR[] AS x FROM j
+  UNION ALL
+  SELECT conv_id, i, s, c, a, x FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, s ORDER BY c, a) AS best FROM (
+      SELECT w.conv_id, w.i + 1 AS i, op.t AS s, w.c + 2 * length(ins.e) + op.c + (op.op <> 'D' AND j.fault = 'truncated')::INT AS c, w.a || ins.e || op.op AS a,
+             list_concat(w.x, ins.x, CASE op.op WHEN 'K' THEN [j.role || ':' || j.text] WHEN 'R' THEN [op.name || ':' || j.text] ELSE [] END) AS x
+      FROM w JOIN j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1 JOIN ins ON ins.f = w.s
+      JOIN op ON op.f = ins.t AND (op.r = '*' OR op.r = j.r) AND (op.op = 'D' OR j.fault NOT IN ('blank', 'duplicate')))) WHERE best = 1),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM j GROUP BY conv_id),
+b AS (
+  SELECT w.conv_id, min({'c': w.c + 2 * length(e.e), 'a': w.a || e.e, 'x': list_concat(w.x, e.x)}) AS v
+  FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.n = w.i JOIN ins e ON e.f = w.s AND (e.t = 3 OR e.t = 0) GROUP BY w.conv_id)
+SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.c, 0)::BIGINT AS cost, coalesce(v.a, '') AS audit, sha256(coalesce(array_to_string(v.x, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op8_warc": OP8_SQL, "op9_secret_scan": OP9_SQL, "op10_pii": OP10_SQL}
+    return {"op11_filter_audit": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op5_quality_rules": OP5_SQL, "op8_warc": OP8_SQL, "op9_secret_scan": OP9_SQL, "op10_pii": OP10_SQL}
