@@ -16,10 +16,12 @@ doc_id (there the first) stays; the others go once their SHA-256 equals that of
 stays, unless they overlap it. A line goes only for an equal one further ahead in the order of
 documents and lines, so each line stays somewhere.
 
-Each line is digested once (SHA-256) and a span's digest is that of its lines' digests, so equal
-digests mean equal bytes and no text is fetched to compare. Only digests are shuffled and
-aggregated; texts are shuffled once, by document, to be cut. A span that a third of the
-documents hold is one row on the other side of a join that adaptive execution can split.
+Lines and spans are matched by 16 bytes of SHA-256 (a span's digest is that of its lines'), and
+bytes are compared before anything goes: of all lines in matched spans, on both sides, those of
+one digest must be one string, which is an aggregate over these lines only. A span that holds a
+line of another kind stays. Only digests are shuffled to find matches; texts are shuffled once,
+by document, to be compared and cut. A span that a third of the documents hold is one row on the
+other side of a join that adaptive execution can split.
 
 Defined results: a null text has no lines and stays null; rows with equal doc_id and text
 are one document (both keep its spans, both lose the same ones), null ids included; rows with
@@ -63,8 +65,14 @@ def chunks_of(hashes: Column) -> Column:
     return let(F.filter(F.sequence(F.lit(1), F.size(hashes)), ends), build)
 
 
+def digest_of(data: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(data, 256)), 1, 16)
+
+
 def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
-    return df.withColumn("__id", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST))).withColumn("__row", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    """(id, row, text, whole): the columns that the work needs and, in one struct, the row as it is."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole")
+    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"), whole)
 
 
 def windows_of(lines: Column) -> Column:
@@ -105,61 +113,88 @@ def spans_of(text: Column) -> Column:
 
         def digest(s):
             own = F.slice(lines, s["first"], s["n"])
-            joined = F.array_join(F.transform(own, lambda x: x["digest"]), "")
-            return F.when(F.exists(own, lambda x: x["words"] > 0), F.named_struct(F.lit("first"), s["first"], F.lit("n"), s["n"], F.lit("digest"), F.unhex(F.sha2(joined, 256))))
+            joined = F.array_join(F.transform(own, lambda x: F.hex(x["digest"])), "")
+            return F.when(F.exists(own, lambda x: x["words"] > 0), F.named_struct(F.lit("first"), s["first"], F.lit("n"), s["n"], F.lit("digest"), digest_of(joined)))
 
         return F.array_compact(F.transform(spans, digest))
 
     words = lambda x: F.regexp_count(x, F.lit(WORD_CHAR + "+")).cast("long")
-    return let(F.transform(lines_of(text), lambda x: F.struct(words(x).alias("words"), F.xxhash64(x).alias("hash"), F.sha2(x, 256).alias("digest"))), of)
+    return let(F.transform(lines_of(text), lambda x: F.struct(words(x).alias("words"), F.xxhash64(x).alias("hash"), digest_of(x).alias("digest"))), of)
 
 
-def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(__id, __row, __spans): per document the spans (first line from 1, lines) that go."""
-    docs = _keyed(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), text, key).where(F.col(f"`{text}`").isNotNull())
-    occ = docs.select("__id", "__row", F.explode(spans_of(F.col(f"`{text}`"))).alias("c"))
-    occ = stored(occ.select("__id", "__row", "c.first", "c.n", "c.digest"), "span-digests")
-    own = occ.groupBy("digest").agg(F.min(F.struct("__id", "__row", "first")).alias("keep"), F.count("*").alias("c")).where("c > 1").select("digest", "keep")
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(id, row, spans, kept): per document the spans (first line from 1, lines) that match one further ahead, and those matched."""
+    occ = docs.where("text is not null").select("id", "row", F.explode(spans_of(F.col("text"))).alias("c"))
+    occ = stored(occ.select("id", "row", "c.first", "c.n", "c.digest"), "span-digests")
+    own = occ.groupBy("digest").agg(F.min(F.struct("id", "row", "first", "n")).alias("keep"), F.count("*").alias("c")).where("c > 1").select("digest", "keep")
     own = stored(own, "span-keepers")
-    same = (F.col("__id") == F.col("keep.__id")) & (F.col("__row") == F.col("keep.__row"))
+    same = (F.col("id") == F.col("keep.id")) & (F.col("row") == F.col("keep.row"))
     gone = occ.join(own.hint("shuffle_hash"), "digest").where(~(same & (F.col("first") < F.col("keep.first") + F.col("n"))))
-    return gone.groupBy("__id", "__row").agg(F.collect_set(F.struct("first", "n")).alias("__spans"))
+    both = gone.select("id", "row", "first", "n", F.lit(True).alias("goes")).union(own.select("keep.id", "keep.row", "keep.first", "keep.n", F.lit(False)))
+    pick = lambda goes: F.collect_set(F.when(F.col("goes") == goes, F.struct("first", "n")))
+    return both.groupBy("id", "row").agg(pick(True).alias("spans"), pick(False).alias("kept"))
 
 
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with repeated spans cut from ``text``, plus ``__removed`` (long), the number of lines cut."""
-    gone = stored(repeated_spans(df, text, key), "spans-to-cut")
-    joined = _keyed(df, text, key).join(gone.hint("shuffle_hash"), ["__id", "__row"], "left")
-    body = F.col(f"`{text}`")
+def _numbers(spans: Column) -> Column:
+    """The lines in any of the spans."""
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
 
-    def rebuild(lines):
-        gone_lines = F.flatten(F.transform("__spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
 
+def _matched(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(text, whole, spans): each row with the spans that go, their bytes compared."""
+    docs = _keyed(df, text, key)
+    spans = stored(repeated_spans(docs.select("id", "row", "text")), "spans-matched")
+    joined = stored(docs.join(spans.hint("shuffle_hash"), ["id", "row"], "left"), "documents-matched")
+    numbers = let(lines_of(F.col("text")), lambda lines: F.transform(_numbers(F.concat("spans", "kept")), lambda i: F.struct(i.alias("i"), F.get(lines, i - 1).alias("line"))))
+    # the rows of one document are alike, so any of them will do
+    lines = joined.where("spans is not null").select("id", "row", F.inline(numbers)).withColumn("digest", digest_of(F.col("line")))
+    unlike = lines.groupBy("digest").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least != most").select("digest")
+    unlike = stored(unlike, "unlike-lines")
+    if unlike.isEmpty():
+        return joined
+    # such lines stay, with all spans that hold them
+    held = lines.join(unlike.hint("shuffle_hash"), "digest", "left_semi").groupBy("id", "row").agg(F.collect_set("i").alias("held"))
+    left = F.filter("spans", lambda s: ~F.exists("held", lambda i: (i >= s["first"]) & (i < s["first"] + s["n"])))
+    return joined.join(stored(held, "lines-held").hint("shuffle_hash"), ["id", "row"], "left").withColumn("spans", F.when(F.col("held").isNull(), F.col("spans")).otherwise(left))
+
+
+def _cut(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(whole, text, removed): each row of ``df``, its text without repeated spans, and the number of lines cut."""
+
+    def rebuild(lines):
         def without(kept):
             body = F.array_join(F.transform(kept, lambda i: F.get(lines, i - 1)), "\n")
             return F.struct(body.alias("text"), (F.size(lines) - F.size(kept)).cast("long").alias("removed"))
 
-        return let(F.array_except(F.sequence(F.lit(1), F.size(lines)), gone_lines), without)
+        return let(F.array_except(F.sequence(F.lit(1), F.size(lines)), _numbers(F.col("spans"))), without)
 
-    out = joined.withColumn("__out", F.when(F.col("__spans").isNotNull(), let(lines_of(body), rebuild)))
-    left = F.when(F.col("__out").isNull(), body).otherwise(F.col("__out.text"))
-    return out.select(
-        *(left.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns),
-        F.coalesce(F.col("__out.removed"), F.lit(0).cast("long")).alias("__removed"),
-    )
+    done = F.when(F.size("spans") > 0, let(lines_of(F.col("text")), rebuild))
+    out = _matched(df, text, key).select("whole", "text", done.alias("out"))
+    return out.select("whole", F.when(F.col("out").isNull(), F.col("text")).otherwise(F.col("out.text")).alias("text"), F.coalesce("out.removed", F.lit(0).cast("long")).alias("removed"))
+
+
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", removed: str = "removed_lines") -> DataFrame:
+    """``df`` with repeated spans cut from ``text``, plus ``removed`` (long, a name that ``df`` hasn't), the number of lines cut."""
+    if removed.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"{removed} is a column already")
+    return _cut(df, text, key).select(*_columns(df, text), F.col("removed").alias(removed))
+
+
+def _columns(df: DataFrame, text: str) -> list[Column]:
+    return [(F.col("text") if c == text else F.col(f"whole.`{c}`")).alias(c) for c in df.columns]
 
 
 def clean(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``dedup_lines`` with exactly the columns of ``df``."""
-    return dedup_lines(df, text, key).drop("__removed")
+    return _cut(df, text, key).select(*_columns(df, text))
 
 
 def report(df: DataFrame) -> DataFrame:
-    done = dedup_lines(df.select("doc_id", "text"))
+    done = dedup_lines(df.select("doc_id", "text"), removed="n_lines_removed")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     return done.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines_left"),
-        F.col("__removed").alias("n_lines_removed"),
+        "n_lines_removed",
         "text",
     )

@@ -38,6 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import unused
 from .common import stored
 from .components import connected
 from .shingles import SIGNATURE, chunks, fingerprints, shingle_sets, signatures
@@ -65,7 +66,7 @@ def _signed(k: int):
     return run
 
 
-class _Union:
+class Union:
     def __init__(self):
         self.up: dict[int, int] = {}
 
@@ -82,7 +83,7 @@ class _Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Runs of equal keys of sorted input, whole even across batches."""
     held: list[pd.DataFrame] = []
     last = None
@@ -118,8 +119,8 @@ def spanning(n: int, near) -> np.ndarray:
 
 def _tentative(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning tentative links of this partition's regions, as (node, smallest node linked here)."""
-    union, least = _Union(), int(np.ceil(AGREE * SIGNATURE))
-    for g in _groups(batches, ["region", "block"]):
+    union, least = Union(), int(np.ceil(AGREE * SIGNATURE))
+    for g in groups(batches, ["region", "block"]):
         nodes = g["node"].to_numpy()
         sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(nodes), SIGNATURE)
         root = spanning(len(nodes), lambda i, rest: (sig[rest] == sig[i]).sum(axis=1) >= least)  # noqa: B023
@@ -169,13 +170,13 @@ class _Sets:
         return out
 
 
-def _confirmed(k: int, percent: int):
+def _confirmed(k: int, percent: int, kind: type[_Sets]):
     """Spanning links of each block of a cluster, as (node, smallest node linked here, blocks)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "block"]):
-            sets = _Sets(g, k, percent)
-            nodes, union = g["node"].to_numpy()[sets.pick], _Union()
+        for g in groups(batches, ["cluster", "block"]):
+            sets = kind(g, k, percent)
+            nodes, union = g["node"].to_numpy()[sets.pick], Union()
             for i, r in enumerate(spanning(len(nodes), sets.near).tolist()):
                 union.link(int(nodes[i]), int(nodes[r]))
             names = np.unique(nodes)
@@ -184,13 +185,13 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _confirmed_between(k: int, percent: int):
+def _confirmed_between(k: int, percent: int, kind: type[_Sets]):
     """Links (a, b) between components of a cluster: each node of ``side`` 0 against all of ``side`` 1 of its part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = set()
-        for g in _groups(batches, ["group", "i", "j"]):
-            sets = _Sets(g, k, percent)
+        for g in groups(batches, ["group", "i", "j"]):
+            sets = kind(g, k, percent)
             label, side = g["component"].to_numpy()[sets.pick], g["side"].to_numpy()[sets.pick]
             other = np.flatnonzero(side == 1)
             for x in np.flatnonzero(side == 0).tolist():
@@ -201,7 +202,7 @@ def _confirmed_between(k: int, percent: int):
     return run
 
 
-def _dealt(rows: DataFrame, blocks: str, size: str, node: str) -> DataFrame:
+def dealt(rows: DataFrame, blocks: str, size: str, node: str) -> DataFrame:
     """Rows with their ``block``; of more than one block each also holds the pivots."""
     mine = F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
     pivot = (F.col(blocks) > 1) & (F.pmod(F.xxhash64(node, F.lit(1)), F.col(size)) < PIVOTS)
@@ -231,7 +232,7 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tentative links (a, b) between components: each node of ``side`` 0 against all of ``side`` 1 of its part."""
     least, found = int(np.ceil(AGREE * SIGNATURE)), set()
-    for g in _groups(batches, ["group", "i", "j"]):
+    for g in groups(batches, ["group", "i", "j"]):
         sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), SIGNATURE)
         label, side = g["component"].to_numpy(), g["side"].to_numpy()
         mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -242,15 +243,17 @@ def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
 
-def _left_to_compare(at: DataFrame) -> DataFrame | None:
+def left_to_compare(at: DataFrame) -> DataFrame | None:
     """(group, node, component, side, i, j): the nodes of each group outside its largest component (side 0) beside all of it (side 1).
 
-    In parts (i, j) of at most about ``REGION`` nodes a side. None where no group has such nodes.
+    ``at`` has (group, node, component, n). In parts (i, j) of about ``REGION`` nodes or
+    ``BLOCK_SHINGLES`` shingles (n) a side. None where no group has such nodes.
     """
-    counts = at.groupBy("group", "component").agg(F.count("*").alias("c"))
-    most = counts.groupBy("group").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("size"))
-    blocks = lambda n: F.ceil(n / REGION).cast("int")
-    most = most.where(F.col("m.c") < F.col("size")).select("group", F.col("m.component").alias("main"), blocks(F.col("size") - F.col("m.c")).alias("ni"), blocks(F.col("size")).alias("nj"))
+    counts = at.groupBy("group", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = counts.groupBy("group").agg(F.max(F.struct("c", "component", "s")).alias("m"), F.sum("c").alias("size"), F.sum("s").alias("all"))
+    blocks = lambda n, s: F.least(F.greatest(F.ceil(n / REGION), F.ceil(s / BLOCK_SHINGLES), F.lit(1)), F.greatest(n, F.lit(1))).cast("int")
+    most = most.where(F.col("m.c") < F.col("size"))
+    most = most.select("group", F.col("m.component").alias("main"), blocks(F.col("size") - F.col("m.c"), F.col("all") - F.col("m.s")).alias("ni"), blocks(F.col("size"), F.col("all")).alias("nj"))
     most = stored(most, "cut-groups")
     if most.isEmpty():
         return None
@@ -262,7 +265,7 @@ def _left_to_compare(at: DataFrame) -> DataFrame | None:
     return rest.union(whole)
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) with components linked by ``links`` (a, b) joined."""
     merged = connected(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
     # a component's smallest node may be in no link yet
@@ -270,53 +273,66 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(known.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "rejoined")
 
 
-def _parted(dealt: DataFrame, rows: DataFrame, run) -> DataFrame:
+def parted(dealt: DataFrame, rows: DataFrame, run) -> DataFrame:
     """The links that ``run`` finds in the parts of ``dealt``, with each node's ``rows``."""
     parts = dealt.join(rows, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     return stored(parts.mapInPandas(run, "a long, b long"), "links-between")
 
 
-def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: ``key``, n_shingles, component_id, kept (and copies: rows with an equal set)."""
-    docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = stored(docs.mapInPandas(_signed(k), "id long, n long, f1 long, f2 long, sig binary"), "signed")
-    alike = signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2")
-    nodes = stored(alike.agg(F.min("id").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("sig").alias("sig")), "nodes")
+def linked_in_regions(members: DataFrame, large: DataFrame | None, payload: DataFrame, within, between) -> DataFrame:
+    """(node, component) of tentative links: ``within`` finds those of the blocks of each region, ``between`` those that cuts left uncompared.
 
-    members, large = _regions(nodes)
+    ``members`` has (node, region, size), ``large`` (node, region, n) of the regions that are cut, ``payload`` what the
+    comparison needs per node.
+    """
     blocks = F.ceil(F.col("size") / REGION)
-    regions = _dealt(stored(members, "members").withColumn("blocks", blocks), "blocks", "size", "node").drop("size", "blocks")
-    beside = regions.join(nodes.select("node", "sig"), "node").repartition("region", "block").sortWithinPartitions("region", "block")
-    clusters = connected(beside.mapInPandas(_tentative, "a long, b long"))
+    regions = dealt(stored(members, "members").withColumn("blocks", blocks), "blocks", "size", "node").drop("size", "blocks")
+    beside = regions.join(payload, "node").repartition("region", "block").sortWithinPartitions("region", "block")
+    clusters = connected(beside.mapInPandas(within, "a long, b long"))
     if large is not None:
-        at = large.join(clusters, "node", "left").select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"))
-        dealt = _left_to_compare(stored(at, "cut-regions"))
-        if dealt is not None:
-            clusters = _merged(clusters, _parted(dealt, nodes.select("node", "sig"), _between))
+        at = large.join(clusters, "node", "left").select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"), "n")
+        parts = left_to_compare(stored(at, "cut-regions"))
+        if parts is not None:
+            clusters = merged(clusters, parted(parts, payload, between))
+    return clusters
+
 
+def confirmed_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, percent: int, kind: type[_Sets]) -> DataFrame:
+    """(node, component) by full sets of the nodes of each cluster; ``docs`` (id, text), ``nodes`` (node, n, f1, f2)."""
     members = clusters.join(nodes.select("node", "n", "f1", "f2"), "node").select("node", "f1", "f2", "n", F.col("component").alias("cluster"))
     members = stored(members, "clustered")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("c") / REGION), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    # every block also holds the pivots, so a cluster of few documents stays in one, whatever their length
+    blocks = F.greatest(F.least(F.greatest(F.ceil(F.col("c") / REGION), F.ceil(F.col("s") / BLOCK_SHINGLES)), F.floor(F.col("c") / max(2 * PIVOTS, 1))), F.lit(1)).cast("long")
     sizes = stored(sizes.select("cluster", "c", blocks.alias("blocks")), "cluster-sizes")
     members = members.join(sizes, "cluster")
     named = docs.withColumnRenamed("id", "node")
-    grouped = named.join(_dealt(members, "blocks", "c", "node").select("cluster", "blocks", "block", "node", "f1", "f2").hint("shuffle_hash"), "node")
+    grouped = named.join(dealt(members, "blocks", "c", "node").select("cluster", "blocks", "block", "node", "f1", "f2").hint("shuffle_hash"), "node")
     grouped = grouped.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    links = stored(grouped.mapInPandas(_confirmed(k, percent), "node long, to long, blocks long"), "links")
+    links = stored(grouped.mapInPandas(_confirmed(k, percent, kind), "node long, to long, blocks long"), "links")
 
     split = links.where("blocks > 1")
     labels = links.where("blocks = 1").select("node", F.col("to").alias("component"))
     if not split.isEmpty():
         joined = connected(split.select(F.col("node").alias("a"), F.col("to").alias("b")))
         at = members.where("blocks > 1").join(joined, "node", "left")
-        at = stored(at.select(F.col("cluster").alias("group"), "node", F.coalesce("component", "node").alias("component")).distinct(), "cut-clusters")
-        dealt = _left_to_compare(at)
-        if dealt is not None:
+        at = stored(at.select(F.col("cluster").alias("group"), "node", F.coalesce("component", "node").alias("component"), "n").distinct(), "cut-clusters")
+        parts = left_to_compare(at)
+        if parts is not None:
             texts = named.join(members.where("blocks > 1").select("node", "f1", "f2").hint("shuffle_hash"), "node")
-            joined = _merged(at.select("node", "component").distinct(), _parted(dealt, texts, _confirmed_between(k, percent)))
+            joined = merged(at.select("node", "component").distinct(), parted(parts, texts, _confirmed_between(k, percent, kind)))
         labels = labels.union(joined)
-    labels = labels.where("node != component")
+    return labels.where("node != component")
+
+
+def nodes_of(signed: DataFrame, *payload: str) -> DataFrame:
+    """Stored (node, n, f1, f2, copies, payload): a row per distinct set, named by its smallest id."""
+    alike = signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2")
+    return stored(alike.agg(F.min("id").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in payload)), "nodes")
+
+
+def labelled(signed: DataFrame, nodes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Per row of ``signed``: ``key``, n_shingles, component_id, kept, copies."""
     known = nodes.join(labels, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("moved"))
     known = stored(known.where("copies > 1 or moved").drop("moved"), "known")
     out = signed.select("id", "n", "f1", "f2").join(known.hint("shuffle_hash"), ["f1", "f2"], "left")
@@ -331,7 +347,23 @@ def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, text: str = "t
     )
 
 
+def documents_of(df: DataFrame, text: str, key: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+
+
+def near_duplicates(df: DataFrame, k: int = 4, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: ``key``, n_shingles, component_id, kept (and copies: rows with an equal set)."""
+    docs = documents_of(df, text, key)
+    signed = stored(docs.mapInPandas(_signed(k), "id long, n long, f1 long, f2 long, sig binary"), "signed")
+    nodes = nodes_of(signed, "sig")
+    members, large = _regions(nodes)
+    large = large.withColumn("n", F.lit(0).cast("long")) if large is not None else None
+    clusters = linked_in_regions(members, large, nodes.select("node", "sig"), _tentative, _between)
+    return labelled(signed, nodes, confirmed_components(docs, nodes, clusters, k, percent, _Sets), key)
+
+
 def keep_one(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` whose document represents its group."""
-    gone = near_duplicates(df, k, percent, text, key).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    return df.join(gone.hint("shuffle_hash"), df[key] == F.col("__gone"), "left_anti")
+    (name,) = unused(df, "gone")
+    gone = near_duplicates(df, k, percent, text, key).where(~F.col("kept")).select(F.col(key).alias(name)).distinct()
+    return df.join(gone.hint("shuffle_hash"), F.col(f"`{key}`") == F.col(name), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_classifier, conversation_repair, decontaminate, filter_audit, line_dedup, minhash, pii, quality_rules, secrets, sentencepiece_sampling, token_store, warc
+from . import compression_classifier, conversation_repair, decontaminate, filter_audit, line_dedup, minhash, ngram_join, pii, quality_rules, secrets, sentencepiece_sampling, token_store, warc
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(table(spark, sf_dir, "conversations"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
