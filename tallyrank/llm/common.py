@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,3 +117,25 @@ def spans_between(text: Column, pattern: str) -> Column:
         return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(let(F.split(text, pattern), with_gaps))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, starts, sizes) of sorted input, cut between batches at the ends of runs of equal keys only."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None or held.empty else pd.concat([held, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(rows) - int(last.sum())
+        held = rows.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield _runs(rows.iloc[:cut].reset_index(drop=True), keys)
+    if held is not None and not held.empty:
+        yield _runs(held, keys)
+
+
+def _runs(rows: pd.DataFrame, keys: list[str]):
+    changed = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+    starts = np.flatnonzero(changed)
+    return rows, starts, np.diff(np.concatenate([starts, [len(rows)]]))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import numbered
-from .common import WORD_CHAR, stored
+from .common import WORD_CHAR, stored, whole_runs
 
 SEGMENT = 1024
 FAN = 256
@@ -116,28 +116,6 @@ def solve(starts: np.ndarray, sizes: np.ndarray, moves, entries: np.ndarray):
     return cost, rank, parents
 
 
-def _whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """(rows, starts, sizes) of sorted input, cut between batches at the ends of runs of equal keys only."""
-    held = None
-    for batch in batches:
-        rows = batch if held is None or held.empty else pd.concat([held, batch], ignore_index=True)
-        if rows.empty:
-            continue
-        last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
-        cut = len(rows) - int(last.sum())
-        held = rows.iloc[cut:].reset_index(drop=True)
-        if cut:
-            yield _runs(rows.iloc[:cut].reset_index(drop=True), keys)
-    if held is not None and not held.empty:
-        yield _runs(held, keys)
-
-
-def _runs(rows: pd.DataFrame, keys: list[str]):
-    changed = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
-    starts = np.flatnonzero(changed)
-    return rows, starts, np.diff(np.concatenate([starts, [len(rows)]]))
-
-
 def _turn_moves(rows: pd.DataFrame):
     kind = rows["kind"].to_numpy()
     return lambda at: (EDIT_COST[kind[at]], EDIT_CODE[kind[at]])
@@ -152,7 +130,7 @@ def _solved(keys: list[str], moves, extra):
     """Costs and ranks per entry and exit of each run of rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts, sizes in _whole_runs(batches, keys):
+        for rows, starts, sizes in whole_runs(batches, keys):
             by = np.argsort(-sizes, kind="stable")
             cost, rank, _ = solve(starts[by], sizes[by], moves(rows), np.tile(np.arange(4), (len(by), 1)))
             out = rows.iloc[starts[by]][keys].reset_index(drop=True)
@@ -166,7 +144,7 @@ def _traced(keys: list[str], moves, result):
     """Each row's state before and after, given each run's (columns entry and exit)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts, sizes in _whole_runs(batches, keys):
+        for rows, starts, sizes in whole_runs(batches, keys):
             by = np.argsort(-sizes, kind="stable")
             starts, sizes = starts[by], sizes[by]
             of = moves(rows)

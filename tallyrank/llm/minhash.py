@@ -243,10 +243,10 @@ def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
 
-def left_to_compare(at: DataFrame) -> DataFrame | None:
-    """(group, node, component, side, i, j): the nodes of each group outside its largest component (side 0) beside all of it (side 1).
+def left_to_compare(at: DataFrame, *more: str) -> DataFrame | None:
+    """(group, node, component, side, i, j, more): the nodes of each group outside its largest component (side 0) beside all of it (side 1).
 
-    ``at`` has (group, node, component, n). In parts (i, j) of about ``REGION`` nodes or
+    ``at`` has (group, node, component, n) and the columns ``more``. In parts (i, j) of about ``REGION`` nodes or
     ``BLOCK_SHINGLES`` shingles (n) a side. None where no group has such nodes.
     """
     counts = at.groupBy("group", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
@@ -260,8 +260,8 @@ def left_to_compare(at: DataFrame) -> DataFrame | None:
     at = at.join(most.hint("shuffle_hash"), "group")
     number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = at.where("component != main").select("group", "node", "component", F.lit(0).alias("side"), number("ni").alias("i"), every("nj").alias("j"))
-    whole = at.select("group", "node", "component", F.lit(1).alias("side"), every("ni").alias("i"), number("nj").alias("j"))
+    rest = at.where("component != main").select("group", "node", "component", F.lit(0).alias("side"), number("ni").alias("i"), every("nj").alias("j"), *more)
+    whole = at.select("group", "node", "component", F.lit(1).alias("side"), every("ni").alias("i"), number("nj").alias("j"), *more)
     return rest.union(whole)
 
 
@@ -279,19 +279,19 @@ def parted(dealt: DataFrame, rows: DataFrame, run) -> DataFrame:
     return stored(parts.mapInPandas(run, "a long, b long"), "links-between")
 
 
-def linked_in_regions(members: DataFrame, large: DataFrame | None, payload: DataFrame, within, between) -> DataFrame:
+def linked_in_regions(members: DataFrame, large: DataFrame | None, payload: DataFrame, within, between, *more: str) -> DataFrame:
     """(node, component) of tentative links: ``within`` finds those of the blocks of each region, ``between`` those that cuts left uncompared.
 
-    ``members`` has (node, region, size), ``large`` (node, region, n) of the regions that are cut, ``payload`` what the
-    comparison needs per node.
+    ``members`` has (node, region, size), ``large`` (node, region, n) of the regions that are cut, both also the columns
+    ``more``; ``payload`` is what the comparison needs per node.
     """
     blocks = F.ceil(F.col("size") / REGION)
     regions = dealt(stored(members, "members").withColumn("blocks", blocks), "blocks", "size", "node").drop("size", "blocks")
     beside = regions.join(payload, "node").repartition("region", "block").sortWithinPartitions("region", "block")
     clusters = connected(beside.mapInPandas(within, "a long, b long"))
     if large is not None:
-        at = large.join(clusters, "node", "left").select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"), "n")
-        parts = left_to_compare(stored(at, "cut-regions"))
+        at = large.join(clusters, "node", "left").select(F.col("region").alias("group"), "node", F.coalesce("component", "node").alias("component"), "n", *more)
+        parts = left_to_compare(stored(at, "cut-regions"), *more)
         if parts is not None:
             clusters = merged(clusters, parted(parts, payload, between))
     return clusters

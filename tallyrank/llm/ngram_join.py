@@ -4,13 +4,15 @@
    whatever the input), rare ones first. Any order gives the same links; this one keeps passages
    that many documents share out of the index.
 2. Two sets of the similarity share a shingle among the first ``n - ceil(t n) + 1`` of each. These
-   prefixes form the index: per shingle a list of sets with sizes and positions. Lists of one set
-   go, and of lists of the same sets one stays.
+   prefixes form the index: per shingle a list of sets with sizes and positions. Of lists of the same
+   sets the first in the order stays. A pair need only be found in the list of its first common
+   shingle, after which no more than what follows in either set can be shared; so an entry
+   bounds the sizes of its partners, and entries without any in their list go, with lists of one.
 3. Lists are compared by *blocks*: sorted by size and position, and a block is skipped where
    the sizes, or the positions of the shared shingle, leave no room for the overlap. In blocks that
-   stay, counts of shingles by hash class bound the overlap. All three bounds lose no link; what
+   stay, counts of shingles by hash class bound the overlap. All these bounds lose no link; what
    passes is a tentative link, found by search over sets not yet reached, so a list of copies
-   gives a row per set. Lists over ``minhash.REGION`` sets are dealt out in blocks with pivots, and
+   gives a row per set; lists of up to ``FEW`` sets are compared many at a time. Lists over ``minhash.REGION`` sets are dealt out in blocks with pivots, and
    what those leave uncompared is compared then.
 4. Components of tentative links are clusters, to which each set goes once, whole. There an
    inverted index gives a set's *answers*, its overlaps with all others. The answers of a set that is
@@ -31,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import stored
+from .common import stored, whole_runs
 from .shingles import chunks, fingerprints, shingle_sets
 
 #: Counters of the sketch that orders shingles, a power of two.
 BUCKETS = 1 << 18
 #: Entries of a list that are skipped together.
 BLOCK = 32
+#: Lists of up to so many sets are compared together.
+FEW = 8
 #: Sets whose answers others may be derived from.
 ANSWERS = 16
 #: Sets over so many shingles have 256 counts by hash class instead of 64.
@@ -117,6 +121,16 @@ class Classes:
     def apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
         return np.abs((others - one).astype(np.int16)).sum(axis=1)
 
+    def pairs(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which pairs of sets a, b may have an overlap of ``need``."""
+        room = self.sizes[a] + self.sizes[b] - 2 * need
+        out = self.apart(self.coarse[a], self.coarse[b]) <= room
+        big = np.flatnonzero(out & (self.sizes[a] > MANY) & (self.sizes[b] > MANY))
+        for i in range(0, len(big), 4096):
+            k = big[i : i + 4096]
+            out[k] = self.apart(self.fine[self.large[a[k]]], self.fine[self.large[b[k]]]) <= room[k]
+        return out
+
     def near(self, i: int, rest: np.ndarray, percent: int) -> np.ndarray:
         """Which of the sets ``rest`` may have the similarity with set i."""
         sizes, out = self.sizes, np.zeros(len(rest), bool)
@@ -147,29 +161,51 @@ class Lists:
     def near(self, i: int, rest: np.ndarray) -> np.ndarray:
         """Which of the entries ``rest`` may have the similarity with entry i."""
         n, pos = self.n[i], self.pos[i]
-        # sets share at most what stands ahead of the common shingle in both, and it and what follows
-        room = np.minimum(pos, self.most_pos) + np.minimum(n - pos, self.most_n - self.least_pos)
+        # sets share at most their first common shingle and what follows in both
+        room = np.minimum(n - pos, self.most_n - self.least_pos)
         open_ = (room >= required(self.least_n, n, self.percent)) & (required(self.most_n, n, self.percent) <= self.most_n) & (required(self.least_n, n, self.percent) <= n)
         out = np.zeros(len(rest), bool)
         at = np.flatnonzero(open_[rest // BLOCK])
         if len(at):
             them = rest[at]
-            room = np.minimum(pos, self.pos[them]) + np.minimum(n - pos, self.n[them] - self.pos[them])
-            at = at[room >= required(self.n[them], n, self.percent)]
+            at = at[np.minimum(n - pos, self.n[them] - self.pos[them]) >= required(self.n[them], n, self.percent)]
             out[at] = self.by_class.near(i, rest[at], self.percent)
         return out
 
 
+def few_linked(g: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (a, b) that may have the similarity, of lists of up to ``FEW`` entries, all lists of a size at once."""
+    n, pos = g["n"].to_numpy(), g["pos"].to_numpy()
+    found = [np.zeros((2, 0), np.int64)]
+    for size in range(2, FEW + 1):
+        at = starts[sizes == size]
+        for i in range(size):
+            found += [np.stack([at + i, at + j]) for j in range(i + 1, size)]
+    a, b = np.concatenate(found, axis=1)
+    need = required(n[a], n[b], percent)
+    open_ = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
+    a, b, need = a[open_], b[open_], need[open_]
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    by_class = Classes(n[used], g["classes"].iloc[used].tolist())
+    x, y = place[: len(a)], place[len(a) :]
+    keep = np.concatenate([by_class.pairs(x[i : i + 65536], y[i : i + 65536], need[i : i + 65536]) for i in range(0, max(len(a), 1), 65536)])
+    return a[keep], b[keep]
+
+
 def _listed(percent: int):
     """Spanning tentative links of this partition's lists, as (node, smallest node linked here)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         union = minhash.Union()
-        for g in minhash.groups(batches, ["region", "block"]):
-            entries = Lists(g, percent)
-            root = minhash.spanning(len(g), entries.near)
-            for i in np.flatnonzero(root != np.arange(len(g))):
-                union.link(int(entries.nodes[i]), int(entries.nodes[root[i]]))
+        for g, starts, sizes in whole_runs(batches, ["region", "block"]):
+            nodes = g["node"].to_numpy()
+            for x, y in zip(*few_linked(g, starts, sizes, percent), strict=True):
+                union.link(int(nodes[x]), int(nodes[y]))
+            for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+                entries = Lists(g.iloc[start : start + size], percent)
+                root = minhash.spanning(size, entries.near)
+                for i in np.flatnonzero(root != np.arange(size)):
+                    union.link(int(entries.nodes[i]), int(entries.nodes[root[i]]))
         yield pd.DataFrame([(x, union.find(x)) for x in list(union.up)], columns=["a", "b"]).astype("int64")
 
     return run
@@ -179,15 +215,18 @@ def _between(percent: int):
     """Tentative links (a, b) between components: each set of ``side`` 0 against all of ``side`` 1 of its part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = set()
+        union = minhash.Union()
         for g in minhash.groups(batches, ["group", "i", "j"]):
-            by_class = Classes(g["n"].to_numpy(), g["classes"].tolist())
+            n, left = g["n"].to_numpy(), (g["n"] - g["pos"]).to_numpy()
+            by_class = Classes(n, g["classes"].tolist())
             label, side = g["component"].to_numpy(), g["side"].to_numpy()
             other = np.flatnonzero(side == 1)
             for x in np.flatnonzero(side == 0).tolist():
                 rest = other[label[other] != label[x]]
-                found.update((int(label[x]), y) for y in np.unique(label[rest[by_class.near(x, rest, percent)]]).tolist())
-        yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+                rest = rest[np.minimum(left[x], left[rest]) >= required(n[x], n[rest], percent)]
+                for y in np.unique(label[rest[by_class.near(x, rest, percent)]]).tolist():
+                    union.link(int(label[x]), y)
+        yield pd.DataFrame([(x, union.find(x)) for x in list(union.up)], columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -247,13 +286,21 @@ def similar(df: DataFrame, k: int = 3, percent: int = 90, text: str = "text", ke
     counts = df.sparkSession.sparkContext.broadcast(sketch(docs, k))
     signed = stored(docs.mapInPandas(_indexed(k, percent, counts), "id long, n long, f1 long, f2 long, prefix array<long>, classes binary"), "indexed")
     nodes = minhash.nodes_of(signed, "prefix", "classes")
-    index = nodes.select("node", F.col("n"), F.posexplode("prefix").alias("pos", "region"))
-    lists = index.groupBy("region").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).where("size > 1")
-    lists = stored(lists.groupBy("size", "h1", "h2").agg(F.min("region").alias("region")).select("region", "size"), "index-lists")
-    members = stored(index.join(lists.hint("shuffle_hash"), "region").select("node", "pos", "region", "size"), "index")
+    index = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "region"))
+    # the least and the greatest size of a set that shares enough with an entry if their first common shingle is here
+    least, most = -F.floor(-F.col("n") * percent / 100), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+    index = index.withColumn("least", least).withColumn("most", most)
+    same = [F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
+    lists = index.groupBy("region").agg(F.count("*").alias("size"), *same, F.sum("pos").alias("place"), F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max("most").alias("reach"))
+    lists = lists.where("size > 1 and n_least <= reach")
+    # of lists of the same sets the first common shingle's has the least positions
+    lists = lists.groupBy("size", "h1", "h2").agg(F.min_by(F.struct("region", "n_least", "n_most", "reach"), "place").alias("z")).select("z.*", "size")
+    lists = stored(lists, "index-lists")
+    members = index.join(lists.hint("shuffle_hash"), "region").where("most >= n_least and least <= n_most and n <= reach")
+    members = stored(members.select("node", "pos", "region", "size"), "index")
     large = members.where(F.col("size") > minhash.REGION)
-    large = None if large.isEmpty() else large.select("node", "region", F.lit(0).cast("long").alias("n"))
-    clusters = minhash.linked_in_regions(members, large, nodes.select("node", "n", "classes"), _listed(percent), _between(percent))
+    large = None if large.isEmpty() else large.select("node", "region", "pos", F.lit(0).cast("long").alias("n"))
+    clusters = minhash.linked_in_regions(members, large, nodes.select("node", "n", "classes"), _listed(percent), _between(percent), "pos")
     return minhash.labelled(signed, nodes, minhash.confirmed_components(docs, nodes, clusters, k, percent, Answers), key)
 
 

@@ -56,6 +56,11 @@ def sets_of(rng, n, size, most):
     return out
 
 
+def entries_near(entries, x, y):
+    i, j = (int(np.flatnonzero(entries.nodes == z)[0]) for z in (x, y))
+    return bool(entries.near(i, np.array([j]))[0])
+
+
 @pytest.mark.parametrize("size,most", [(8, 3), (60, 12), (1500, 200), (3000, 400)])
 def test_bounds_lose_no_link_and_answers_are_exact(size, most):
     rng = np.random.default_rng(size)
@@ -76,6 +81,11 @@ def test_bounds_lose_no_link_and_answers_are_exact(size, most):
         for i in range(len(rows)):
             hit = entries.near(i, np.arange(len(rows)))
             found[entries.nodes[i], entries.nodes[hit]] = True
+        frame = pd.DataFrame(rows, columns=["node", "n", "pos", "classes"]).head(ngram_join.FEW)
+        a, b = ngram_join.few_linked(frame, np.array([0]), np.array([len(frame)]), percent)
+        pairs = set(zip(frame["node"].to_numpy()[a].tolist(), frame["node"].to_numpy()[b].tolist(), strict=True))
+        mine = set(frame["node"].tolist())
+        assert pairs == {(x, y) for x in mine for y in mine if x < y and entries_near(entries, x, y)}
     assert (found >= linked).all() and linked.sum() > len(sets)
     index = ngram_join.Answers.__new__(ngram_join.Answers)
     index.fill(sets, percent)
