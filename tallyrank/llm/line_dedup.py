@@ -70,8 +70,8 @@ def digest_of(data: Column) -> Column:
 
 
 def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, row, text, whole): the columns that the work needs and, in one struct, the row as it is."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole")
+    """(id, row, text, whole): the columns that the work needs and, in one struct, the row's other columns as they are."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("whole")
     return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"), whole)
 
 
