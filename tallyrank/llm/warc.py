@@ -8,6 +8,9 @@ zero byte (the top of its length), which is the writer's line separator here, an
 gets an empty member after it. Archives are read back whole, a bounded file at a time (2 GB at
 most), and parsed by Content-Length. ``transactions`` joins the three kinds through their
 concurrent-to identifiers, whichever side names the other, into one nested row per capture.
+``read_transactions`` does the same while it reads: the records of a capture mostly lie in one file, so
+each reader joins those that do, payloads in place, and only records without their partners in the file
+are joined across files.
 
 Payloads of ``min_bytes`` or more that are equal (SHA-1 and length) are stored once, with the
 largest page_id; the others become revisit records of the HTTP head alone, which carry the digest
@@ -32,7 +35,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,50 +184,103 @@ class _Inflate(io.RawIOBase):
                 return 0
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    whole = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
-    rows, held = [], 0
+def _whole(x):
+    return int(x) if x and x.lstrip("-").isdigit() else None
+
+
+def _records(content: bytes) -> Iterator[tuple]:
+    """The fields of ``RECORD`` of each record of an archive."""
+    packed = content[:2] == b"\x1f\x8b"
+    stream = io.BufferedReader(_Inflate(content), 1 << 20) if packed else io.BytesIO(content)
+    for h, block in parse(stream):
+        kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        size = intact = page = refers = None
+        if kind in ("response", "revisit") and h.get("content-type", "").startswith("application/http"):
+            head, _, block = block.partition(b"\r\n\r\n")
+            encoded = b"\r\ntransfer-encoding:" in head.lower()
+        else:
+            encoded = False
+        if kind == "response":
+            size, own = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
+            intact = None if encoded else digest in (None, own)
+            digest = digest or own
+        elif kind == "metadata":
+            fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").splitlines())}
+            size, page, refers = (_whole(fields.get(k)) for k in ("payload-bytes", "page-id", "refers-to-page"))
+        beside = [x for x in h.get("warc-concurrent-to", "").split("\n") if x]
+        yield kind, h.get("warc-record-id"), beside, h.get("warc-target-uri"), h.get("warc-refers-to"), page, refers, digest, size, intact, block
+
+
+def _in_batches(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (bytes, row), of about ``_BATCH`` bytes."""
+    out, held = [], 0
+    for size, row in rows:
+        out.append(row)
+        held += size + 400
+        if held > _BATCH:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
 
-    def frame():
-        out = pd.DataFrame(rows, columns=names)
-        for c in ("page_id", "refers_to", "payload_bytes"):
-            out[c] = out[c].astype("Int64")
-        return out
 
-    for batch in batches:
-        for content in batch["content"]:
-            packed = content[:2] == b"\x1f\x8b"
-            stream = io.BufferedReader(_Inflate(content), 1 << 20) if packed else io.BytesIO(content)
-            for h, block in parse(stream):
-                kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                size = intact = page = refers = None
-                if kind in ("response", "revisit") and h.get("content-type", "").startswith("application/http"):
-                    head, _, block = block.partition(b"\r\n\r\n")
-                    encoded = b"\r\ntransfer-encoding:" in head.lower()
-                else:
-                    encoded = False
-                if kind == "response":
-                    size, own = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
-                    intact = None if encoded else digest in (None, own)
-                    digest = digest or own
-                elif kind == "metadata":
-                    fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").splitlines())}
-                    size, page, refers = (whole(fields.get(k)) for k in ("payload-bytes", "page-id", "refers-to-page"))
-                beside = [x for x in h.get("warc-concurrent-to", "").split("\n") if x]
-                rows.append((kind, h.get("warc-record-id"), beside, h.get("warc-target-uri"), h.get("warc-refers-to"), page, refers, digest, size, intact, block))
-                held += len(block) + 400
-                if held > _BATCH:
-                    yield frame()
-                    rows, held = [], 0
-    if rows:
-        yield frame()
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(name, _TYPES[kind]) for name, kind in (x.split() for x in RECORD.split(", "))])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((len(r[-1]), dict(zip(_NAMES, r, strict=True))) for batch in batches for x in batch.column("content") for r in _records(x.as_py()))
+    yield from _in_batches(rows, _SCHEMA)
+
+
+#: Fields of the nested records, by their names in RECORD.
+PARTS = {
+    "request": {"record_id": "record_id", "uri": "uri", "block": "block"},
+    "response": {"record_id": "record_id", "record_type": "kind", "uri": "uri", "payload_digest": "payload_digest", "payload_bytes": "payload_bytes", "refers_to_record": "refers_to_record", "intact": "intact", "payload": "block"},
+    "metadata": {"record_id": "record_id", "page_id": "page_id", "payload_bytes": "payload_bytes", "refers_to": "refers_to"},
+}
+_KINDS = dict(x.split() for x in RECORD.split(", "))
+TRANSACTION = "page_id long, " + ", ".join(f"{part} struct<{', '.join(f'{to}: {_KINDS[of]}' for to, of in fields.items())}>" for part, fields in PARTS.items())
+_NESTED = [pa.field("page_id", pa.int64()), *(pa.field(part, pa.struct([(to, _TYPES[_KINDS[of]]) for to, of in fields.items()])) for part, fields in PARTS.items())]
+
+
+def _taken(part: str, record: tuple) -> dict:
+    r = dict(zip(_NAMES, record, strict=True))
+    return {to: r[of] for to, of in PARTS[part].items()}
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(capture, record): the captures whose three records lie in one file, nested; all other records as they are."""
+    kind, at, beside, block = (_NAMES.index(c) for c in ("kind", "record_id", "concurrent_to", "block"))
+
+    def rows():
+        for batch in batches:
+            for content in batch.column("content"):
+                records = list(_records(content.as_py()))
+                place, linked = {r[at]: i for i, r in enumerate(records)}, {}
+                for i, r in enumerate(records):
+                    for j in (place[x] for x in r[beside] if x in place):
+                        linked.setdefault(i, set()).add(j)
+                        linked.setdefault(j, set()).add(i)
+                used = set()
+                for i, r in enumerate(records):
+                    if r[kind] in ("response", "revisit"):
+                        of = {k: [j for j in linked.get(i, ()) if records[j][kind] == k] for k in ("request", "metadata")}
+                        if all(of.values()) and all(len(linked[j]) == 1 for js in of.values() for j in js):
+                            used |= {i, *of["request"], *of["metadata"]}
+                            request, metadata = (records[min(of[k], key=lambda j: records[j][at])] for k in ("request", "metadata"))  # noqa: B023
+                            capture = {"request": _taken("request", request), "response": _taken("response", r), "metadata": _taken("metadata", metadata)}
+                            yield len(r[block]), {"capture": capture | {"page_id": capture["metadata"]["page_id"]}, "record": None}
+                yield from ((len(r[block]), {"capture": None, "record": dict(zip(_NAMES, r, strict=True))}) for i, r in enumerate(records) if i not in used)
+
+    yield from _in_batches(rows(), pa.schema([("capture", pa.struct(_NESTED)), ("record", pa.struct(list(_SCHEMA)))]))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives in ``path``."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(_parsed, RECORD)
+    return files.mapInArrow(_parsed, RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -254,13 +309,20 @@ def transactions(records: DataFrame) -> DataFrame:
     return capture.join(request, "id", "left").join(metadata, "id", "left").select("metadata.page_id", "request", "response", "metadata")
 
 
+def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """``transactions`` of the archives in ``path``, joined while reading where a capture's records lie in one file."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    both = files.mapInArrow(_assembled, f"capture struct<{TRANSACTION}>, record struct<{RECORD}>")
+    left = stored(both.where("record is not null and record.kind in ('request', 'response', 'revisit', 'metadata')").select("record.*"), "warc-records")
+    whole = both.where("capture is not null").select("capture.*")
+    return whole if left.isEmpty() else whole.unionByName(transactions(left))
+
+
 def report(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path)
-    records = read_archives(spark, path).withColumn("block", F.lit(None).cast("binary"))  # the digests are taken; no column here needs the bytes again
-    captures = transactions(stored(records, "warc-records"))
-    return captures.select(
+    return read_transactions(spark, path).select(
         "page_id",
         F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),

@@ -164,3 +164,19 @@ def test_records_over_16_mb(spark):
 
 def test_empty(spark):
     assert warc.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_captures_are_joined_within_files_and_across(spark, tmp_path):
+    """The reader's join and the join of all records give the same, payloads among it, also where a capture's records lie in two files."""
+    _, df = pages(spark)
+    path = scratch(spark, "warc-test")
+    warc.write_archives(df, path)
+    record = lambda kind, at, more, block: warc._record(kind, at, more, block)
+    http = [("Content-Type", "application/http; msgtype=response")]
+    (tmp_path / "a.warc").write_bytes(record("response", "<r>", http, b"HTTP/1.1 200 OK\r\n\r\nbody") + record("request", "<q>", [("WARC-Concurrent-To", "<r>")], b"GET /"))
+    (tmp_path / "b.warc").write_bytes(record("metadata", "<m>", [("WARC-Concurrent-To", "<r>")], b"page-id: 77\r\npayload-bytes: 4\r\n") + record("response", "<alone>", http, b"HTTP/1.1 200 OK\r\n\r\n"))
+    for place in (path, str(tmp_path)):
+        plain = lambda rows: sorted((str(r.page_id), str(r.request), str(r.response), str(r.metadata)) for r in rows)
+        got, want = warc.read_transactions(spark, place), warc.transactions(warc.read_archives(spark, place))
+        assert plain(got.collect()) == plain(want.select(*got.columns).collect()) and got.count() > 0
+    assert {r.response.record_id: bytes(r.response.payload) for r in warc.read_transactions(spark, str(tmp_path)).collect()} == {"<r>": b"body", "<alone>": b""}
