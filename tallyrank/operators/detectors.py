@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import ratio
 from ..functions.scratch import stored
+from . import near
 
 
 def long_form(df: DataFrame, vector: str = "v", dims: int | None = None) -> DataFrame:
@@ -144,39 +145,14 @@ def outside_rules(df: DataFrame) -> DataFrame:
     )
 
 
-#: Rows of either side in a pair of blocks whose distances one task takes.
-NEAR_BLOCK = 2048
-
-
 def nearest(df: DataFrame, k: int, train: DataFrame | None = None) -> DataFrame:
     """(id, other, distance, rank) of the k nearest training rows, the row itself left out, ties by id.
 
-    ``df`` has id and vector ``v``. Both sides are dealt into blocks and each pair of blocks is a
-    group of its own; the k nearest of each pair meet in one aggregation. Exact, so the distances
-    taken are all of them, but no task, broadcast or driver holds more than two blocks.
+    ``df`` has id and vector ``v``; see ``near`` for the index that spares most distances.
     """
     train = df.where("train") if train is None else train
-    blocks = lambda t: max(1, -(-t.count() // NEAR_BLOCK))
-    nq, nt = blocks(df), blocks(train)
-    deal = lambda t, own, n, other, m: t.select(
-        F.col("id").alias("id"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
-    )
-    left, right = deal(df, "q", nq, "t", nt), deal(train, "t", nt, "q", nq)
-
-    def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        ids = other["id"].to_numpy()
-        m, q, out = np.array(other["v"].tolist(), float).reshape(len(other), -1), np.array(own["v"].tolist(), float).reshape(len(own), -1), []
-        for x, v in zip(own["id"].to_numpy() if len(other) else (), q, strict=False):
-            d = np.where(ids == x, np.inf, np.sqrt(((m - v) ** 2).sum(axis=1)))
-            cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-            near = np.flatnonzero((d <= cut) & np.isfinite(d))
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            out.append(pd.DataFrame({"id": x, "other": ids[near], "distance": d[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "distance": []}).astype({"id": "int64", "other": "int64", "distance": "float64"})
-
-    found = left.groupBy("q", "t").cogroup(right.groupBy("q", "t")).applyInPandas(run, "id long, other long, distance double")
-    order = Window.partitionBy("id").orderBy("distance", "other")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    own = lambda t: t.select(F.lit(0).alias("task"), F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    return near.nearest(own(df), own(train), k).drop("task")
 
 
 def knn(df: DataFrame, k: int = 5) -> DataFrame:
@@ -190,11 +166,11 @@ def knn_mean(df: DataFrame, k: int = 10) -> DataFrame:
 
 def lof(df: DataFrame, k: int = 10) -> DataFrame:
     """Local outlier factor: mean density of the neighbours over the row's own."""
-    near = nearest(df, k)
-    reach = near.where(F.col("rank") == k).select(F.col("id").alias("other"), F.col("distance").alias("kd"))
-    dens = near.join(reach, "other").groupBy("id").agg((1 / (F.avg(F.greatest("distance", "kd")) + 1e-10)).alias("lrd"))
+    found = nearest(df, k)
+    reach = found.where(F.col("rank") == k).select(F.col("id").alias("other"), F.col("distance").alias("kd"))
+    dens = found.join(reach, "other").groupBy("id").agg((1 / (F.avg(F.greatest("distance", "kd")) + 1e-10)).alias("lrd"))
     other = dens.select(F.col("id").alias("other"), F.col("lrd").alias("lrd_other"))
-    return near.join(other, "other").join(dens, "id").groupBy("id").agg(F.avg(F.col("lrd_other") / F.col("lrd")).alias("score"))
+    return found.join(other, "other").join(dens, "id").groupBy("id").agg(F.avg(F.col("lrd_other") / F.col("lrd")).alias("score"))
 
 
 def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
