@@ -48,6 +48,8 @@ TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 REGION, PIVOTS = 128, 16
 #: Least share of equal signature values for a tentative link at a similarity of 0.8: five to six deviations below it.
 AGREE = 0.6
+#: Identifiers that are sent to all executors to leave other texts out before they are shuffled; with more, all texts are.
+SENT = 1 << 20
 #: Shingles of a cluster that one task compares with as many others.
 BLOCK_SHINGLES = 1_000_000
 
@@ -307,6 +309,8 @@ def confirmed_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame,
     sizes = stored(sizes.select("cluster", "c", blocks.alias("blocks")), "cluster-sizes")
     members = members.join(sizes, "cluster")
     named = docs.withColumnRenamed("id", "node")
+    if members.count() <= SENT:
+        named = named.join(F.broadcast(members.select("node").distinct()), "node", "left_semi")
     grouped = named.join(dealt(members, "blocks", "c", "node").select("cluster", "blocks", "block", "node", "f1", "f2").hint("shuffle_hash"), "node")
     grouped = grouped.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
     links = stored(grouped.mapInPandas(_confirmed(k, percent, kind), "node long, to long, blocks long"), "links")
