@@ -1,14 +1,15 @@
 """Ranking metrics over long tables of (group, score, 0/1 label).
 
-Scores are first reduced to counts per distinct score, so what a window sorts is at most one
-row per score and group, and partial aggregation runs before the shuffle.
+Scores are first reduced to counts per distinct score. What stands above a score is a running sum
+by ranges of scores (``order.running``), so continuous scores of one group spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import beside, running, unused
 from .ranks import avg_rank
 
 
@@ -20,15 +21,11 @@ def ratio(a: Column, b: Column) -> Column:
 def score_counts(df: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:
     """Per group and distinct score: n and p (positives), with totals and counts above."""
     per = df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*groups, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    above = Window.partitionBy(*groups).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    return per.select(
-        "*",
-        F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"),
-        F.coalesce(F.sum(F.col("n") - F.col("p")).over(above), F.lit(0)).alias("fp0"),
-        F.sum("p").over(whole).alias("pos"),
-        F.sum(F.col("n") - F.col("p")).over(whole).alias("neg"),
-    )
+    (down,) = unused(per, "down")
+    run = running(per.withColumn(down, -F.col(score)), groups, [down], {"tp0": F.col("p"), "fp0": F.col("n") - F.col("p")}).drop(down)
+    keys = unused(run, *(f"{g}_" for g in groups))
+    whole = run.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True))).agg(F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
+    return run.join(whole, beside(run, whole, list(zip(groups, keys, strict=True)))).drop(*keys)
 
 
 def roc_auc(df: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:

@@ -43,7 +43,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: s
     return placed.select(*(F.col(f"`{c}`") for c in df.columns), (F.col(number) - F.col(first)).alias(name))
 
 
-def _beside(df: DataFrame, table: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+def beside(df: DataFrame, table: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """Null-safe equality of columns of ``df`` with those of ``table``."""
     same = F.lit(True)
     for a, b in pairs:
@@ -71,7 +71,7 @@ def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, C
     table = table.select(*keys, *(F.coalesce(F.sum(t).over(ahead), F.lit(0)).alias(t) for t in totals))
     within = Window.partitionBy(*(F.col(f"`{c}`") for c in group), where).orderBy(*(F.col(f"`{c}`") for c in order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     out = df_at.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()))
-    out = out.join(table, _beside(out, table, list(zip([*group, where], keys, strict=True))))
+    out = out.join(table, beside(out, table, list(zip([*group, where], keys, strict=True))))
     return out.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(n) + F.col(t)).alias(n) for n, t in zip(sums, totals, strict=True)))
 
 
@@ -89,7 +89,7 @@ def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float],
     place = F.col("last") * F.col("w.share")
     low = F.floor(place)
     wants = wants.select(*(F.col(f"`{c}_`") for c in groups), F.col("w.i").alias("i"), (place - low).alias("rest"), F.explode(F.array_distinct(F.array(low, F.ceil(place)))).alias("want"), low.alias("low"))
-    found = placed.join(wants, (placed["at"] == wants["want"]) & _beside(placed, wants, [(c, f"{c}_") for c in groups]))
+    found = placed.join(wants, (placed["at"] == wants["want"]) & beside(placed, wants, [(c, f"{c}_") for c in groups]))
     share = F.when(F.col("want") == F.col("low"), 1 - F.col("rest")).otherwise(F.col("rest"))
     each = found.groupBy(*(F.col(f"`{c}`") for c in groups), "i").agg(F.sum(F.when(share > 0, share * F.col("v")).otherwise(0.0)).alias("v"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])

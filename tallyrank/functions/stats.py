@@ -23,6 +23,28 @@ def wilcoxon(df: DataFrame, groups: list[str], diff: str) -> DataFrame:
     return out.select(*groups, "n", "w_plus", "w_minus", F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(var)).alias("z"))
 
 
+#: Differences up to which the exact distribution of the rank sum is taken.
+EXACT = 25
+
+
+def wilcoxon_exact(df: DataFrame, groups: list[str], diff: str, most: int = EXACT) -> DataFrame:
+    """(groups, n, p_exact): two-sided p of the signed ranks of the non-zero differences, null for more than ``most``.
+
+    The chance of a rank sum over all choices of signs, by a programme over twice the ranks (whole
+    numbers even with ties): an array of counts of choices, to which each rank adds itself moved.
+    """
+    d = df.where((F.col(diff) != 0) & F.col(diff).isNotNull()).withColumn("__a", F.abs(diff))
+    sizes = F.count("*").over(Window.partitionBy(*groups))
+    r = d.withColumn("__n", sizes).where(F.col("__n") <= most).withColumn("__r", (2 * avg_rank("__a", *groups, descending=False)).cast("int"))
+    own = r.groupBy(*groups).agg(F.collect_list("__r").alias("r"), F.sum(F.when(F.col(diff) > 0, F.col("__r")).otherwise(0)).alias("w"))  # ``most`` ranks
+    total = F.aggregate("r", F.lit(0), lambda a, x: a + x)
+    none = F.transform(F.sequence(F.lit(0), total), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate("r", none, lambda a, x: F.transform(a, lambda n, i: n + F.when(i >= x, F.get(a, i - x)).otherwise(0.0)))
+    tail = F.aggregate(F.slice(F.col("ways"), 1, F.least(F.col("w"), F.col("total") - F.col("w")) + 1), F.lit(0.0), lambda a, x: a + x)
+    p = own.select(*groups, "r", F.col("w").cast("int").alias("w"), total.alias("total"), ways.alias("ways")).select(*groups, F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.size("r"))).alias("p_exact"))
+    return d.groupBy(*groups).agg(F.count("*").alias("n")).join(p, groups, "left")
+
+
 def holm(df: DataFrame, p: str, monotone: bool = True, key: str | None = None) -> DataFrame:
     """Adds ``p_holm`` to a table of tests; ``monotone`` takes the running maximum, as the procedure does."""
     w = Window.orderBy(p, *([key] if key else []))  # a row per test

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.metrics import ratio
+from ..functions.order import quantiles
 from ..functions.ranks import row_order
 from ..functions.scratch import stored
 from . import detectors as det
+from . import near
 
 
 def drop_conflicts(df: DataFrame, features: list[str], key: str, label: str) -> DataFrame:
@@ -44,8 +46,7 @@ def same_across(df: DataFrame, name: str, fp: str) -> DataFrame:
 
 def double_hard(df: DataFrame, groups: list[str], score: str, label: str, percentiles: list[float]) -> DataFrame:
     """(groups, percentile, n_hard): anomalies whose score stays within that percentile of the normals."""
-    at = F.array(*(F.lit(p / 100) for p in percentiles))
-    cut = df.where(F.col(label) == 0).groupBy(*groups).agg(F.percentile(score, at).alias("q"))
+    cut = quantiles(df.where(F.col(label) == 0), groups, score, [p / 100 for p in percentiles])
     cut = cut.select(*groups, F.explode(F.arrays_zip(F.array(*map(F.lit, percentiles)).alias("percentile"), F.col("q").alias("cut"))).alias("z")).select(*groups, "z.percentile", "z.cut")
     return df.where(F.col(label) == 1).join(cut, groups).groupBy(*groups, "percentile").agg(F.count_if(F.col(score) <= F.col("cut")).alias("n_hard"))
 
@@ -56,7 +57,7 @@ def two_stage(a: DataFrame, b: DataFrame, normals: DataFrame, share: float = 0.9
     ``normals`` (id): rows that neither score was fitted on, else the promise of 1 - share false alarms doesn't hold.
     """
     def over(s, name):
-        cut = s.join(normals, "id", "left_semi").agg(F.percentile("score", F.lit(share)).alias("c"))
+        cut = quantiles(s.join(normals, "id", "left_semi"), [], "score", [share]).select(F.get("q", F.lit(0)).alias("c"))
         return s.join(F.broadcast(cut)).select("id", (F.col("score") > F.col("c")).cast("int").alias(name))  # one row
 
     return over(a, "a").join(over(b, "b"), "id").select("id", F.greatest("a", "b").alias("caught"))
@@ -77,8 +78,8 @@ def both_hard(rows: DataFrame, percentiles: list[float]) -> DataFrame:
     residual too (max-z alone where there is no residual). ``rows``: (id, train, v, y) with ``train`` true for the normals."""
     z = det.max_z(det.long_form(rows)).select("id", F.round("score", 9).alias("z"))
     own = stored(z.join(det.linear_residual(rows).select("id", F.round("score", 9).alias("l")), "id").join(rows.select("id", "y"), "id"), "hardness")
-    at = F.array(*(F.lit(p / 100) for p in percentiles))
-    cut = own.where("y = 0").agg(F.percentile("z", at).alias("qz"), F.percentile("l", at).alias("ql"))
+    of = lambda c: quantiles(own.where("y = 0"), [], c, [p / 100 for p in percentiles], f"q{c}")
+    cut = of("z").join(F.broadcast(of("l")))  # one row each
     cut = cut.select(F.explode(F.arrays_zip(F.array(*map(F.lit, percentiles)).alias("percentile"), "qz", "ql")).alias("c")).select("c.*")
     easy = F.col("z") > F.col("qz")
     return own.where("y = 1").join(F.broadcast(cut)).groupBy("percentile").agg(  # a row a percentile
@@ -182,12 +183,17 @@ def leaderboard(picks: DataFrame, family: DataFrame) -> DataFrame:
 
 
 def leaderboard_tests(picks: DataFrame, against: tuple[str, ...] = ("em", "mv")) -> DataFrame:
-    """(selector, against, n, z, p): signed-rank tests of a selector's regrets against those of the criteria, dataset by dataset; null without differences."""
+    """(selector, against, n, z, p, p_exact): signed-rank tests of a selector's regrets against those of the criteria, dataset by dataset.
+
+    p is the normal one with tie correction, p_exact that of all choices of signs (up to ``stats.EXACT`` differences); null without differences.
+    """
     other = picks.where(F.col("selector").isin(*against)).select(F.col("selector").alias("against"), "dataset", F.col("regret").alias("r2"))
     both = picks.join(other, "dataset").where("selector <> against").withColumn("x", F.round(F.col("r2") - F.col("regret"), 12))
     pairs = both.select("selector", "against").distinct()
     tests = stats.with_p(stats.wilcoxon(both, ["selector", "against"], "x"))
-    return pairs.join(tests, ["selector", "against"], "left").select("selector", "against", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "z", "p")
+    exact = stats.wilcoxon_exact(both, ["selector", "against"], "x").drop("n")
+    tests = pairs.join(tests, ["selector", "against"], "left").join(exact, ["selector", "against"], "left")
+    return tests.select("selector", "against", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "z", "p", "p_exact")
 
 
 def routed(df: DataFrame, margin: float = -0.14) -> DataFrame:
@@ -209,23 +215,23 @@ def family_hybrid(df: DataFrame, family: Column) -> DataFrame:
 
 
 def greedy_cover(df: DataFrame, radius: float) -> DataFrame:
-    """(dataset, n_eff): rows that an in-order pass keeps, each farther than ``radius`` from all kept before.
+    """(dataset, n_eff): rows that a pass in order of id keeps, each farther than ``radius`` from all kept before.
 
-    Sequential by definition, so one task per dataset; hardened test sets hold some hundred rows.
+    That is the first independent set in that order of the graph of rows within the radius. It is found in
+    rounds: a row all of whose earlier neighbours are out is in, and its neighbours are out. A
+    round decides at least each data set's first open row and mostly a share of all, and no task
+    holds a data set. Neighbours come from the radius search of ``near``.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        m = np.array(pdf["v"].tolist(), float)
-        kept, n = np.empty_like(m), 0
-        for v in m:
-            if not n or np.sqrt(((kept[:n] - v) ** 2).sum(1)).min() > radius:
-                kept[n], n = v, n + 1
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "n_eff": [n]})
-
-    return df.select("dataset", "id", "v").groupBy("dataset").applyInPandas(run, "dataset int, n_eff long")
+    rows = df.select(F.col("dataset").alias("task"), F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    rows = stored(rows, "cover-rows")
+    edges = stored(near.within(rows, radius).where("other < id").select("task", "id", "other"), "cover-edges")
+    # rows without an earlier neighbour are in whatever follows
+    state = stored(rows.select("task", "id").join(edges.select("task", "id").distinct().withColumn("open", F.lit(True)), ["task", "id"], "left").select("task", "id", F.when(F.col("open"), 0).otherwise(1).alias("state")), "cover")
+    while not state.where("state = 0").isEmpty():
+        earlier = edges.join(state.where("state = 0").select("task", "id"), ["task", "id"], "left_semi").join(state.select("task", F.col("id").alias("other"), F.col("state").alias("s")), ["task", "other"])
+        said = earlier.groupBy("task", "id").agg(F.max((F.col("s") == 1).cast("int")).alias("covered"), F.max((F.col("s") == 0).cast("int")).alias("waits"))
+        state = stored(state.join(said, ["task", "id"], "left").select("task", "id", F.when(F.col("state") != 0, F.col("state")).when(F.col("covered") == 1, -1).when(F.col("waits") == 1, 0).otherwise(1).alias("state")), "cover")
+    return state.groupBy(F.col("task").alias("dataset")).agg(F.count_if(F.col("state") == 1).alias("n_eff"))
 
 
 def effective_count(train: DataFrame, rows: DataFrame) -> DataFrame:
@@ -236,7 +242,7 @@ def effective_count(train: DataFrame, rows: DataFrame) -> DataFrame:
     both = train.select((F.col("id") * 2).alias("id"), F.lit(True).alias("train"), "v").union(rows.select((F.col("id") * 2 + 1).alias("id"), F.lit(False).alias("train"), "v"))
     z = det.standardised(det.long_form(both)).groupBy("id", "train").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("v"))
     z = stored(z, "standardised")
-    radius = det.nearest(z.where("train"), 1).agg(F.percentile("distance", F.lit(0.5)).alias("r")).first()["r"] + 1e-9
+    radius = quantiles(det.nearest(z.where("train"), 1), [], "distance", [0.5]).first()["q"][0] + 1e-9
     own = z.where("not train").select(F.floor((F.col("id") - 1) / 2).cast("long").alias("id"), "v")
     return greedy_cover(own.join(rows.select("dataset", "id"), "id"), radius)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ratio
+from ..functions.order import quantiles
 from ..functions.scratch import stored
 from . import near
 
@@ -137,7 +138,8 @@ def outside_rules(df: DataFrame) -> DataFrame:
     """(id, beyond_range, beyond_quantiles, beyond_bonferroni): any dimension outside the training range, its 1st to 99th percentile, or the 1 % level shared by all dims."""
     d = df.select("dim").distinct().count()
     at = [0.01, 0.99, 0.005 / d, 1 - 0.005 / d]
-    s = df.where("train").groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", F.array(*map(F.lit, at))).alias("q"))
+    train = df.where("train")
+    s = train.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).join(quantiles(train, ["dim"], "x", at), "dim")
     x, q = F.col("x"), F.col("q")
     out = lambda a, b: F.max(((x < a) | (x > b)).cast("int"))
     return df.join(s, "dim").groupBy("id").agg(
@@ -331,33 +333,37 @@ def cblof(df: DataFrame, k: int = 8, alpha: float = 0.9, beta: float = 5.0, seed
     return with_numpy(df, lambda m: np.sqrt(((m[:, None, :] - big[None]) ** 2).sum(2)).min(1))
 
 
-def cluster_composite(points: DataFrame, top: int = 3) -> DataFrame:
-    """(cluster, size, size_component, far_component, density_component, composite), highest composite first in rank.
+def cluster_composite(points: DataFrame, top: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cluster, size, size_component, far_component, density_component, composite).
 
-    ``points``: long (id, cluster, dim, x). Smallness, distance to the nearest other centres and
-    looseness, each min-max scaled and averaged.
+    ``points``: long (id, cluster, dim, x) and the key columns ``by``, each value a clustering of its own.
+    Smallness, distance to the nearest other centres and looseness, each min-max scaled and averaged.
     """
-    centre = points.groupBy("cluster", "dim").agg(F.avg("x").alias("c"))
-    a, b = centre.select(F.col("cluster").alias("a"), "dim", F.col("c").alias("ca")), centre.select(F.col("cluster").alias("b"), "dim", F.col("c").alias("cb"))
-    gap = a.join(b, "dim").where("a <> b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("ca") - F.col("cb")) * (F.col("ca") - F.col("cb")))).alias("g"))
-    near = gap.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("g", "b"))).where(F.col("k") <= top)
-    far = near.groupBy(F.col("a").alias("cluster")).agg(F.avg("g").alias("far"))
-    spread = points.join(centre, ["cluster", "dim"]).groupBy("cluster", "id").agg(F.sqrt(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c")))).alias("d"))
-    per = spread.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("d").alias("density")).join(far, "cluster", "left").na.fill(0.0, ["far"])
-    whole = Window.partitionBy()  # a row per cluster
+    by = list(by)
+    centre = points.groupBy(*by, "cluster", "dim").agg(F.avg("x").alias("c"))
+    a, b = centre.select(*by, F.col("cluster").alias("a"), "dim", F.col("c").alias("ca")), centre.select(*by, F.col("cluster").alias("b"), "dim", F.col("c").alias("cb"))
+    gap = a.join(b, [*by, "dim"]).where("a <> b").groupBy(*by, "a", "b").agg(F.sqrt(F.sum((F.col("ca") - F.col("cb")) * (F.col("ca") - F.col("cb")))).alias("g"))
+    near = gap.withColumn("__k", F.row_number().over(Window.partitionBy(*by, "a").orderBy("g", "b"))).where(F.col("__k") <= top)
+    far = near.groupBy(*by, F.col("a").alias("cluster")).agg(F.avg("g").alias("far"))
+    spread = points.join(centre, [*by, "cluster", "dim"]).groupBy(*by, "cluster", "id").agg(F.sqrt(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c")))).alias("d"))
+    per = spread.groupBy(*by, "cluster").agg(F.count("*").alias("size"), F.avg("d").alias("density")).join(far, [*by, "cluster"], "left").na.fill(0.0, ["far"])
+    whole = Window.partitionBy(*by)  # a row per cluster
     scale = lambda c: F.when(F.max(c).over(whole) > F.min(c).over(whole), (c - F.min(c).over(whole)) / (F.max(c).over(whole) - F.min(c).over(whole))).otherwise(0.0)
     per = per.withColumn("small", 1 - F.col("size") / F.sum("size").over(whole))
-    per = per.select("cluster", "size", scale(F.col("small")).alias("size_component"), scale(F.col("far")).alias("far_component"), scale(F.col("density")).alias("density_component"))
+    per = per.select(*by, "cluster", "size", scale(F.col("small")).alias("size_component"), scale(F.col("far")).alias("far_component"), scale(F.col("density")).alias("density_component"))
     return per.withColumn("composite", (F.col("size_component") + F.col("far_component") + F.col("density_component")) / 3)
 
 
 def guarded(scores: DataFrame, groups: list[str]) -> DataFrame:
     """Null for all scores of a group that has a non-finite one or no spread."""
-    w = Window.partitionBy(*groups)
     s = F.col("score")
     bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
-    spread = F.stddev_pop(F.when(~bad, s)).over(w)
-    return scores.withColumn("score", F.when((F.max(bad.cast("int")).over(w) == 0) & (spread >= 1e-12), s))
+    keys = [f"{g}_" for g in groups]
+    sound = scores.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True))).agg(((F.max(bad.cast("int")) == 0) & (F.stddev_pop(F.when(~bad, s)) >= 1e-12)).alias("__sound"))
+    same = F.lit(True)
+    for g, k in zip(groups, keys, strict=True):
+        same = same & scores[g].eqNullSafe(sound[k])
+    return scores.join(sound, same).withColumn("score", F.when(F.col("__sound"), s)).drop("__sound", *keys)
 
 
 def mass_and_volume(scores: DataFrame, uniform: DataFrame, steps: int = 100) -> DataFrame:
@@ -444,8 +450,7 @@ def goix(scores: DataFrame, uniform: DataFrame, t_most: float = 100.0, em_until:
 
 def mv_curve(scores: DataFrame, uniform: DataFrame, levels: list[float]) -> DataFrame:
     """(alpha, threshold, volume): share of the uniform points at or above the normality that keeps the mass ``alpha``. ``score`` is normality."""
-    at = F.array(*(F.lit(1.0 - a) for a in levels))
-    cut = scores.agg(F.percentile("score", at).alias("q")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("alpha"), F.col("q").alias("threshold"))).alias("z")).select("z.*")
+    cut = quantiles(scores, [], "score", [1.0 - a for a in levels]).select(F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("alpha"), F.col("q").alias("threshold"))).alias("z")).select("z.*")
     return uniform.join(F.broadcast(cut)).groupBy("alpha", "threshold").agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("volume"))
 
 
@@ -469,27 +474,35 @@ def centrality(scores: DataFrame) -> DataFrame:
     return rank_agreement(scores).groupBy(F.col("a").alias("detector")).agg(F.avg("rho").alias("centrality"))
 
 
-def consensus(scores: DataFrame) -> DataFrame:
-    """(detector, consensus): Pearson of a detector's ranks with the ranks of the mean ranks of all."""
+def consensus(scores: DataFrame, pool: Column | None = None) -> DataFrame:
+    """(detector, consensus): Pearson of a detector's ranks with the ranks of the mean ranks of all.
+
+    Of several data sets ``pool`` (an expression on id) names an id's own; detectors then have names of their own in each.
+    """
     r = stored(mean_ranks(scores), "ranks")
-    mean = r.groupBy("id").agg(F.round(F.avg("r"), 9).alias("score")).withColumn("detector", F.lit(""))
+    mean = r.groupBy("id").agg(F.round(F.avg("r"), 9).alias("score")).withColumn("detector", F.lit("") if pool is None else pool.cast("string"))
     out = r.join(mean_ranks(mean).select("id", F.col("r").alias("m")), "id").groupBy("detector").agg(F.covar_pop("r", "m").alias("c"), F.var_pop("r").alias("vr"), F.var_pop("m").alias("vm"))
     return out.select("detector", ratio(F.col("c"), F.sqrt(F.col("vr") * F.col("vm"))).alias("consensus"))
 
 
+def standard_scores(scores: DataFrame) -> DataFrame:
+    """``scores`` (detector, id, score) with n (rows of the detector) and z, from a row of sums per detector."""
+    of = scores.groupBy(F.col("detector").alias("__d")).agg(F.avg("score").alias("__m"), F.stddev_pop("score").alias("__s"), F.count("*").alias("n"))
+    return scores.join(of, F.col("detector") == F.col("__d")).withColumn("z", (F.col("score") - F.col("__m")) / (F.col("__s") + 1e-12)).drop("__d", "__m", "__s")
+
+
 def z_consensus(scores: DataFrame) -> DataFrame:
     """(detector, consensus): Spearman of each detector with the mean of all standardised scores."""
     from ..functions.metrics import spearman
 
-    w, scores = Window.partitionBy("detector"), stored(scores, "scores")
-    z = scores.withColumn("z", (F.col("score") - F.avg("score").over(w)) / (F.stddev_pop("score").over(w) + 1e-12))
-    mean = z.groupBy("id").agg(F.avg("z").alias("m"))
+    scores = stored(scores, "scores")
+    mean = standard_scores(scores).groupBy("id").agg(F.avg("z").alias("m"))
     return spearman(scores.join(mean, "id"), ["detector"], "score", "m").select("detector", F.col("rho").alias("consensus"))
 
 
 def hits_authority(scores: DataFrame, rounds: int = 100) -> DataFrame:
     """(detector, authority): power iteration on the agreement matrix of the panel (detectors squared, on the driver)."""
-    pairs = rank_agreement(scores).collect()
+    pairs = rank_agreement(scores).collect()  # a row per pair of the panel
     names = sorted({p["a"] for p in pairs})
     m = np.zeros((len(names), len(names)))
     for p in pairs:

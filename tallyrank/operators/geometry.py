@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ratio
+from ..functions.order import quantiles
 from ..functions.ranks import hash_order, hash_unit
 from ..functions.scratch import stored
 from . import detectors as det
@@ -83,7 +84,7 @@ def place(radial, between):
 def _near_band(points: DataFrame, z: DataFrame, n: int, k: int, band: tuple[float, float]) -> DataFrame:
     """The first n points, by id, whose distance to the k-th of the rows ``z`` lies within that band of the rows' own."""
     own = det.nearest(z, k).where(F.col("rank") == k)
-    cut = own.agg(F.percentile("distance", F.array(*(F.lit(b / 100) for b in band))).alias("q"))
+    cut = quantiles(own, [], "distance", [b / 100 for b in band])
     far = det.nearest(points, k, z).where(F.col("rank") == k).join(F.broadcast(cut))  # one row
     good = far.where((F.col("distance") >= F.get("q", F.lit(0))) & (F.col("distance") <= F.get("q", F.lit(1)))).select("id")
     return points.join(good, "id").orderBy("id").limit(n)
@@ -138,7 +139,7 @@ def off_clusters(rows: DataFrame, synthetic: DataFrame, band: float = 60, least:
     z = stored(latent.to(rows.where("train").select("id", "train", "v")), "latent")
     _, centres = det.clusters(z, min(20, max(2, z.count() // 30)))
     far = lambda t: det.with_numpy(t, lambda m: np.sqrt(((m[:, None, :] - centres[None]) ** 2).sum(2)).min(1))
-    cut = far(z).agg(F.percentile("score", F.lit(band / 100)).alias("cut"))
+    cut = quantiles(far(z), [], "score", [band / 100]).select(F.get("q", F.lit(0)).alias("cut"))
     own = synthetic.join(far(latent.to(synthetic)).join(F.broadcast(cut)).select("id", (F.col("score") > F.col("cut")).alias("far")), "id")  # one row
     own = stored(own, "off-clusters")
     enough = own.agg((F.count_if("far") >= least).alias("enough"))

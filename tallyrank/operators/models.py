@@ -326,8 +326,8 @@ def _cblof(rows: DataFrame, model: Tables) -> DataFrame:
     return _on_blocks(rows, model["centres"], lambda m, r: [near.distances(m, matrix(r.centres, r.n)).min(axis=1)])
 
 
-#: Rows that a tree is grown on.
-SUBSAMPLE = 256
+#: Rows that a tree is grown on, and trees that are grown together.
+SUBSAMPLE, TREES_A_TASK = 256, 20
 
 
 def average_path(n):
@@ -339,7 +339,7 @@ def average_path(n):
 def trees(train: DataFrame, configs: DataFrame) -> DataFrame:
     """(task, features, seed, tree, size, feature, cut, below, above, depth): isolation trees as arrays of nodes, a row a tree.
 
-    ``configs``: (features, seed, trees). Each tree is grown in a task of its own group, on a
+    ``configs``: (features, seed, trees). ``TREES_A_TASK`` trees are a group, each grown on a
     hash sample of ``SUBSAMPLE`` training rows without replacement and that share of the dims.
     Forests of fewer trees are the first of these.
     """
@@ -352,32 +352,47 @@ def trees(train: DataFrame, configs: DataFrame) -> DataFrame:
     every = F.slice(F.transform(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda p: F.struct(u(p).alias("u"), p.alias("p")))), lambda x: x["p"]), 1, SUBSAMPLE)
     wanted = each.select("task", "features", "seed", "tree", F.explode(F.when(F.col("n") <= 8 * SUBSAMPLE, every).otherwise(some)).alias("pos"))
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        data = np.array(pdf.sort_values("pos")["v"].tolist(), float)
-        rng = np.random.default_rng([int(r["seed"]), int(round(r["features"] * 1000)), int(r["tree"])])
+    def grown(data: np.ndarray, features: float, seed: int, tree: int) -> dict:
+        rng = np.random.default_rng([seed, int(round(features * 1000)), tree])
         dims, limit = data.shape[1], int(np.ceil(np.log2(max(len(data), 2))))
-        dims = np.arange(dims) if r["features"] >= 1 else rng.choice(dims, max(1, int(r["features"] * dims)), replace=False)
+        dims = np.arange(dims) if features >= 1 else rng.choice(dims, max(1, int(features * dims)), replace=False)
+        draw = iter(rng.random(6 * len(data) + 6).tolist())
         feature, cut, below, above, depth = [], [], [], [], []
 
         def node(m, at):
-            i = len(feature)
-            for out, v in ((feature, -1), (cut, 0.0), (below, -1), (above, -1), (depth, at + float(average_path(len(m))))):
+            i, n = len(feature), len(m)
+            for out, v in ((feature, -1), (cut, 0.0), (below, -1), (above, -1), (depth, at + paths[n])):
                 out.append(v)
-            span = dims[m[:, dims].max(axis=0) > m[:, dims].min(axis=0)] if len(m) > 1 else []
-            if at < limit and len(span):
-                j = int(rng.choice(span))
-                feature[i], cut[i] = j, float(rng.uniform(m[:, j].min(), m[:, j].max()))
-                low = m[:, j] < cut[i]
-                below[i] = node(m[low], at + 1)
-                above[i] = node(m[~low], at + 1)
+            if at < limit and n > 1:
+                j = dims[int(next(draw) * len(dims))]
+                x = m[:, j]
+                low, high = x.min(), x.max()
+                if low == high:  # one of the dims that aren't constant here, if any
+                    span = dims[m[:, dims].max(axis=0) > m[:, dims].min(axis=0)]
+                    if not len(span):
+                        return i
+                    j = span[int(next(draw) * len(span))]
+                    x = m[:, j]
+                    low, high = x.min(), x.max()
+                feature[i], cut[i] = int(j), float(low + next(draw) * (high - low))
+                under = x < cut[i]
+                below[i] = node(m[under], at + 1)
+                above[i] = node(m[~under], at + 1)
             return i
 
+        paths = average_path(np.arange(len(data) + 1)).tolist()
         node(data, 0)
-        return pd.DataFrame({"task": [r["task"]], "features": [r["features"]], "seed": [r["seed"]], "tree": [r["tree"]], "size": [len(data)], "feature": [feature], "cut": [cut], "below": [below], "above": [above], "depth": [depth]})
+        return {"features": features, "seed": seed, "tree": tree, "size": len(data), "feature": feature, "cut": cut, "below": below, "above": above, "depth": depth}
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for tree, own in pdf.sort_values(["tree", "pos"]).groupby("tree"):
+            out.append({"task": own["task"].iloc[0]} | grown(np.array(own["v"].tolist(), float), float(own["features"].iloc[0]), int(own["seed"].iloc[0]), int(tree)))
+        return pd.DataFrame(out)
 
     rows = wanted.join(placed, ["task", "pos"]).select("task", "features", "seed", "tree", "pos", "v")
-    return rows.groupBy("task", "features", "seed", "tree").applyInPandas(grow, f"task {kind}, features double, seed int, tree int, size int, feature array<int>, cut array<double>, below array<int>, above array<int>, depth array<double>")
+    some_trees = ["task", "features", "seed", F.floor(F.col("tree") / TREES_A_TASK)]
+    return rows.groupBy(*some_trees).applyInPandas(grow, f"task {kind}, features double, seed int, tree int, size int, feature array<int>, cut array<double>, below array<int>, above array<int>, depth array<double>")
 
 
 def forest_scores(rows: DataFrame, table: DataFrame, counts: list[int]) -> DataFrame:

@@ -158,3 +158,29 @@ def nearest(queries: DataFrame, index: Index | DataFrame, k: int, same: bool = T
     both = first.union(searched(blocked(limited, "within"), True))
     order = Window.partitionBy("task", "id").orderBy("distance", "other")
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def within(rows: DataFrame, radius: float) -> DataFrame:
+    """(task, id, other, distance): all pairs of rows of a task at most ``radius`` apart, in both directions, found by the same rings."""
+    index = Index(rows)
+    limited = blocked(rows.select("task", "id", "v").withColumn("within", F.lit(float(radius))), "within")
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                ids, m = np.asarray(r.ids), matrix(r.m, len(r.ids))
+                chosen = _bounds(m, r)[0] <= radius * (1 + 1e-9) + 1e-12
+                for j in np.flatnonzero(chosen.any(axis=0)):
+                    own = chosen[:, j]
+                    yield pd.DataFrame({"task": [r.task], "cell": [r.r_cell[j]], "ring": [r.r_ring[j]], "ids": [ids[own]], "m": [m[own].ravel()]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                ids, others = np.asarray(r.ids), np.asarray(r.others)
+                d = distances(matrix(r.m, len(ids)), matrix(r.rows, len(others)))
+                i, j = np.nonzero((d <= radius) & (ids[:, None] != others[None]))
+                yield pd.DataFrame({"task": r.task, "id": ids[i], "other": others[j], "distance": d[i, j]})
+
+    found = limited.join(index.known, "task").mapInPandas(visits, f"task {index.kind}, cell long, ring long, ids array<long>, m array<double>")
+    return found.join(index.rings, ["task", "cell", "ring"]).mapInPandas(search, f"task {index.kind}, id long, other long, distance double")

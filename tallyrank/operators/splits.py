@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
 from ..functions.ranks import hash_order, hash_unit
 from ..functions.scratch import stored
 
@@ -138,7 +139,7 @@ def marginal_tail(points: DataFrame, seed: int, share: float = 0.05, least: int
     pick = dims.orderBy(hash_order(F.lit(seed), "dim")).limit(1)
     side = hash_unit(F.lit(seed), F.lit("side")) < 0.5
     one = points.join(F.broadcast(pick), "dim")  # one row
-    cut = one.agg(F.percentile("x", F.array(F.lit(share), F.lit(1 - share))).alias("q"), F.count("*").alias("n"))
+    cut = quantiles(one, [], "x", [share, 1 - share]).join(F.broadcast(one.agg(F.count("*").alias("n"))))  # one row each
     tail = one.join(F.broadcast(cut)).where(F.when(side, F.col("x") <= F.get("q", F.lit(0))).otherwise(F.col("x") >= F.get("q", F.lit(1))))
     size = F.count("*").over(Window.partitionBy("dim"))
     return tail.withColumn("__s", size).where((F.col("__s") >= least) & (F.col("__s") * 2 <= F.col("n"))).select("id")
@@ -197,7 +198,7 @@ def resampled_features(points: DataFrame, beta: float, seed: int = 0, share: flo
     density ** beta, and the value evenly within it; a dim without such a bin takes a donor's.
     """
     d = points.select("dim").distinct().count()
-    edges = points.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("m"), F.percentile("x", F.array(F.lit(1 - inner), F.lit(inner))).alias("q"))
+    edges = points.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("m")).join(quantiles(points, ["dim"], "x", [1 - inner, inner]), "dim")
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / width)))).otherwise(0).cast("int")
     counts = points.join(edges, "dim").groupBy("dim", "lo", "hi", "m", "q", place.alias("bin")).agg(F.count("*").alias("c"))

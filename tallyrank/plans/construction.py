@@ -272,8 +272,11 @@ query(
     f"""WITH {PICKS}, x AS (SELECT a.selector, b.selector AS against, round(b.regret - a.regret, 12) AS x FROM pk a JOIN pk b ON a.dataset = b.dataset AND b.selector IN ('em', 'mv') AND a.selector <> b.selector),
 k AS (SELECT *, rank() OVER (PARTITION BY selector, against ORDER BY abs(x)) + (count(*) OVER (PARTITION BY selector, against, abs(x)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY selector, against, abs(x)) AS t FROM x WHERE x <> 0),
 a AS (SELECT selector, against, count(*) AS n, sum(CASE WHEN x > 0 THEN rk ELSE 0 END) AS wp, sum(t * t - 1) AS ties FROM k GROUP BY ALL),
-z AS (SELECT p.selector, p.against, coalesce(n, 0) AS n, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM (SELECT DISTINCT selector, against FROM x) p LEFT JOIN a USING (selector, against))
-SELECT selector, against, n, {r("z")}, {r(NORMAL_P.format("z"), "p")} FROM z""",
+z AS (SELECT p.selector, p.against, coalesce(n, 0) AS n, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM (SELECT DISTINCT selector, against FROM x) p LEFT JOIN a USING (selector, against)),
+e AS (SELECT selector, against, count(*) AS m, list((2 * rk)::INT) AS l, sum(CASE WHEN x > 0 THEN (2 * rk)::INT ELSE 0 END) AS w FROM k GROUP BY ALL HAVING count(*) <= {stats.EXACT}),
+f AS (SELECT *, list_sum(l) AS s, list_reduce(list_prepend(list_transform(range(0, list_sum(l)::BIGINT + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END), list_transform(l, lambda q: [q::DOUBLE])),
+  lambda a, q: list_transform(range(0, len(a)), lambda i: a[i + 1] + CASE WHEN i >= q[1] THEN a[(i - q[1])::BIGINT + 1] ELSE 0 END)) AS ways FROM e)
+SELECT z.selector, z.against, n, {r("z")}, {r(NORMAL_P.format("z"), "p")}, {r("least(1, 2 * list_sum(ways[1:(least(w, s - w) + 1)::BIGINT]) / power(2, m))", "p_exact")} FROM z LEFT JOIN f ON f.selector = z.selector AND f.against = z.against""",
 )(lambda sp, d: b.leaderboard_tests(b.selectors(panel(sp, d))))
 query(
     "selector_forest",

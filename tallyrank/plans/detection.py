@@ -11,6 +11,7 @@ from ..functions.metrics import anomaly_percentile, roc_auc, spearman
 from ..functions.ranks import hash_unit
 from ..functions.scratch import stored
 from ..operators import aggregate, schemes
+from ..operators import benchmark as bench
 from ..operators import detectors as det
 from ..operators import geometry as geo
 from ..operators import protocol as pro
@@ -182,9 +183,13 @@ query("synthetic_auc", None)(lambda spark, d: pro.synthetic_auc(_of(spark, d, "t
 query("synthetic_auc_within", None)(lambda spark, d: pro.synthetic_auc_within(_of(spark, d, "val"), pro.shuffled(_of(spark, d, "val"))))
 
 
+def _single(spark, d, role) -> DataFrame:
+    return _of(spark, d, role).select(F.lit(0).alias("dataset"), "id", "v")
+
+
 def _voted(spark, d) -> DataFrame:
     """The whole way: pseudo-tasks of the training rows, votes of the regimes, true AUC on the test rows, rank correlation and regret."""
-    fact = stored(pro.pseudo_fact(_of(spark, d, "train"), m=5), "fact")
+    fact = stored(pro.pseudo_fact(_single(spark, d, "train")), "fact")
     scores_ = stored(pro.fit_scores(_of(spark, d, "train"), _of(spark, d, "test")), "panel-scores").withColumn("score", F.round("score", 9))
     truth = roc_auc(scores_.join(roles(spark, d).where("role = 'test'").select("id", "y"), "id"), ["detector"], "score", "y").select(F.lit(0).alias("dataset"), "detector", F.col("auc").alias("true_auc"))
     truth = stored(truth, "truth")
@@ -197,10 +202,44 @@ def _voted(spark, d) -> DataFrame:
     return out
 
 
-query("pseudo_fact", None)(lambda spark, d: pro.pseudo_fact(_of(spark, d, "train"), m=5))
+query("pseudo_fact", None)(lambda spark, d: pro.pseudo_fact(_single(spark, d, "train")))
 query("whole_selection", None)(_voted)
-query("manifold_separability", None)(lambda spark, d: pro.manifold_separability(_of(spark, d, "train")))
-query("seed_stability", None)(lambda spark, d: pro.seed_stability(_of(spark, d, "train"), _of(spark, d, "test"), [(t, f) for t in (20, 50, 100) for f in (0.5, 0.75, 1.0)]))
+query("manifold_separability", None)(lambda spark, d: pro.manifold_separability(_single(spark, d, "train")).select("detector", "auc"))
+
+
+def priorities(spark, d) -> DataFrame:
+    """(dataset, id, role, y, v): orders by priority, five data sets; the dearest are the anomalies.
+
+    v: price, and number, quantity, mean discount and greatest price of the lines. Normal rows are training, validation
+    and test rows by hash, 60, 20 and 20 %; anomalies are test rows.
+    """
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").cast("double").alias("n"), F.sum("l_quantity").alias("s"), F.avg("l_discount").alias("a"), F.max("l_extendedprice").alias("m"))
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("b")).join(li, "id", "left").na.fill(0.0)
+    y = (F.col("b") > 450000).cast("int")
+    u = hash_unit(F.lit(0), F.lit("role"), "id")
+    role = F.when((y == 1) | (u >= 0.8), "test").when(u < 0.6, "train").otherwise("val")
+    return stored(o.select("dataset", "id", role.alias("role"), y.alias("y"), F.array(*(F.col(c).cast("double") for c in "bnsam")).alias("v")), "priorities")
+
+
+def _part(rows: DataFrame, role: str, *more: str) -> DataFrame:
+    return rows.where(F.col("role") == role).select("dataset", "id", "v", *more)
+
+
+query("many_pseudo_fact", None)(lambda spark, d: pro.pseudo_fact(_part(priorities(spark, d), "train"), ("maxz", "centroid", "hbos", "pca")))
+query("many_evaluate", None)(lambda spark, d: pro.evaluate_all(priorities(spark, d)))
+
+
+def _selected(spark, d) -> DataFrame:
+    """The selector table of real criteria: excess mass, mass volume, consensus, centrality, authority and separability of each data set."""
+    facts = pro.evaluate_all(priorities(spark, d))
+    kind = F.when(F.col("dataset").isin("1-URGENT", "2-HIGH"), "heavy").otherwise("light")
+    return bench.selectors(stored(facts.select("dataset", F.col("detector").alias("variant"), F.col("ap_norm").alias("truth"), "em", "mv", "consensus", "centrality", "hits", "separability", kind.alias("modality")), "facts"))
+
+
+query("many_selectors", None)(_selected)
+query("rule_auc", None)(lambda spark, d: pro.rule_auc(priorities(spark, d)))
+query("seed_stability", None)(lambda spark, d: pro.most_stable(*(lambda s: (_part(s, "train"), _part(s, "test"), _part(s, "test", "y")))(priorities(spark, d))))
+query("random_forest_choice", None)(lambda spark, d: pro.random_forest_choice(*(lambda s: (_part(s, "train"), _part(s, "test"), _part(s, "test", "y")))(priorities(spark, d))))
 query("knn_separability", None)(lambda spark, d: pro.separability(_of(spark, d, "train"), roles(spark, d).where("role = 'test' and y = 0").select("id", "v"), roles(spark, d).where("y = 1").select("id", "v")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..functions.order import quantiles
 from ..functions.ranks import avg_rank, pct_rank, row_order
 from ..operators import aggregate, schemes
 from .tables import FACT, MEANS, SCORED, TRUTH, fact, r, rounded, scored, table, truth
@@ -203,7 +204,7 @@ def _(spark, d):
 def _(spark, d):
     qs = [0.0, 0.25, 0.5, 0.75, 1.0]
     at = F.array(*map(F.lit, qs))
-    per = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(F.percentile("l_extendedprice", at).alias("v"))
+    per = quantiles(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), "l_extendedprice"), ["g"], "l_extendedprice", qs, "v")
     return per.select("g", F.explode(F.arrays_zip(at.alias("q"), F.col("v").alias("v"))).alias("z")).select("g", F.col("z.q").alias("q"), F.col("z.v").alias("v"))
 
 
@@ -250,14 +251,14 @@ SELECT g, {r("cut")}, count(*) FILTER (WHERE y = 1 AND score > cut) AS caught, c
 )
 def _(spark, d):
     s = scored(spark, d)
-    cut = s.where("y = 0").groupBy("g").agg(F.percentile("score", F.lit(0.99)).alias("cut"))
+    cut = quantiles(s.where("y = 0"), ["g"], "score", [0.99]).select("g", F.get("q", F.lit(0)).alias("cut"))
     return s.join(cut, "g").groupBy("g", "cut").agg(F.count_if((F.col("y") == 1) & (F.col("score") > F.col("cut"))).alias("caught"), F.count_if(F.col("y") == 1).alias("n"))
 
 
 @query("median_by_group", f"WITH {SCORED} SELECT id, {r('score - median(score) OVER (PARTITION BY g)', 'above')} FROM scored")
 def _(spark, d):
     s = scored(spark, d)
-    return s.join(s.groupBy("g").agg(F.percentile("score", F.lit(0.5)).alias("m")), "g").select("id", (F.col("score") - F.col("m")).alias("above"))
+    return s.join(quantiles(s, ["g"], "score", [0.5]), "g").select("id", (F.col("score") - F.get("q", F.lit(0))).alias("above"))
 
 
 FUNNEL = {"entered": "true", "drop_small": "p_size < 5", "drop_cheap": "p_size >= 5 AND p_retailprice < 920", "scored": "p_size >= 5 AND p_retailprice >= 920", "included": "p_size >= 5 AND p_retailprice >= 920 AND p_size <= 45"}
