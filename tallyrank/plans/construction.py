@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.metrics import ratio, spearman
 from ..operators import benchmark as b
+from ..operators import modality
 from ..operators import protocol as pro
 from ..operators import splits as s
 from .detection import DIMS, PTS, VEC, points, vectors
@@ -351,14 +352,15 @@ query("json_payload", """SELECT event_id, (props ->> '$.k')::BIGINT AS k, '{"k":
 )
 query(
     "bimodality",
-    f"""WITH {PTS}, m AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM pts GROUP BY dim), z AS (SELECT dim, avg(power((x - mu) / sd, 3)) AS g, avg(power((x - mu) / sd, 4)) AS k, count(*) AS n FROM pts JOIN m USING (dim) GROUP BY dim)
-SELECT dim, {r("(g * g + 1) / k", "coefficient")} FROM z""",
+    f"""WITH {PTS}, m AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM pts GROUP BY dim), z AS (SELECT dim, avg(power((x - mu) / sd, 3)) AS g, avg(power((x - mu) / sd, 4)) AS k, count(*)::DOUBLE AS n FROM pts JOIN m USING (dim) WHERE sd >= 1e-9 GROUP BY dim),
+b AS (SELECT dim, (g * g + 1) / (k - 3 + 3 * (n - 1) * (n - 1) / greatest((n - 2) * (n - 3), 1)) AS c FROM z) SELECT dim, {r("c", "coefficient")}, {r("avg((c > 0.555)::INT) OVER ()", "share_over")} FROM b""",
 )(lambda sp, d: _bimodal(points(sp, d)))
 
 
 def _bimodal(p):
-    """Sarle's coefficient per dimension from standardised moments."""
-    m = p.groupBy("dim").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
-    z = (F.col("x") - F.col("mu")) / F.col("sd")
-    s_ = p.join(m, "dim").groupBy("dim").agg(F.avg(z * z * z).alias("g"), F.avg(z * z * z * z).alias("k"))
-    return s_.select(F.col("dim").cast("long").alias("dim"), ratio(F.col("g") * F.col("g") + 1, F.col("k")).alias("coefficient"))
+    """Sarle's coefficient per dimension, and the share of the dims over that of a uniform."""
+    own = modality.sarle(p).select(F.col("dim").cast("long").alias("dim"), "coefficient")
+    return own.join(F.broadcast(own.agg(F.avg((F.col("coefficient") > modality.UNIFORM).cast("double")).alias("share_over"))))  # one row
+
+
+query("modality_panel", None)(lambda sp, d: modality.panel(vectors(sp, d).select("id", "v")))
