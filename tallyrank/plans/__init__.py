@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rankings", "series", "detection", "construction")
+MODULES = ("rankings", "series", "detection", "construction", "files")
 
 
 def registry() -> dict:

@@ -31,7 +31,21 @@ def _stem(path: str) -> str:
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """(path, content) of the files of that pattern, and of those that ``write_files`` has named so."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"/name=([^/]+)/[^/]+$", 1)
+    files = files.withColumn("path", F.when(name != "", F.url_decode(name)).otherwise(F.col("path")))
+    endings = glob.removeprefix("*.").strip("{}").split(",")
+    return files.where(F.col("path").rlike("\\.(" + "|".join(e.replace(".", "\\.") for e in endings) + ")$")).select("path", "content")
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """Each row of ``df`` (name, content binary) as a file, in a folder that has its name.
+
+    Spark's text writer stores the bytes as they are, and a zero byte after them, which
+    zip, npz and gzip readers pass over.
+    """
+    df.select("name", F.col("content").cast("string").alias("value")).write.partitionBy("name").option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def _each(parse: Callable[[str, bytes], Iterator[pd.DataFrame]]):
