@@ -147,6 +147,10 @@ def outside_rules(df: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a block of queries whose neighbours are searched together.
+NEAR_BLOCK = near.BLOCK
+
+
 def nearest(df: DataFrame, k: int, train: DataFrame | None = None) -> DataFrame:
     """(id, other, distance, rank) of the k nearest training rows, the row itself left out, ties by id.
 
@@ -154,7 +158,7 @@ def nearest(df: DataFrame, k: int, train: DataFrame | None = None) -> DataFrame:
     """
     train = df.where("train") if train is None else train
     own = lambda t: t.select(F.lit(0).alias("task"), F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
-    return near.nearest(own(df), own(train), k).drop("task")
+    return near.nearest(own(df), own(train), k, size=NEAR_BLOCK).drop("task")
 
 
 def knn(df: DataFrame, k: int = 5) -> DataFrame:

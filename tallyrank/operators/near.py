@@ -133,10 +133,10 @@ def _search(k: int, same: bool):
     return run
 
 
-def nearest(queries: DataFrame, index: Index | DataFrame, k: int, same: bool = True, report: dict | None = None) -> DataFrame:
+def nearest(queries: DataFrame, index: Index | DataFrame, k: int, same: bool = True, report: dict | None = None, size: int = BLOCK) -> DataFrame:
     """(task, id, other, distance, rank): the k nearest rows of each query's task, ties by id; with ``same`` a row of the query's own id is left out.
 
-    ``report`` is given the numbers of pairs whose distances are taken and of blocks that were sent.
+    ``report`` is given the numbers of pairs whose distances are taken and of blocks that were sent; ``size`` is the rows of a block.
     """
     index = index if isinstance(index, Index) else Index(index)
     kind = index.kind
@@ -152,10 +152,10 @@ def nearest(queries: DataFrame, index: Index | DataFrame, k: int, same: bool = T
                 report[c] = report.get(c, 0) + (sums[c] or 0)
         return visits.join(index.rings, ["task", "cell", "ring"]).mapInPandas(_search(k, same), found)
 
-    first = stored(searched(blocked(queries.select("task", "id", "v")), False), "near-first")
+    first = stored(searched(blocked(queries.select("task", "id", "v"), size=size), False), "near-first")
     limits = first.groupBy("task", "id").agg(F.array_sort(F.collect_list("distance")).alias("d")).select("task", "id", F.coalesce(F.get("d", F.lit(k - 1)), F.lit(float("inf"))).alias("within"))
     limited = queries.select("task", "id", "v").join(limits, ["task", "id"], "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
-    both = first.union(searched(blocked(limited, "within"), True))
+    both = first.union(searched(blocked(limited, "within", size=size), True))
     order = Window.partitionBy("task", "id").orderBy("distance", "other")
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
