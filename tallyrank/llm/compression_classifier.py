@@ -17,7 +17,8 @@ a hash of their text, so a run can be repeated; ids serve to hold out documents
 Defined results: a null text is empty, and an empty text's score is that of a difference of
 0; labels that are null, not 0 or 1, or contradictory for a doc_id are left out; without
 both classes every score is 0.5; repeated rows are scored each; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored, whatever their names; a very long text is scored whole,
+block by block, and joins the fit only where it leaves room for others.
 """
 
 from __future__ import annotations

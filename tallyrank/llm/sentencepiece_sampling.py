@@ -31,8 +31,9 @@ chunks are dropped after their batch. What is kept changes no result.
 Defined results: null is the empty text, which has one segmentation (no ids, inclusion 1);
 texts with fewer than k segmentations give all of them; the mark U+2581 in a text is the
 same as a space, as in the library; rows of equal key and text get equal samples, a null key
-is a key of its own; an empty table gives an empty result; other columns pass through; a very
-long text is one batch of its own, and time stays linear in a chunk's length too (chunks over
+is a key of its own; an empty table gives an empty result; of the other columns those named
+in ``keep`` come back, whatever their names but ids, decoded and samples, which the result has
+itself; a very long text is one batch of its own, and time stays linear in a chunk's length too (chunks over
 ``LONG`` characters are walked one place after another).
 """
 
