@@ -37,7 +37,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def chunks(texts, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Index ranges of texts of about ``size`` characters together."""
     start, held = 0, 0
     for i, t in enumerate(texts):
