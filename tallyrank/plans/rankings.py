@@ -416,3 +416,8 @@ SELECT dataset, {r("a", "top1_agree")}, {r("g", "rank_margin")}, {r("m", "mean_r
 )
 def _(spark, d):
     return schemes.confidence(fact(spark, d))
+
+
+@query("left_out", f"WITH {TRUTH} SELECT dataset, detector, {r('true_auc')} FROM truth WHERE detector NOT IN ('BUILDING', 'MACHINERY')")
+def _(spark, d):
+    return truth(spark, d).where(~F.col("detector").isin("BUILDING", "MACHINERY"))
