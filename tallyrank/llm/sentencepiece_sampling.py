@@ -81,7 +81,7 @@ def _unit_of(x: int) -> float:
     return ((x ^ x >> 31) >> 12) * 2.0**-52 + 2.0**-53
 
 
-#: Bits of a hash that index the table which says whether it may be a piece (1) or the beginning of one (2).
+#: Bits of a hash that index the table which says whether it may be a piece (1) or the end of a longer one (2).
 _FILTER_BITS = 20
 
 
@@ -122,10 +122,10 @@ class Coder:
         """Ids of each chunk (with spaces for marks); the library is asked for all of a kind at once."""
         out: list = [None] * len(chunks)
         marked = [i for i, c in enumerate(chunks) if c[0] == " " and len(c) > 1]  # the library puts the first mark there itself
-        for i, ids in zip(marked, self.model.encode([chunks[i][1:] for i in marked]) if marked else [], strict=True):
+        for i, ids in zip(marked, self.model.encode([chunks[i][1:] for i in marked], num_threads=1) if marked else [], strict=True):
             out[i] = ids
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.model.encode(["\n" + chunks[i] for i in rest]) if rest else [], strict=True):
+        for i, ids in zip(rest, self.model.encode(["\n" + chunks[i] for i in rest], num_threads=1) if rest else [], strict=True):
             out[i] = ids[2:]
         return out
 
@@ -152,10 +152,12 @@ class Coder:
 class Lattices:
     """Lattices of chunks, summed forward, with tables for drawing backward; chunks are numbered.
 
-    Nodes are the places between characters; each chunk has one more than it has characters.
-    Edges into a node stand together, longest piece first. The path of first edges, ``main``,
-    is mostly the likeliest. ``begin_batch`` adds the new chunks of a batch; those that may
-    serve again stay, the others' room is used again by the next batch.
+    Nodes are the places between characters. All that is known of a node depends on the characters
+    before it only, so chunks that are added together share the nodes of their common beginnings; a
+    chunk over ``LONG`` characters has its own, one after another. Edges into a node stand together,
+    longest piece first. The path of first edges, ``main``, is mostly the likeliest. ``begin_batch``
+    adds the new chunks of a batch; those that may serve again stay, the others' room is used again
+    by the next batch.
     """
 
     NODE = {"at": np.int64, "rest": np.float64, "other": np.float64}
@@ -188,7 +190,10 @@ class Lattices:
         known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(known < 0)
         if len(new):
-            new = new[np.argsort(count[new] < 2, kind="stable")]  # those to keep come first
+            some = words.take(pa.array(new))
+            kind = 2 * (count[new] < 2) + (pc.utf8_length(some).to_numpy() > LONG)
+            order = pc.sort_indices(some).to_numpy().astype(np.int64)  # equal beginnings side by side
+            new = new[order[np.argsort(kind[order].astype(np.uint8), kind="stable")]]  # those to keep come first
             stay = int((count[new] > 1).sum())
             known[new] = self.kept[2] + np.arange(len(new))
             added = words.take(pa.array(new))
@@ -209,45 +214,70 @@ class Lattices:
         code[code == 32] = ord(MARK)
         stop = stop[1:]
         chunk = np.repeat(np.arange(len(words)), size)
-        room = stop[chunk] - np.arange(len(code))  # characters left in the chunk
-        first, last = stop - size + np.arange(len(words)), stop + np.arange(len(words))
+        step = np.arange(len(code)) - (stop - size)[chunk]
+        # a chunk's own nodes are those behind the beginning that it shares with the chunk before it
+        long = size > LONG
+        alone = long.copy()
+        alone[1:] |= long[:-1]
+        alone[[0, stay % len(words)]] = True  # what stays shares nothing with what goes
+        differ = alone[chunk] | (step >= np.append(0, size[:-1])[chunk])
+        differ |= code != code[np.minimum(np.append(0, (stop - size)[:-1])[chunk] + step, len(code) - 1)]
+        parts = np.flatnonzero(differ)
+        parts = parts[np.append(True, chunk[parts[1:]] != chunk[parts[:-1]])]
+        shared = step[parts]
+        fresh = size - shared + long  # a long chunk has its own first node, the others share node 0
+        last = np.cumsum(fresh)
+        first = np.where(long, last - fresh + 1, 0)
+        nodes = int(last[-1]) + 1
+        at = np.flatnonzero(step >= shared[chunk])
+        node = np.zeros(len(code), np.int64)
+        node[at] = (last - size + 1)[chunk[at]] + step[at]
+        local = np.zeros(nodes, np.int64)
+        local[node[at]] = step[at] + 1
+        # by place and chunk, the chunk's node there: its own, or the latest of the chunks before it
+        short = at[~long[chunk[at]]]
+        place = np.zeros((int(step[short].max()) + 2 if len(short) else 1, len(words)), np.int32)
+        place[step[short] + 1, chunk[short]] = node[short]
+        np.maximum.accumulate(place, axis=1, out=place)
         up, down = _power_tables(len(code) + 1)
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(code + _A) * up[: len(code)])])
-        found, at = [], np.arange(len(code))
+        found = []  # pieces by the place of their last character
         for n in range(1, s.longest + 1):
             if n > 1:
-                at = at[room[at] >= n]
+                at = at[step[at] >= n - 1]
             if not len(at):
                 break
-            h = (total[at + n] - total[at]) * down[at]
+            begin = at - (n - 1)
+            h = (total[at + 1] - total[begin]) * down[begin]
             kind = s.filter[(h >> np.uint64(64 - _FILTER_BITS)).view(np.int64)]
             maybe = np.flatnonzero(kind & 1)
             slot = s.find(h[maybe])
             hit = slot >= 0
-            begin, slot = at[maybe[hit]], slot[hit]
+            good, slot = maybe[hit], slot[hit]
             if n == 1:  # characters without a piece are spelled in bytes; of more than one byte, by pseudo ids from 1 << 16 on
-                piece, weight = np.empty(len(code), np.int64), np.empty(len(code))
-                spare = np.ones(len(code), bool)
-                spare[begin] = False
-                piece[begin], weight[begin] = s.ids[slot], s.logs[slot]
-                odd = code[spare].astype(np.int64)
+                piece, weight = np.empty(len(at), np.int64), np.empty(len(at))
+                spare = np.ones(len(at), bool)
+                spare[good] = False
+                piece[good], weight[good] = s.ids[slot], s.logs[slot]
+                odd = code[at[spare]].astype(np.int64)
                 piece[spare] = np.where(odd < 128, s.byte_id[odd & 127], odd + (1 << 16))
                 weight[spare] = s.byte_log * (1 + (odd > 0x7F) + (odd > 0x7FF) + (odd > 0xFFFF))
                 found.append((at, n, piece, weight))
-            elif len(begin):
-                found.append((begin, n, s.ids[slot], s.logs[slot]))
+            elif len(good):
+                found.append((at[good], n, s.ids[slot], s.logs[slot]))
             at = at[kind >= 2]  # some piece goes on from here
         found.reverse()
-        begin = np.concatenate([f[0] for f in found])
-        tail = begin + chunk[begin]
-        head = tail + np.repeat([f[1] for f in found], [len(f[0]) for f in found])
+        end = np.concatenate([f[0] for f in found])
+        length = np.repeat([f[1] for f in found], [len(f[0]) for f in found])
+        head = node[end]
+        tail = head - length
+        near = np.flatnonzero(~long[chunk[end]])
+        tail[near] = place[step[end[near]] + 1 - length[near], chunk[end[near]]]
         piece, weight = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
         order = np.argsort(head, kind="stable")  # merges one run a length
         tail, piece, head, weight = tail[order], piece[order], head[order], weight[order]
-        nodes = len(code) + len(words)
         fan = np.bincount(head, minlength=nodes)
         at = np.concatenate([[0], np.cumsum(fan)])
-        local = np.arange(nodes) - np.repeat(first, size + 1)
         alpha = np.zeros(nodes)
         near = np.flatnonzero(local <= LONG)
         near = near[np.argsort(local[near].astype(np.uint8), kind="stable")]
@@ -260,8 +290,7 @@ class Lattices:
             value = alpha[tail[edges]] + weight[edges]
             most = np.maximum.reduceat(value, ends - n)
             alpha[to] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, n)), ends - n))
-        long = np.flatnonzero(size > LONG).tolist()
-        for c in long:
+        for c in np.flatnonzero(long).tolist():
             lo, hi = int(first[c]), int(last[c])
             e, a = int(at[lo]), alpha[lo : hi + 1].tolist()
             tails, weights, fans = (tail[e : at[hi + 1]] - lo).tolist(), weight[e : at[hi + 1]].tolist(), fan[lo : hi + 1].tolist()
@@ -495,7 +524,7 @@ class Sampler:
             left = left[slots[where] != left]
         self.rest = np.sort(left)  # of pieces without a slot, commonly none
         self.filter = np.zeros(1 << _FILTER_BITS, np.uint8)
-        for bit, known in ((1, set(names)), (2, {x[:n] for x in names for n in range(1, len(x))})):
+        for bit, known in ((1, set(names)), (2, {x[n:] for x in names for n in range(1, len(x))})):
             slots = np.array([self._hash(x) for x in known], np.uint64) >> np.uint64(64 - _FILTER_BITS)
             self.filter[slots] |= bit
         self.byte_id = np.array([coder.byte_ids[b] for b in range(128)])

@@ -164,3 +164,30 @@ def test_what_a_worker_keeps_changes_nothing(pair, monkeypatch):
         assert sampler.sample(texts, seeds([1, 2, None]), 3) == first
     alone = [sampler.sample([t], seeds([k]), 3)[0] for t, k in zip(texts, [1, 2, None], strict=True)]
     assert alone == first
+
+
+def test_chunks_share_the_nodes_of_common_beginnings(pair):
+    coder, _ = pair
+    lat = sps.Sampler(coder).lattices
+    words = [" them", " the", " then", " a", "\n", "漢a", "漢b", " theme", " th", " " + "tea" * 20, " " + "tea" * 20 + "s", "tea"]
+    count = np.array([2, 1, 2, 1, 2, 1, 2, 1, 1, 2, 1, 1])
+    with np.errstate(over="ignore"):
+        number = lat.begin_batch(pa.array(words), count)
+    # what stays: the first node, " the" with "m" and "n", the line feed, two more characters, and a long chunk of its own
+    assert lat.kept[0] == 1 + 4 + 2 + 1 + 2 + (1 + 61)
+    assert lat.kept[2] == 5 and sorted(number.tolist()) == list(range(len(words)))
+    for w, k in zip(words, number.tolist(), strict=True):
+        if len(w) > sps.LONG:
+            assert lat.last[k] - lat.first[k] == len(w)
+            continue
+        for ids, weight in (true := segmentations(coder, lat.sampler, w.replace(" ", sps.MARK))):
+            if all(i < 1 << 16 and i not in coder.byte_ids.values() for i in ids):
+                z = math.log(sum(math.exp(v) for _, v in true))
+                assert math.isclose(sum(lat.log_q[lat.edges_of(k, list(ids))]), weight - z, rel_tol=1e-9, abs_tol=1e-12)
+    kept = [w for w, n in zip(words, count, strict=True) if n > 1]
+    with np.errstate(over="ignore"):
+        again = lat.begin_batch(pa.array([*kept, " thenx"]), np.ones(len(kept) + 1, int))
+    assert again[:-1].tolist() == [int(number[words.index(w)]) for w in kept]
+    whole_path = [a for a in segmentations(coder, lat.sampler, "▁thenx")]
+    z = math.log(sum(math.exp(v) for _, v in whole_path))
+    assert all(math.isclose(sum(lat.log_q[lat.edges_of(int(again[-1]), list(ids))]), v - z, rel_tol=1e-9) for ids, v in whole_path)
