@@ -19,12 +19,13 @@ long text is one segment of its own.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,8 +42,10 @@ SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 16
 SEGMENT = "part int, seq int, n_docs long, n_null long, n_ids long, width int, ids binary, starts binary, doc_ids binary"
 
-#: Words whose ids a worker remembers, and chunks between white space; when there are more, it starts anew.
-MEMO, KEEP = 200_000, 700_000
+#: Words whose ids a worker remembers; when there are more, the half that occurs most stays.
+MEMO = 200_000
+#: Chunks between white space, met twice in a batch, whose ids a worker remembers; when there are more, it starts anew.
+KEEP = 100_000
 #: UTF-8 bytes of texts encoded together, and words given to the library at once.
 TOGETHER, WORDS = 2_000_000, 500
 #: The file's rule for words, which is also this module's; another rule goes through the library whole.
@@ -55,14 +58,16 @@ class WordEncoder:
 
     If the file's normalizer and pre-tokenizer are those that this class knows (NFC, white space,
     lower case; letters, single digits, other signs), nothing that they do reaches over white space, so
-    texts are cut there and each distinct chunk is encoded once: one of plain Latin characters by
-    its words, whose ids are remembered, any other by the library. Texts go to the library whole
-    under any other file. All ways give the library's ids.
+    texts are cut there and each distinct chunk of a batch is encoded once: one of plain Latin characters
+    by its words, whose ids are remembered, any other by the library. Words are given to the library in
+    lower case between spaces, so its copy for them needs no normalizer and only white space to cut at. Texts
+    go to the library whole under any other file. All ways give the library's ids.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
@@ -70,9 +75,15 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.memo: dict[str, bytes] = {}
-        self._forget()
-        plain = [chr(i) for i in (9, 10, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x250))]
+        if self.known:
+            self.by_word = Tokenizer.from_file(path)
+            self.by_word.normalizer = None
+            self.by_word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.memo: dict[str, int] = {}  # a word's place in word_ids
+        self.word_ids, self.word_size, self.uses = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kept, self.kept_ids = pa.array([], pa.utf8()), pa.array([], pa.binary())
+        plain = [chr(i) for i in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250))]
+        plain = [c for c in plain if c.lower() in plain]  # a few grow, or leave this range, in lower case
         kind = lambda k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k)
         letters, numbers = kind("L"), kind("N")
         self.odd = re.compile("[^" + "".join(map(re.escape, plain)) + "]|<\\|")
@@ -95,10 +106,6 @@ class WordEncoder:
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _forget(self) -> None:
-        self.kept, self.kept_ids = pa.array([], pa.utf8()), np.zeros(0, self.dtype)
-        self.kept_count = np.zeros(0, np.int64)
-
     def encode(self, text: str) -> bytes:
         data = np.frombuffer(text.encode("utf-8"), np.uint8)
         return self.encode_batch(data, np.array([0, len(data)]))[0].tobytes()
@@ -118,56 +125,90 @@ class WordEncoder:
         place = np.append(upto[begin] - 1, upto[-1] if len(upto) else 0).astype(np.int32)
         chunk = pa.Array.from_buffers(pa.utf8(), len(begin), [None, pa.py_buffer(place), pa.py_buffer(data[solid])]).dictionary_encode()
         kind = chunk.indices.to_numpy()
-        at, count, flat = self._ids_of(chunk.dictionary)
-        own = count[kind]
-        ends = np.cumsum(own)
-        ids = flat[np.repeat(at[kind] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(begin, row[1:])]
-
-    def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(at, count, ids): where each chunk's ids stand. They are kept for later batches."""
+        known, coded = self._ids_of(chunk.dictionary, np.bincount(kind, minlength=len(chunk.dictionary)))
+        ends, ids = _parts(coded.take(pa.array(known[kind])))
+        return ids.view(self.dtype), ends[np.searchsorted(begin, row[1:])] // self.width
+
+    def _ids_of(self, chunks: pa.Array, count: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """(place, ids): where the ids of each chunk, which occurs ``count`` times in the batch, stand in an array."""
         if len(self.kept) > KEEP:
-            self._forget()
+            self.kept, self.kept_ids = self.kept[:0], self.kept_ids[:0]
         known = pc.fill_null(pc.index_in(chunks, value_set=self.kept), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(known < 0)
+        if not len(new):
+            return known, self.kept_ids
         known[new] = len(self.kept) + np.arange(len(new))
-        added = chunks.take(pa.array(new, pa.int64()))
+        added = chunks.take(pa.array(new))
         coded = self._encode_chunks(added)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.width
-        self.kept = pa.concat_arrays([self.kept, added])
-        self.kept_count = np.concatenate([self.kept_count, sizes])
-        self.kept_ids = np.concatenate([self.kept_ids, np.frombuffer(b"".join(coded), self.dtype)])
-        at = np.cumsum(self.kept_count) - self.kept_count
-        return at[known], self.kept_count[known], self.kept_ids
-
-    def _encode_chunks(self, chunks: pa.Array) -> list[bytes]:
-        cut = np.frombuffer(chunks.buffers()[1], np.int32)[: len(chunks) + 1]
-        data = chunks.buffers()[2].to_pybytes()[: cut[-1]] if len(chunks) else b""
-        first = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.int8) >= -64)])  # counts first bytes of characters
-        text, place = data.decode("utf-8", "replace"), first[cut].tolist()
-        odd = set()
-        if self.odd.search(text):
-            odd = {i for i, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True)) if self.odd.search(text, a, b)}
-        low = text.lower()
-        if len(low) != len(text):  # only odd characters grow, whose chunks aren't read here
-            low = "".join(c.lower()[:1] for c in text)
-        split = [None if i in odd else self.words(low, a, b) for i, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True))]
+        ids = pa.concat_arrays([self.kept_ids, coded])
+        stay = pa.array(np.flatnonzero(count[new] > 1))
+        self.kept = pa.concat_arrays([self.kept, added.take(stay)])
+        self.kept_ids = pa.concat_arrays([self.kept_ids, coded.take(stay)])
+        return known, ids
+
+    def _encode_chunks(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk, as bytes."""
+        upto = np.cumsum(pc.utf8_length(chunks).to_numpy() + 1, dtype=np.int64)  # with a space behind each chunk
+        text = _joined(chunks)
+        odd = np.unique(np.searchsorted(upto, [m.start() for m in self.odd.finditer(text)], "right"))
+        if len(odd):
+            whole = pa.array(list(map(self.encode_whole, chunks.take(pa.array(odd)).to_pylist())), pa.binary())
+            plain = np.delete(np.arange(len(chunks)), odd)
+            chunks = chunks.take(pa.array(plain))
+            upto = np.cumsum(pc.utf8_length(chunks).to_numpy() + 1, dtype=np.int64)
+            text = _joined(chunks)
+        words = self.words(text.lower())
+        number = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(words[i] for i in new)))
+            number[new] = [self.memo[words[i]] for i in new]
+        self.uses += np.bincount(number, minlength=len(self.uses))
+        ends, ids = _parts(self.word_ids.take(pa.array(number)))
+        # a chunk's words fill it, so it ends where as many characters of words do
+        cut = np.searchsorted(np.cumsum(self.word_size[number]), upto - np.arange(1, len(upto) + 1), "right")
+        coded = pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(np.append(0, ends[cut]).astype(np.int32)), pa.py_buffer(ids)])
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        self._learn([w for w in set(chain.from_iterable(w for w in split if w)) if w not in self.memo])
-        get = self.memo.__getitem__
-        return [self.encode_whole(text[place[i] : place[i + 1]]) if w is None else get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for i, w in enumerate(split)]
+            self._forget()
+        if not len(odd):
+            return coded
+        place = np.empty(len(odd) + len(plain), np.int64)
+        place[np.concatenate([plain, odd])] = np.arange(len(place))
+        return pa.concat_arrays([coded, whole]).take(pa.array(place))
+
+    def _forget(self) -> None:
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: MEMO // 2])
+        stay = stay[self.uses[stay] > 1]
+        words = list(self.memo)
+        self.memo = {words[i]: n for n, i in enumerate(stay.tolist())}
+        self.word_ids, self.word_size = self.word_ids.take(pa.array(stay)), self.word_size[stay]
+        self.uses = self.uses[stay] // 2  # what was frequent long ago goes, too
 
     def _learn(self, words: list[str]) -> None:
+        coded = [self.word_ids]
         for i in range(0, len(words), WORDS):
             some = words[i : i + WORDS]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.width
-            data = ids.astype(self.dtype).tobytes()
-            if len(cut) == len(some):
-                self.memo.update((w, data[a:b]) for w, a, b in zip(some, [0, *cut[:-1].tolist()], cut.tolist(), strict=True))
+            ids = np.array(self.by_word.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(cut) == len(some) + 1:
+                coded.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(ids.astype(self.dtype))]))
             else:  # a word that the file splits further
-                self.memo.update((w, self.encode_whole(w)) for w in some)
+                coded.append(pa.array(list(map(self.encode_whole, some)), pa.binary()))
+        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
+        self.word_ids = pa.concat_arrays(coded)
+        self.word_size = np.append(self.word_size, np.fromiter(map(len, words), np.int64, len(words)))
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
+
+
+def _joined(chunks: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), " ")[0].as_py()
+
+
+def _parts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, bytes): from where to where the values of a binary array without nulls lie, with 0 first."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    data = values.buffers()[2]
+    return (ends - ends[0]).astype(np.int64), np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
 
 
 _encoders: dict[str, WordEncoder] = {}

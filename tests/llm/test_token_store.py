@@ -47,6 +47,28 @@ def test_fast_words_equal_library():
         assert [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [enc.encode_whole(t) for t in texts]
 
 
+def test_letters_that_grow_in_lower_case():
+    enc = token_store.WordEncoder(PATH)
+    plain = [chr(i) for i in range(33, 0x250)]
+    for t in ["aȺb", "Ⱦx 1", *(f"a{c}B{c}{c}1{c}" for c in plain), "".join(plain), " ".join(plain)]:
+        assert enc.encode(t) == enc.encode_whole(t), t
+
+
+def test_a_full_memory_keeps_what_is_frequent(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMO", 40)
+    monkeypatch.setattr(token_store, "KEEP", 5)
+    enc, rng = token_store.WordEncoder(PATH), random.Random(8)
+    asked = []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (asked.extend(words), learn(words)))
+    for i in range(60):
+        odd = ["".join(rng.choice("abcdeé") for _ in range(6)) for _ in range(9)]
+        text = " ".join([*odd, f"the{'!' * (i % 7)}", "cat's", "漢字", "漢字", "bb", "bb"])
+        assert enc.encode(text) == enc.encode_whole(text)
+        assert len(enc.memo) == len(enc.word_ids) == len(enc.word_size) == len(enc.uses) <= 40 and len(enc.kept) == len(enc.kept_ids) <= 5 + 2
+    assert asked.count("the") == asked.count("'s") == 1 and len(asked) > 400
+
+
 def test_store_round_trip(spark, monkeypatch):
     docs = [Row(doc_id=i, text=t, extra=1, start=2) for i, t in [(3, "the cat"), (1, None), (None, "no id"), (2, ""), (3, "the cat"), (9, "word " * 3000)]]
     path = scratch(spark, "t")
