@@ -172,7 +172,7 @@ def knn_mean(df: DataFrame, k: int = 10) -> DataFrame:
 
 def lof(df: DataFrame, k: int = 10) -> DataFrame:
     """Local outlier factor: mean density of the neighbours over the row's own."""
-    found = nearest(df, k)
+    found = stored(nearest(df, k), "lof-neighbours")  # read three times
     reach = found.where(F.col("rank") == k).select(F.col("id").alias("other"), F.col("distance").alias("kd"))
     dens = found.join(reach, "other").groupBy("id").agg((1 / (F.avg(F.greatest("distance", "kd")) + 1e-10)).alias("lrd"))
     other = dens.select(F.col("id").alias("other"), F.col("lrd").alias("lrd_other"))

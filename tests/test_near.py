@@ -1,7 +1,6 @@
 """How often the neighbour search sends its queries, and what it does with copies."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tallyrank.operators import benchmark, near
 from tallyrank.operators import detectors as det
@@ -27,3 +26,18 @@ def test_queries_travel_once_a_chunk(spark, monkeypatch):
     got = near.nearest(frame(spark, m), frame(spark, m), 4, report=report, size=175).collect()
     assert {(r.id, r["rank"]): r.other for r in got} == nearest_of(m, 4)
     assert report["blocks"] <= 2 * 4 * 4
+
+
+def test_lof_searches_once(spark):
+    m = np.random.default_rng(5).normal(size=(60, 3))
+    rows = spark.createDataFrame([(i, True, v.tolist()) for i, v in enumerate(m)], "id long, train boolean, v array<double>")
+    plan = det.lof(rows, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan  # the neighbours are read, not searched anew for each use
+
+
+def test_cover_searches_vectors_once(spark, monkeypatch):
+    """40 copies each of points 0, 1, ..., 5 apart by 1: every second point is kept, and copies aren't paired."""
+    searched, real = [], near.within
+    monkeypatch.setattr(near, "within", lambda rows, radius: searched.append(rows.count()) or real(rows, radius))
+    rows = spark.createDataFrame([(7, 40 * i + j, [float(i), 0.0]) for i in range(6) for j in range(40)], "dataset int, id long, v array<double>")
+    assert [(r.dataset, r.n_eff) for r in benchmark.greedy_cover(rows, 1.0).collect()] == [(7, 3)] and searched == [6]
