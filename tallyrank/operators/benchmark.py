@@ -223,7 +223,8 @@ def greedy_cover(df: DataFrame, radius: float) -> DataFrame:
     holds a data set. Neighbours come from the radius search of ``near``.
     """
     rows = df.select(F.col("dataset").alias("task"), F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
-    rows = stored(rows, "cover-rows")
+    # of rows of one vector the first alone may be kept, and what covers it covers them, so they stand for each other
+    rows = stored(rows.groupBy("task", "v").agg(F.min("id").alias("id")).select("task", "id", "v"), "cover-rows")
     edges = stored(near.within(rows, radius).where("other < id").select("task", "id", "other"), "cover-edges")
     # rows without an earlier neighbour are in whatever follows
     state = stored(rows.select("task", "id").join(edges.select("task", "id").distinct().withColumn("open", F.lit(True)), ["task", "id"], "left").select("task", "id", F.when(F.col("open"), 0).otherwise(1).alias("state")), "cover")
